@@ -1,0 +1,12 @@
+"""Every query over the driver's tables, and its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
