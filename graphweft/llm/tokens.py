@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces that a worker keeps; later ones are encoded each time they come, so memory is bounded and results are the same.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 
 
 class Encoder:
@@ -68,7 +68,7 @@ class Encoder:
     def word_ends(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
         cache = self.cache
-        found = [cache.get(p) for p in pieces]
+        found = list(map(cache.get, pieces))
         if None in found:
             new = self._new({p for p, x in zip(pieces, found) if x is None}, "")
             found = [new[p] if x is None else x for p, x in zip(pieces, found)]
@@ -77,7 +77,7 @@ class Encoder:
     def byte_level(self, text: str) -> bytes:
         head, *pieces = text.split(" ")
         cache = self.cache
-        found = [cache.get(p) for p in pieces]
+        found = list(map(cache.get, pieces))
         start = self.first.get(head)
         if None in found:
             missing = {p for p, x in zip(pieces, found) if x is None}
