@@ -6,12 +6,16 @@ from .arrow_file import op7_arrow_file
 from .bpe import op6_bpe
 from .counts import op8_token_counts
 from .packing import op1_packing
+from .secrets import op10_secrets
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op6_bpe": op6_bpe,
     "op7_arrow_file": op7_arrow_file,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
