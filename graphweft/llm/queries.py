@@ -8,10 +8,12 @@ from .counts import op8_token_counts
 from .packing import op1_packing
 from .secrets import op10_secrets
 from .setsketch import op4_setsketch
+from .suffixes import op3_suffix_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_setsketch": op4_setsketch,
     "op6_bpe": op6_bpe,
     "op7_arrow_file": op7_arrow_file,
