@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     coarse = written(coarse.join(reps.select(F.col("doc_id").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "n"), "groups")
     sizes = coarse.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
     chosen = coarse.join(sizes, "group").select("doc_id", "group", "blocks")
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(chosen, "doc_id")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(chosen.hint("merge"), "doc_id")  # chosen grows with the data: never broadcast
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
