@@ -4,7 +4,7 @@ Suffixes begin at word positions that content selects (minimisers of 8-word gram
 50 words or more select the same position among the first 14 of them, so their suffixes there agree on 37 words at least:
 no such passage is missed. Suffixes are dealt and sorted by a hash of those 37 words, which puts the ones that agree side
 by side; consecutive positions of a text whose suffixes have company make a run, and both ends of a run are extended word
-by word against the neighbours in the order of what lies left and right of it."""
+by word against the neighbours in the order of what lies left and right."""
 
 from __future__ import annotations
 
@@ -102,7 +102,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ctx = short[max(lo, p - WINDOW + 1) : p][::-1]
                         cuts = begin[p - len(ctx) : p + 1][::-1] - zero
                     else:
-                        ctx = short[p + AGREE : min(hi, p + AGREE + 2 * WINDOW)]
+                        ctx = short[p + AGREE : min(hi, p + AGREE + WINDOW - 1)]
                         cuts = end[p + AGREE - 1 : p + AGREE + len(ctx)] - zero
                     for c, v in zip(cols, (doc, th, x["pos"], x["side"], x["h"], ctx.tobytes(), cuts.tolist())):
                         c.append(v)
@@ -141,20 +141,25 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a text's suffixes that have company: consecutive selected positions, all first of their kind or none."""
+    """Runs of a text's suffixes that have company: consecutive selected positions, all first of their kind or none. ends:
+    the suffixes near either end, any of which may agree with another text further out than the outermost does."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("side", pa.int32()), ("h", pa.int64())]))
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(5)]
         for doc, th, got in zip(*(batch.column(i).to_pylist() for i in range(3))):
             got.sort(key=lambda x: x["pos"])
             start = 0
             for i, x in enumerate(got):
                 last = i + 1 == len(got) or got[i + 1]["pos"] != x["after"] or got[i + 1]["first"] != x["first"]
                 if last:
-                    for c, v in zip(cols, (doc, th, got[start]["pos"], x["pos"], got[start]["h"], x["h"], x["first"])):
+                    run = got[start : i + 1]
+                    ends = [{"pos": y["pos"], "side": LEFT, "h": y["h"]} for y in run[:WINDOW] if y["pos"] < run[0]["pos"] + WINDOW]
+                    ends += [{"pos": y["pos"], "side": RIGHT, "h": y["h"]} for y in run[-WINDOW:] if y["pos"] > x["pos"] - WINDOW]
+                    for c, v in zip(cols, (doc, th, run[0]["pos"], x["first"], ends)):
                         c.append(v)
                     start = i + 1
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "from", "to", "h_from", "h_to", "first"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), kind]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "from", "first", "ends"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -177,18 +182,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     paired = all_suffixes.join(company, "h").withColumn("first", F.struct("doc_id", "pos", "th") == F.col("lowest")).select("doc_id", "th", "pos", "after", "h", "first")
     paired = written(paired, "paired")
     per_text = paired.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "after", "h", "first")).alias("got"))
-    runs = written(per_text.mapInArrow(_runs, "doc_id long, th long, from int, to int, h_from long, h_to long, first boolean"), "runs")
-    sides = F.array(F.struct(F.col("h_from").alias("h"), F.lit(LEFT).alias("side")), F.struct(F.col("h_to").alias("h"), F.lit(RIGHT).alias("side")))
-    ends = runs.select(F.explode(sides).alias("x")).select("x.h", "x.side").distinct()
+    runs = written(per_text.mapInArrow(_runs, "doc_id long, th long, from int, first boolean, ends array<struct<pos:int,side:int,h:bigint>>"), "runs")
+    runs = runs.select("doc_id", "th", "from", "first", F.explode("ends").alias("x")).select("doc_id", "th", "from", "first", "x.*")
+    ends = runs.select("h", "side").distinct()
     asked = paired.select("doc_id", "th", "pos", "h").join(ends, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "side", "h")).alias("asked"))
     contexts = rows.join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(_contexts, "doc_id long, th long, pos int, side int, h long, ctx binary, cuts array<bigint>")
     contexts = written(contexts, "contexts")
     kinds = contexts.groupBy("h", "side", "ctx").agg(F.count("*").alias("n"))
     more = kinds.repartition("h", "side").sortWithinPartitions("h", "side", "ctx").mapInArrow(_neighbours, "h long, side int, ctx binary, more int")
     grown = contexts.join(more, ["h", "side", "ctx"]).select("doc_id", "th", "pos", "side", "more", F.element_at("cuts", F.col("more") + 1).alias("cut")).distinct()
-    left, right = (grown.where(F.col("side") == s).select("doc_id", "th", F.col("pos").alias(at), F.col("more").alias(f"more_{at}"), F.col("cut").alias(f"cut_{at}")) for s, at in ((LEFT, "from"), (RIGHT, "to")))
-    spans = runs.join(left, ["doc_id", "th", "from"]).join(right, ["doc_id", "th", "to"])
-    spans = spans.select("doc_id", "th", (F.col("from") - F.col("more_from")).alias("start_word"), (F.col("to") + AGREE + F.col("more_to")).alias("end_word"), F.col("cut_from").alias("start"), F.col("cut_to").alias("end"), "first")
+    out = runs.drop("h").join(grown, ["doc_id", "th", "pos", "side"])
+    left = F.min(F.when(F.col("side") == LEFT, F.struct((F.col("pos") - F.col("more")).alias("word"), "cut")))
+    right = F.max(F.when(F.col("side") == RIGHT, F.struct((F.col("pos") + AGREE + F.col("more")).alias("word"), "cut")))
+    spans = out.groupBy("doc_id", "th", "from", "first").agg(left.alias("l"), right.alias("r"))
+    spans = spans.selectExpr("doc_id", "th", "l.word start_word", "r.word end_word", "l.cut start", "r.cut end", "first")
     # Runs that touch are one passage, for its length; those of a kind that overlap are one span.
     per = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word", "start", "end", "first"))).alias("x"))
     return per.mapInArrow(_merged, "doc_id long, th long, start_word int, n_words int, start long, end long, first boolean")
