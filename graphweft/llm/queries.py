@@ -5,6 +5,7 @@ from __future__ import annotations
 from .arrow_file import op7_arrow_file
 from .bpe import op6_bpe
 from .counts import op8_token_counts
+from .multi_index import op5_multi_index
 from .packing import op1_packing
 from .secrets import op10_secrets
 from .setsketch import op4_setsketch
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_setsketch": op4_setsketch,
+    "op5_multi_index": op5_multi_index,
     "op6_bpe": op6_bpe,
     "op7_arrow_file": op7_arrow_file,
     "op8_token_counts": op8_token_counts,
