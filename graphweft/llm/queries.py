@@ -5,6 +5,7 @@ from __future__ import annotations
 from .arrow_file import op7_arrow_file
 from .bpe import op6_bpe
 from .counts import op8_token_counts
+from .flat_graph import op2_flat_graph
 from .multi_index import op5_multi_index
 from .packing import op1_packing
 from .secrets import op10_secrets
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_flat_graph": op2_flat_graph,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_setsketch": op4_setsketch,
     "op5_multi_index": op5_multi_index,
