@@ -49,7 +49,7 @@ def _live(value: Column) -> Column:
 def scan(docs: DataFrame, owner: str = "source", repository: Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """Every row of docs (its id in doc_id, other columns kept aside) with the spans found in its whole text.
 
-    Columns: rid (row key), doc_id, text, base (spans of the first three kinds) and spans (all: base and those that the
+    Columns: rid (row key), doc_id, th (hash of the text), base (spans of the first three kinds) and spans (all: base and those that the
     ownership count adds), arrays of (start, place, kind, end, live) in order. A value's hash is counted by
     distinct repositories and owners over the whole corpus: from copied_owners on it is an example. An opaque
     string outside the base spans is added if it looks live and is held by fewer owners. Null text is empty; a null
@@ -58,13 +58,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: Column | None = Non
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     repo = repository if repository is not None else F.col(owner)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("\0")).alias("repo"))
-    found = rows.select("rid", "doc_id", "owner", "repo", *[_found(F.col("text"), *k).alias(k[0]) for k in KINDS])
+    found = rows.select("rid", "doc_id", F.xxhash64("text").alias("th"), "owner", "repo", *[_found(F.col("text"), *k).alias(k[0]) for k in KINDS])
 
     def of_kind(place):
         return lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(KINDS[place][0]).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
 
     base = F.flatten(F.array(*[F.transform(KINDS[i][0], of_kind(i)) for i in range(3)]))
-    found = written(found.select("rid", "doc_id", "owner", "repo", F.sort_array(base).alias("base"), "opaque"), "secrets")
+    found = written(found.select("rid", "doc_id", "th", "owner", "repo", F.sort_array(base).alias("base"), "opaque"), "secrets")
     outside = F.filter("opaque", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _live(x["value"]))
     extra = F.transform(outside, of_kind(3))
     one = found.select("rid", "owner", "repo", F.explode(F.concat("base", extra)).alias("x"))
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: Column | None = Non
     judged = judged.withColumn("live", F.col("looks") & (F.col("owners") < copied_owners)).where((F.col("place") < 3) | F.col("live"))
     spans = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "kind", "end", "live", "owners", "repos"))).alias("spans"))  # of one document
     none = F.expr("cast(array() as array<struct<start:bigint,place:int,kind:string,end:bigint,live:boolean,owners:bigint,repos:bigint>>)")
-    return found.select("rid", "doc_id", "base").join(spans, "rid", "left").select("rid", "doc_id", "base", F.coalesce("spans", none).alias("spans"))
+    return found.select("rid", "doc_id", "th", "base").join(spans, "rid", "left").select("rid", "doc_id", "th", "base", F.coalesce("spans", none).alias("spans"))
 
 
 def _line(spans: str) -> Column:
@@ -95,8 +95,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking values of one owner are replaced in the text; examples that many owners copy stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    live = scan(docs, "source", F.concat_ws("/", "source", "lang")).select("doc_id", F.filter("spans", lambda x: x["live"]).alias("live")).where(F.size("live") > 0)
-    live = live.groupBy("doc_id").agg(F.min("live").alias("live"))
+    live = scan(docs, "source", F.concat_ws("/", "source", "lang")).select("doc_id", "th", F.filter("spans", lambda x: x["live"]).alias("live")).where(F.size("live") > 0)
+    live = live.groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th")).agg(F.min("live").alias("live")).hint("merge")  # grows with the data: never broadcast
     start = F.expr("struct(0L as at, '' as made)")
 
     def cut(acc, x):
@@ -106,8 +106,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     clean = F.aggregate("live", start, cut, lambda acc: F.concat(acc["made"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
     columns = docs.columns
-    out = docs.withColumn("text", text).join(live.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
+    out = docs.join(live, (F.col("doc_id") == F.col("of_doc")) & (F.xxhash64(text) == F.col("of_th")), "left")
     out = out.withColumn("text", F.when(F.col("live").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)

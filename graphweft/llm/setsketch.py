@@ -242,5 +242,5 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, with all its columns; documents without words are each their own."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("of")).distinct()
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the data: never broadcast
     return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")

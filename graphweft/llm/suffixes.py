@@ -255,7 +255,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document, or an earlier place of the same one, has; all columns stay. A text
     of which nothing is left stays as an empty one."""
     gone = repeated(docs).where("not first").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th"), "gone")
+    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th"), "gone").hint("merge")  # grows with the data: never broadcast
     raw = F.col("text").cast("string").cast("binary")
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.withColumn("raw__", raw).withColumn("th__", th)
@@ -263,7 +263,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def cut(acc, x):
         skip = x["start"] < acc["at"]
-        kept = F.concat(acc["made"], F.expr("substring(raw__, 1, 0)"), F.substring("raw__", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")))
+        kept = F.concat(acc["made"], F.substring("raw__", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(skip, acc["made"]).otherwise(kept).alias("made"))
 
     left = F.aggregate("gone", F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("made")), cut, lambda acc: F.concat(acc["made"], F.substring("raw__", (acc["at"] + 1).cast("int"), F.octet_length("raw__"))))
