@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table, text_bytes
+from .shared import claim, slices, table, text_bytes
 from .tokens import public_path
 
 #: Words and white-space separated pieces that a worker keeps.
@@ -213,6 +213,7 @@ _MODELS: dict[str, Backtracking] = {}
 
 
 def model(path: str) -> Backtracking:
+    claim(f"bpe {path}", _MODELS.clear)
     if path not in _MODELS:
         _MODELS[path] = Backtracking(path)
     return _MODELS[path]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Forest, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
+from .shared import Forest, claim, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
 
 #: Words in a shingle; link documents from 85 : 100 on.
 WORDS, PER, OF = 5, 85, 100
@@ -83,6 +83,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the shingle set), fa and fb (fingerprint of the set), regs, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("setsketch")
         for batch in batches:
             _, at = text_bytes(batch.column(1))
             for a, b in slices(at, 1 << 20):

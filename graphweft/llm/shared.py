@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """For the start of a task's function: Python workers live on from stage to stage, so what other operators keep in this one
+    is dropped."""
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    if clear:
+        _HELD[name] = clear
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphweft/{name}-{uuid.uuid4().hex}"
 

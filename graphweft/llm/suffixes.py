@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import _powers, mixed, rolled, slices, table, text_bytes, words, written
+from .shared import _powers, claim, mixed, rolled, slices, table, text_bytes, words, written
 
 LEAST = 50
 GRAM, WINDOW = 8, 14
@@ -56,6 +56,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     before and after it there (-1: none), and the hash of its first 37 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffixes")
         for batch in batches:
             _, at = text_bytes(batch.column(2))
             for a, b in slices(at, 1 << 20):

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .shared import claim
+
 #: Pieces that a worker keeps; later ones are encoded each time they come, so memory is bounded and results are the same.
 CACHE_PIECES = 1_200_000
 
@@ -116,7 +118,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
+    """One for each Python worker; another file takes its place."""
+    claim(f"tokens {path}", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table, text_bytes, written
+from .shared import claim, slices, table, text_bytes, written
 
 #: Labelled rows that the model learns from, at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 16384
@@ -47,7 +47,7 @@ class Featurizer:
         got = self.known.get(word)
         if got is None:
             got = max((self.lexicon.get(g, 0.0) for g in grams(word)), default=0.0)
-            if len(self.known) < 300_000:
+            if len(self.known) < 100_000:
                 self.known[word] = got
         return got
 
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample").repartition(12)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         seen: dict[tuple[int, int], Counter] = {}
         for batch in batches:
             for y, fold, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -224,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     lexica = [lexicon(k) for k in range(FOLDS)]
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         of = [Featurizer(x) for x in lexica]
         for batch in batches:
             x = _features(batch.column(3), [of[k] for k in batch.column(2).to_pylist()])
@@ -246,6 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     give a row; an empty table gives an empty result; columns other than doc_id and text are not read. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         f = Featurizer(model.lexicon)
         for batch in batches:
             _, at = text_bytes(batch.column(1))
@@ -268,6 +271,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         f = Featurizer(model.lexicon)
         for batch in batches:
             _, at = text_bytes(batch.column(place))
