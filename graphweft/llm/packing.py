@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import slices, table, text_bytes
-from .tokens import encoder, public_path
+from .tokens import CACHE_PIECES, encoder, public_path
 
 #: Tokens that a task gathers before it packs; what doesn't fill a sequence waits for the next window.
 WINDOW_TOKENS = 1 << 20
@@ -85,19 +85,20 @@ def fill(tokens: np.ndarray, loss_from: np.ndarray, limits: Limits, last: bool)
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: str | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
     """Pieces of documents in sequences: one row a piece, with its ids (unsigned 32-bit, little-endian).
 
     docs has doc_id and text, and may have a column that counts the leading tokens without loss (instruction
     data). Each document is its ids and end_id; a null or empty text is end_id alone; a null prompt count is 0.
     Equal rows are packed each for itself; an empty table gives an empty result; other columns are not read.
     Each task packs its own rows in windows of bounded size, without a shuffle; sequence_id holds the task's
-    number in its upper half, so sequences of different tasks never mix. The last sequence of a task is short."""
+    number in its upper half, so sequences of different tasks never mix. The last sequence of a task is short.
+    pieces: encoded pieces that a worker keeps, for speed alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, pieces)
         number, held, count = TaskContext.get().partitionId() << 32, [], 0
 
         def close(last: bool):
@@ -142,6 +143,6 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage."""
-    out = pack(docs, public_path("byte_bpe_50k.json"))
+    """The pipeline's last stage. Workers that other stages use too keep fewer pieces."""
+    out = pack(docs, public_path("byte_bpe_50k.json"), pieces=CACHE_PIECES // 8)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,8 +30,13 @@ _HELD: dict[str, Callable[[], None]] = {}
 def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     """For the start of a task's function: Python workers live on from stage to stage, so what other operators keep in this one
     is dropped."""
-    for other in [x for x in _HELD if x != name]:
+    others = [x for x in _HELD if x != name]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
     if clear:
         _HELD[name] = clear
 

@@ -21,9 +21,10 @@ class Encoder:
     through the library once and is kept. Texts that have white space other than that between pieces
     (byte-level only), and all texts of other tokenizers, go through the library whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        self.most = pieces
         self.path, self.cache, self.first, self.stops = path, {}, {}, {}
         if path.endswith(".model"):
             import sentencepiece
@@ -59,7 +60,7 @@ class Encoder:
         bare = {p[:-1] for p in ends}
         pieces = [p for p in (missing - ends) | bare if p not in cache]
         got = {p: np.array(ids, self.dtype).tobytes() for p, ids in zip(pieces, self.library([prefix + p for p in pieces]))}
-        if len(cache) < CACHE_PIECES:
+        if len(cache) < self.most:
             cache.update(got)
         if ends and not self.stops:
             self.stops = {c: np.array(ids, self.dtype).tobytes() for c, ids in zip(",.", self.library([",", "."]))}
@@ -91,7 +92,7 @@ class Encoder:
             if pieces and (not head or head[-1].isspace()):
                 return self.whole(text)
             start = np.array(self.library([head])[0], self.dtype).tobytes()
-            if pieces and len(self.first) < CACHE_PIECES // 10:
+            if pieces and len(self.first) < self.most // 10:
                 self.first[head] = start
         return start + b"".join(found)
 
@@ -117,11 +118,11 @@ def kind(spec: dict) -> str:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
     """One for each Python worker; another file takes its place."""
     claim(f"tokens {path}", _ENCODERS.clear)
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, pieces)
     return _ENCODERS[path]
 
 
