@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Forest, claim, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
+from .shared import SLICE, Forest, claim, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
 
 #: Words in a shingle; link documents from 85 : 100 on.
 WORDS, PER, OF = 5, 85, 100
@@ -86,7 +86,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         claim("setsketch")
         for batch in batches:
             _, at = text_bytes(batch.column(1))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
                 x, rows = shingles(*text_bytes(part.column(1)))
                 n = np.diff(rows)
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, at = text_bytes(batch.column(3))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
                 x, rows = shingles(*text_bytes(part.column(3)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[p:q].tobytes() for p, q in zip(rows, rows[1:])], pa.binary())], names=["doc_id", "group", "blocks", "x"])

@@ -169,6 +169,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
     return now.selectExpr("b as node", "a as component").union(roots)
 
 
+#: Bytes of text that are hashed at once: the arrays of a slice stay within a few MB.
+SLICE = 1 << 18
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes, one row at least."""
     n, a = len(offsets) - 1, 0
@@ -203,7 +207,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 steps = np.full(size, np.uint64(base))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import _powers, claim, mixed, rolled, slices, table, text_bytes, words, written
+from .shared import SLICE, _powers, claim, mixed, rolled, slices, table, text_bytes, words, written
 
 LEAST = 50
 GRAM, WINDOW = 8, 14
@@ -59,7 +59,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         claim("suffixes")
         for batch in batches:
             _, at = text_bytes(batch.column(2))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
                 h, _, _, rows = words(*text_bytes(part.column(2)))
                 p = selected(h, rows)
@@ -88,7 +88,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     would be cut after 0, 1, 2, ... of them."""
     for batch in batches:
         _, at = text_bytes(batch.column(2))
-        for a, b in slices(at, 1 << 20):
+        for a, b in slices(at, SLICE):
             part = batch.slice(a, b - a)
             h, begin, end, rows = words(*text_bytes(part.column(2)))
             _, starts = text_bytes(part.column(2))
