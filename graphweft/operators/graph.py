@@ -34,7 +34,7 @@ def degrees(e: DataFrame) -> DataFrame:
     """Edges of each node by relation: out, in and both."""
     a = both_ways(e)
     back = F.col("l").startswith("_")
-    return a.groupBy("n", label_name().alias("r")).agg(F.sum(F.when(back, 0).otherwise(1)).alias("n_out"), F.sum(F.when(back, 1).otherwise(0)).alias("n_in"), F.count("*").alias("n_both"))
+    return a.groupBy("n", label_name().alias("r")).agg(F.count_if(~back).alias("n_out"), F.count_if(back).alias("n_in"), F.count("*").alias("n_both"))
 
 
 def dictionary(e: DataFrame, order: list[str]) -> DataFrame:
@@ -54,8 +54,10 @@ def relabelled(e: DataFrame, name: str) -> DataFrame:
 
 def clustered(e: DataFrame, clusters: DataFrame, keep: bool = False) -> DataFrame:
     """Relations as their clusters (r, cluster); unmapped ones stay. keep: the edge under its own relation too."""
-    out = e.join(clusters.withColumnRenamed("r", "of"), F.col("r") == F.col("of"), "left").select("s", F.coalesce("cluster", "r").alias("r"), "t")
-    return e.unionAll(out.join(clusters.select(F.col("cluster").alias("r")).distinct(), "r", "left_semi").select("s", "r", "t")) if keep else out
+    of = clusters.withColumnRenamed("r", "of")
+    if keep:
+        return e.unionAll(e.join(of, F.col("r") == F.col("of")).select("s", F.col("cluster").alias("r"), "t"))
+    return e.join(of, F.col("r") == F.col("of"), "left").select("s", F.coalesce("cluster", "r").alias("r"), "t")
 
 
 def alias_edges(phrases: DataFrame, aliases: DataFrame, relation: str = ALIAS) -> DataFrame:

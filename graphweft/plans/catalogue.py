@@ -1,12 +1,133 @@
-"""Every query over the driver's tables, and its SQL."""
+"""Every query over the driver's tables, and its SQL. Instances are all customers with their nation (1) and with the next (-1)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import datasets, features, graph, models, paths, scoring, walks
+from ..sources.triples import kg, parse_graph
+from .oracle import ORACLE_SQL  # noqa: F401
+
+CAP = 100
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    one = lambda label: c.select((F.col("c_custkey") * 2 + F.lit(0 if label > 0 else 1)).alias("iid"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("n:"), (F.col("c_nationkey") if label > 0 else (F.col("c_nationkey") + 1) % 25).cast("string")).alias("target"), F.lit(label).alias("label"))
+    return one(1).unionAll(one(-1))
+
+
+def small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph without parts: what the path features of customers and nations need."""
+    return kg(spark, sf_dir).where(F.col("r").isin("in_nation", "supp_nation", "in_region", "placed_by", "from_supp"))
+
+
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped(graph.both_ways(small(spark, sf_dir)), CAP)
+
+
+def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.pair_subgraph(instances(spark, sf_dir), adjacency(spark, sf_dir), 2, ["in_nation"])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return features.pra(subgraph(spark, sf_dir), instances(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n_pairs"))
+
+
+def _summary(f: DataFrame) -> DataFrame:
+    """How many instances have each feature."""
+    return f.groupBy("feature").agg(F.count("*").alias("n"))
+
+
+def _feature(fn):
+    return lambda spark, d: _summary(fn(subgraph(spark, d), instances(spark, d)))
+
+
+def _clusters(spark):
+    return spark.createDataFrame([("in_nation", "located"), ("supp_nation", "located"), ("supp_nation", "supply"), ("from_supp", "supply")], "r string, cluster string")
+
+
+def _sims(spark):
+    return spark.createDataFrame([("in_nation", "supp_nation", 0.9), ("supp_nation", "in_nation", 0.9), ("in_region", "in_nation", 0.7), ("placed_by", "in_region", 0.2)], "r1 string, r2 string, weight double")
+
+
+def _predictions(spark, d):
+    """Orders rank suppliers by amount within a priority: a stand-in for scored pairs."""
+    li, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("relation"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("target"))
+    x = x.agg(F.sum("l_quantity").alias("score"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("hit"))
+    return x.select("relation", "source", "target", (F.col("score") - 20).alias("score"), (F.col("hit") == 1).alias("correct"))
+
+
+def _scored(spark, d):
+    p = _predictions(spark, d)
+    return scoring.kept(p.withColumn("in_training", F.lit(False))), p.where("correct").select("relation", "source", "target")
+
+
+def _round(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _q_metrics(spark, d):
+    return _round(scoring.per_relation(*_scored(spark, d)), "ap", "rr", "query_map", "query_mrr", "predicted_map", "predicted_mrr", "no_prediction")
+
+
+def _labelled(spark, d):
+    f = features.one_sided(subgraph(spark, d), instances(spark, d), end=False)
+    return f.join(instances(spark, d).select("iid", "label"), "iid").select(F.lit("in_nation").alias("relation"), "iid", "label", "feature", F.lit(1.0).alias("value"))
+
+
+def _given(spark):
+    return spark.createDataFrame([("in_nation", "SOURCE:-_placed_by-", 0.5), ("in_nation", "TARGET:-in_region-", -1.25), ("in_nation", "TARGET:-_supp_nation-", 2.0)], models.WEIGHTS)
+
+
+QUERIES = {
+    "kg_triples": lambda s, d: kg(s, d),
+    "kg_dedup": lambda s, d: kg(s, d).dropDuplicates(["s", "r", "t"]),
+    "kg_degree_by_relation": lambda s, d: graph.degrees(kg(s, d)),
+    "kg_adjacency_both_ways": lambda s, d: graph.both_ways(kg(s, d)),
+    "kg_connected_nodes": lambda s, d: graph.neighbours(kg(s, d)),
+    "kg_dictionary_ids": lambda s, d: graph.dictionary(small(s, d), ["s", "r", "t"]),
+    "kg_relation_prefix": lambda s, d: graph.prefixed(kg(s, d), "1-"),
+    "kg_replace_relation": lambda s, d: graph.relabelled(kg(s, d), "related"),
+    "kg_cluster_expand": lambda s, d: graph.clustered(kg(s, d), _clusters(s)),
+    "kg_cluster_keep_original": lambda s, d: graph.clustered(kg(s, d), _clusters(s), keep=True),
+    "kg_alias_edges": lambda s, d: graph.alias_edges(kg(s, d).where("r = 'brand'").select(F.col("s").alias("phrase")), s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("phrase"), F.col("p_type").alias("concept"))),
+    "kg_relation_matrix_sizes": lambda s, d: graph.matrix_sizes(kg(s, d)),
+    "kg_instance_graph_string": lambda s, d: graph.graph_strings(kg(s, d).where("r in ('has_part', 'from_supp')").withColumn("k", F.col("s")), "k"),
+    "kg_instance_graph_parse": lambda s, d: graph.graph_strings(kg(s, d).where("r in ('has_part', 'from_supp')").withColumn("k", F.col("s")), "k").select("k", F.explode(parse_graph(F.col("graph"))).alias("e")).select("k", "e.*"),
+    "kg_fan_out_cap": lambda s, d: graph.capped(graph.both_ways(kg(s, d)), CAP),
+    "split_prefix_by_label": lambda s, d: datasets.prefix_split(instances(s, d), 0.8, ["iid"]),
+    "split_prefix": lambda s, d: datasets.prefix_split(instances(s, d).withColumn("one", F.lit(1)), 0.75, ["iid"], ["one"]).drop("one"),
+    "unallowed_edges": lambda s, d: graph.unallowed("in_nation", s.createDataFrame([("in_nation", "supp_nation")], "a string, b string"), _clusters(s).unionAll(s.createDataFrame([("in_nation", "in_region")], "r string, cluster string")), kg(s, d)),
+    "bfs_pair_paths": lambda s, d: paths.pair_subgraph(instances(s, d), graph.capped(graph.both_ways(small(s, d).where("r <> 'placed_by'")), CAP), 2).groupBy("iid").agg(F.count("*").alias("n_entries"), F.count_distinct(paths.encode(F.col("path"))).alias("n_paths")),
+    "bfs_pair_paths_heldout": lambda s, d: subgraph(s, d).groupBy(paths.encode(F.col("path")).alias("path")).agg(F.count("*").alias("n_entries")),
+    "bfs_node_paths": lambda s, d: paths.node_subgraph(instances(s, d), adjacency(s, d)).groupBy(paths.encode(F.col("path")).alias("path")).agg(F.count("*").alias("n_entries")),
+    "bfs_path_counts": lambda s, d: paths.path_counts(subgraph(s, d), instances(s, d)),
+    "feat_pra": _feature(features.pra),
+    "feat_pra_filtered": _feature(lambda a, b: features.pra(a, b, include=["_placed_by,+"], exclude=["*,_supp_nation,*"])),
+    "feat_one_sided": _feature(lambda a, b: features.one_sided(a, b, False)),
+    "feat_one_sided_end": _feature(features.one_sided),
+    "feat_bigrams": _feature(features.bigrams),
+    "feat_anyrel": _feature(features.any_relation),
+    "feat_vecsim": lambda s, d: _summary(features.vector_similar(subgraph(s, d), instances(s, d), _sims(s), 1)),
+    "feat_connected": lambda s, d: _summary(features.connected(paths.pair_subgraph(instances(s, d), adjacency(s, d), 1), instances(s, d))),
+    "feat_node_path": lambda s, d: _summary(features.node_paths(paths.node_subgraph(instances(s, d), adjacency(s, d)), False)),
+    "feat_node_path_end": lambda s, d: _summary(features.node_paths(paths.node_subgraph(instances(s, d), adjacency(s, d)))),
+    "feat_hashed": lambda s, d: _summary(features.hashed(features.one_sided(subgraph(s, d), instances(s, d)), 1000)),
+    "feat_matrix_text": lambda s, d: features.matrix_text(features.with_bias(features.pra(subgraph(s, d), instances(s, d))), instances(s, d)),
+    "ppr_expected": lambda s, d: _round(walks.page_rank(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("n")), graph.both_ways(small(s, d)), steps=3), "visits"),
+    "path_prob_follow": lambda s, d: _round(walks.follow(kg(s, d).where("r = 'placed_by'").select(F.col("t").alias("n")), graph.both_ways(kg(s, d)), ["_placed_by", "from_supp", "supp_nation"]), "p"),
+    "path_select_topk": lambda s, d: walks.most_frequent(paths.path_counts(subgraph(s, d), instances(s, d)), 5),
+    "negatives_sampled": lambda s, d: datasets.negatives(instances(s, d).where("label = 1"), walks.page_rank(instances(s, d).select(F.col("source").alias("n")).distinct(), graph.both_ways(small(s, d).where("r in ('in_nation', 'in_region')")), steps=4, allowed=instances(s, d).select(F.col("target").alias("n")))),
+    "densify": lambda s, d: _round(models.densify(small(s, d), _sims(s).unionAll(s.createDataFrame([(r, r, 1.0) for r in ("in_nation", "supp_nation", "in_region", "placed_by", "from_supp")], "r1 string, r2 string, weight double"))), "value"),
+    "score_linear": lambda s, d: models.scores(_labelled(s, d), _given(s)),
+    "lr_train_test": lambda s, d: models.logistic(_labelled(s, d)),
+    "sgd_train_test": lambda s, d: models.online(_labelled(s, d)),
+    "svm_linear": lambda s, d: models.linear_svm(_labelled(s, d)),
+    "metric_ap_rr": lambda s, d: _round(scoring.average_precision(*_scored(s, d), ["relation"]), "ap", "rr"),
+    "metric_per_relation": _q_metrics,
+    "metric_dataset": lambda s, d: _round(scoring.over_relations(scoring.per_relation(*_scored(s, d))), "map", "mrr", "mmap", "mmrr", "predicted_mmap", "predicted_mmrr"),
+    "related_nodes_path": lambda s, d: paths.related(s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("n")), graph.both_ways(kg(s, d)), paths.matcher("-_placed_by-from_supp-supp_nation-")),
+}
