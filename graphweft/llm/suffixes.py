@@ -52,8 +52,8 @@ def selected(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """One row a selected suffix of 37 words or more: its text (doc_id, th: hash of the text), word position, those selected
-    before and after it there (-1: none), and the hash of its first 37 words."""
+    """One row a selected suffix of 37 words or more: its text (doc_id, th: hash of the text), word position, the one selected
+    after it there (-1: none), and the hash of its first 37 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("suffixes")
@@ -74,18 +74,18 @@ def suffixes(docs: DataFrame) -> DataFrame:
                     key = mixed((sums[p + AGREE] - sums[p]) * down[p])
                 pos = p - rows[row]
                 same = row[1:] == row[:-1]
-                before, after = np.full(len(p), -1), np.full(len(p), -1)
-                before[1:][same], after[:-1][same] = pos[:-1][same], pos[1:][same]
+                after = np.full(len(p), -1)
+                after[:-1][same] = pos[1:][same]
                 take = pa.array(row)
-                ints = [pa.array(x.astype(np.int32)) for x in (pos, before, after)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *ints, pa.array(key.view(np.int64))], names=["doc_id", "th", "pos", "before", "after", "h"])
+                ints = [pa.array(x.astype(np.int32)) for x in (pos, after)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *ints, pa.array(key.view(np.int64))], names=["doc_id", "th", "pos", "after", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, pos int, before int, after int, h long")
+    return docs.mapInArrow(run, "doc_id long, th long, pos int, after int, h long")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each end that is asked for: the words beyond it, four bytes each, nearest first, and the byte where the text
-    would be cut after 0, 1, 2, ... of them."""
+    """For each suffix that is asked for: the words beyond it, four bytes each, nearest first, and, if it is near an end of a run
+    of its own text, the byte where that would be cut after 0, 1, 2, ... of them."""
     for batch in batches:
         _, at = text_bytes(batch.column(2))
         for a, b in slices(at, SLICE):
@@ -97,7 +97,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, asked in enumerate(part.column(3).to_pylist()):
                 lo, hi, zero = int(rows[i]), int(rows[i + 1]), int(starts[i])
                 doc, th = part.column(0)[i].as_py(), part.column(1)[i].as_py()
+                mine = {(x["pos"], x["side"]) for x in asked if x["own"]}
                 for x in asked:
+                    if x["own"]:
+                        continue
                     p = lo + x["pos"]
                     if x["side"] == LEFT:
                         ctx = short[max(lo, p - WINDOW + 1) : p][::-1]
@@ -105,7 +108,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         ctx = short[p + AGREE : min(hi, p + AGREE + WINDOW - 1)]
                         cuts = end[p + AGREE - 1 : p + AGREE + len(ctx)] - zero
-                    for c, v in zip(cols, (doc, th, x["pos"], x["side"], x["h"], ctx.tobytes(), cuts.tolist())):
+                    for c, v in zip(cols, (doc, th, x["pos"], x["side"], x["h"], ctx.tobytes(), cuts.tolist() if (x["pos"], x["side"]) in mine else None)):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "pos", "side", "h", "ctx", "cuts"])
@@ -182,16 +185,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     company = all_suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "th")).alias("lowest")).where("n > 1")
     paired = all_suffixes.join(company, "h").withColumn("first", F.struct("doc_id", "pos", "th") == F.col("lowest")).select("doc_id", "th", "pos", "after", "h", "first")
     paired = written(paired, "paired")
-    per_text = paired.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "after", "h", "first")).alias("got"))
+    per_text = paired.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "after", "h", "first")).alias("got"))
     runs = written(per_text.mapInArrow(_runs, "doc_id long, th long, from int, first boolean, ends array<struct<pos:int,side:int,h:bigint>>"), "runs")
     runs = runs.select("doc_id", "th", "from", "first", F.explode("ends").alias("x")).select("doc_id", "th", "from", "first", "x.*")
     ends = runs.select("h", "side").distinct()
-    asked = paired.select("doc_id", "th", "pos", "h").join(ends, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "side", "h")).alias("asked"))
+    others = paired.select("doc_id", "th", "pos", "h").join(ends, "h").select("doc_id", "th", "pos", "side", "h", F.lit(False).alias("own"))
+    own = runs.select("doc_id", "th", "pos", "side", "h", F.lit(True).alias("own"))
+    asked = others.unionAll(own).groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "side", "h", "own")).alias("asked"))
     contexts = rows.join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(_contexts, "doc_id long, th long, pos int, side int, h long, ctx binary, cuts array<bigint>")
     contexts = written(contexts, "contexts")
     kinds = contexts.groupBy("h", "side", "ctx").agg(F.count("*").alias("n"))
     more = kinds.repartition("h", "side").sortWithinPartitions("h", "side", "ctx").mapInArrow(_neighbours, "h long, side int, ctx binary, more int")
-    grown = contexts.join(more, ["h", "side", "ctx"]).select("doc_id", "th", "pos", "side", "more", F.element_at("cuts", F.col("more") + 1).alias("cut")).distinct()
+    grown = contexts.where("cuts is not null").join(more, ["h", "side", "ctx"]).select("doc_id", "th", "pos", "side", "more", F.element_at("cuts", F.col("more") + 1).alias("cut")).distinct()
     out = runs.drop("h").join(grown, ["doc_id", "th", "pos", "side"])
     left = F.min(F.when(F.col("side") == LEFT, F.struct((F.col("pos") - F.col("more")).alias("word"), "cut")))
     right = F.max(F.when(F.col("side") == RIGHT, F.struct((F.col("pos") + AGREE + F.col("more")).alias("word"), "cut")))
