@@ -65,7 +65,7 @@ class Featurizer:
             insults = sum(words.count(w) for w in kinds.intersection(INSULTS))
             to = np.array([i for i, w in enumerate(words) if w in SECOND])
             if len(to) and at:
-                near = 1.0 / min(int(np.abs(to - i).min()) for i in at)
+                near = 1.0 / max(1, min(int(np.abs(to - i).min()) for i in at))
         masked = _MASKED.findall(text)
         unmasked = sum(1 for m in masked if self.weight(m.lower().translate(_LEET).replace("*", "")) > 0)
         seen = np.bincount(raw, minlength=256)
