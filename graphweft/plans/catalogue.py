@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..operators import datasets, features, graph, models, paths, scoring, walks
 from ..sources.triples import kg, parse_graph
 from .oracle import ORACLE_SQL  # noqa: F401
@@ -24,11 +25,11 @@ def small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.capped(graph.both_ways(small(spark, sf_dir)), CAP)
+    return stored(graph.capped(graph.both_ways(small(spark, sf_dir)), CAP), "adjacency")
 
 
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.pair_subgraph(instances(spark, sf_dir), adjacency(spark, sf_dir), 2, ["in_nation"])
+    return stored(paths.pair_subgraph(instances(spark, sf_dir), adjacency(spark, sf_dir), 2, ["in_nation"]), "subgraph")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
