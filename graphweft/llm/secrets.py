@@ -73,7 +73,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: Column | None = Non
     held = one.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
     held = held.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    judged = one.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(held, ["hash", "salt"])
+    judged = one.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(held.hint("merge"), ["hash", "salt"])  # salted copies grow with the data: never broadcast
     judged = judged.withColumn("live", F.col("looks") & (F.col("owners") < copied_owners)).where((F.col("place") < 3) | F.col("live"))
     spans = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "kind", "end", "live", "owners", "repos"))).alias("spans"))  # of one document
     none = F.expr("cast(array() as array<struct<start:bigint,place:int,kind:string,end:bigint,live:boolean,owners:bigint,repos:bigint>>)")
