@@ -110,3 +110,73 @@ def similar_pairs(vectors: DataFrame, lower: float, upper: float = 2.0) -> DataF
     a, b = u.select(F.col("r").alias("r1"), F.col("v").alias("x")), u.select(F.col("r").alias("r2"), F.col("v").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     return a.join(b, F.col("r1") != F.col("r2")).select("r1", "r2", dot.alias("weight")).where((F.col("weight") > lower) & (F.col("weight") < upper))
+
+
+SUPPORT = "relation string, of long, alpha double, norm double, features map<string,double>"
+
+
+def kernel_svm(features: DataFrame, kernel: str = "rbf", gamma: float = 1.0, c: float = 1.0, passes: int = 30, most_rows: int = 4096) -> DataFrame:
+    """Support rows of a support vector machine for each relation, by dual coordinate descent in fixed order. Kernels: linear,
+    quadratic (the dot product squared), rbf. A relation trains on at most most_rows rows, those whose iid hashes
+    least: the kernel matrix of these must fit a task."""
+    if kernel not in ("linear", "quadratic", "rbf"):
+        raise ValueError(f"unknown kernel: {kernel}")
+    from pyspark.sql import Window
+
+    ids = features.select("relation", "iid").distinct()
+    order = Window.partitionBy("relation").orderBy(F.xxhash64("iid"), "iid")
+    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_rows).select("relation", "iid")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, v, y, d = _design(rows)
+        names, n = np.unique(rows["feature"].astype(str)), len(y)
+        order = np.argsort(i, kind="stable")
+        cuts = np.searchsorted(i[order], np.arange(n + 1))
+        by = np.argsort(j, kind="stable")
+        k = np.zeros((n, n))
+        for a in range(0, d, 512):  # columns in blocks, so memory follows the rows
+            z = by[slice(*np.searchsorted(j[by], [a, a + 512]))]
+            x = np.zeros((n, min(512, d - a)))
+            x[i[z], j[z] - a] = v[z]
+            k += x @ x.T
+        norm = k.diagonal().copy()
+        if kernel == "quadratic":
+            k *= k
+        elif kernel == "rbf":
+            k = np.exp(-gamma * np.maximum(0, norm[:, None] + norm[None] - 2 * k))
+        sign, alpha, f = 2 * y - 1, np.zeros(n), np.zeros(n)
+        for _ in range(passes):
+            for r in range(n):
+                if k[r, r]:
+                    new = np.clip(alpha[r] - (sign[r] * f[r] - 1) / k[r, r], 0, c)
+                    if new != alpha[r]:
+                        f += (new - alpha[r]) * sign[r] * k[r]
+                        alpha[r] = new
+        keep = np.flatnonzero(alpha)
+        own = [{names[j[z]]: float(v[z]) for z in order[cuts[r] : cuts[r + 1]]} for r in keep]
+        return pd.DataFrame({"relation": [rows["relation"].iloc[0]] * len(keep), "of": np.unique(rows["iid"])[keep], "alpha": (alpha * sign)[keep], "norm": norm[keep], "features": own})
+
+    return features.join(chosen, ["relation", "iid"], "left_semi").groupBy("relation").applyInPandas(fit, SUPPORT)
+
+
+def kernel_scores(features: DataFrame, support: DataFrame, kernel: str = "rbf", gamma: float = 1.0) -> DataFrame:
+    """(relation, iid, score) of all rows. Only rows and support rows that share a feature are joined: what an rbf kernel has for all
+    others is one sum for a relation."""
+    s = support.select("relation", "of", "alpha", "norm", F.explode("features").alias("feature", "z"))
+    x = features.select("relation", "iid", "feature", "value")
+    norms = x.groupBy("relation", "iid").agg(F.sum(F.col("value") * F.col("value")).alias("size"))
+    dots = x.join(s, ["relation", "feature"]).groupBy("relation", "iid", "of", "alpha", "norm").agg(F.sum(F.col("value") * F.col("z")).alias("dot"))
+    if kernel == "rbf":
+        g = F.lit(float(gamma))
+        part = F.col("alpha") * (F.exp(-g * F.greatest(F.lit(0.0), F.col("size") + F.col("norm") - 2 * F.col("dot"))) - F.exp(-g * (F.col("size") + F.col("norm"))))
+        shared = dots.join(norms, ["relation", "iid"]).groupBy("relation", "iid").agg(F.sum(part).alias("part"))
+        base = support.groupBy("relation").agg(F.sum(F.col("alpha") * F.exp(-g * F.col("norm"))).alias("base"))
+        out = norms.join(base, "relation", "left").join(shared, ["relation", "iid"], "left")
+        return out.select("relation", "iid", (F.coalesce("base", F.lit(0.0)) * F.exp(-g * F.col("size")) + F.coalesce("part", F.lit(0.0))).alias("score"))
+    part = F.col("alpha") * (F.col("dot") if kernel == "linear" else F.col("dot") * F.col("dot"))
+    got = dots.groupBy("relation", "iid").agg(F.sum(part).alias("part"))
+    return norms.join(got, ["relation", "iid"], "left").select("relation", "iid", F.coalesce("part", F.lit(0.0)).alias("score"))
+
+
+def binarised(features: DataFrame) -> DataFrame:
+    return features.where("value <> 0").withColumn("value", F.lit(1.0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paths import encode
+from ..functions.tables import stored
+from .paths import encode, flip
 
 
 def page_rank(starts: DataFrame, adj: DataFrame, walks: int = 250, steps: int = 4, restart: float = 0.15, allowed: DataFrame | None = None) -> DataFrame:
@@ -66,3 +67,81 @@ def two_sided_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     b = target.groupBy("iid", "node", "path", "back").agg(F.count("*").alias("c2"))
     met = a.alias("a").join(b.alias("b"), ["iid", "node"])
     return met.groupBy(encode(F.concat("a.path", "b.back")).alias("path")).agg(F.sum(F.col("c1") * F.col("c2")).alias("n_pairs"))
+
+
+def page_rank_edges(starts: DataFrame, adj: DataFrame, walks: int = 250, iterations: int = 4, restart: float = 0.15, most: int = 100, allowed: DataFrame | None = None) -> DataFrame:
+    """(start, node, visits): the same by edges with their multiplicity; a walk restarts before it moves, and also at a node without
+    edges. The most visited nodes of each start (ties by name), of which the allowed ones are kept."""
+    step = adj.groupBy("n", "m").agg(F.count("*").alias("k"))
+    step = step.join(adj.groupBy("n").agg(F.count("*").alias("d")), "n")
+    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(float(walks)))
+    seen = None
+    for i in range(iterations):
+        moved = now.join(step, F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(F.col("w") * (1 - restart) * F.col("k") / F.col("d")).alias("w"))
+        seen = moved if seen is None else seen.unionAll(moved)
+        if i + 1 < iterations:
+            home = now.select("start").distinct().select("start", F.col("start").alias("node"))
+            kept = moved.groupBy("start").agg(F.sum("w").alias("out"))
+            back = home.join(kept, "start", "left").select("start", "node", (F.lit(float(walks)) - F.coalesce("out", F.lit(0.0))).alias("w"))
+            now = moved.unionAll(back).groupBy("start", "node").agg(F.sum("w").alias("w"))
+    out = top(seen.where("start <> node").groupBy("start", "node").agg(F.sum("w").alias("visits")), "start", "visits", "node", most)
+    return (out if allowed is None else out.join(allowed.select(F.col("n").alias("node")).distinct(), "node", "left_semi")).select("start", "node", "visits")
+
+
+def found_paths(inst: DataFrame, start: str, adj: DataFrame, walks: int = 100, steps: int = 3, restart: float = 0.0, held_out: list[str] | None = None) -> DataFrame:
+    """(iid, start, node, path, back, visits): how often walks are expected at node after path since they last began. A walk takes a
+    uniform edge; it begins anew, which costs a step, by the chance restart, or if the edge leads to a node that it has
+    seen or is of a held-out relation and joins the pair. Exact: the share of walks at the start after t steps is what no path of
+    1 to t hops holds."""
+    shut = [x for r in held_out or [] for x in (r, f"_{r}")]
+    degree = adj.groupBy("n").agg(F.count("*").alias("d"))
+    step = adj.groupBy("n", "l", "m").agg(F.count("*").alias("k")).join(degree, "n")
+    empty = F.expr("cast(array() as array<string>)")
+    now = inst.select("iid", "source", "target", F.col(start).alias("start"), F.col(start).alias("node"), F.array(F.col(start)).alias("seen"), empty.alias("path"), empty.alias("back"), F.lit(1.0).alias("w"))
+    fresh = None
+    for _ in range(steps):
+        x = now.join(step, F.col("node") == F.col("n")).where(~F.array_contains("seen", F.col("m")))
+        if shut:
+            joins = ((F.col("n") == F.col("source")) & (F.col("m") == F.col("target"))) | ((F.col("n") == F.col("target")) & (F.col("m") == F.col("source")))
+            x = x.where(~(F.col("l").isin(shut) & joins))
+        now = x.select("iid", "source", "target", "start", F.col("m").alias("node"), F.concat("seen", F.array("m")).alias("seen"), F.concat("path", F.array("l")).alias("path"), F.concat(F.array(flip(F.col("l"))), "back").alias("back"), (F.col("w") * (1 - restart) * F.col("k") / F.col("d")).alias("w"))
+        fresh = now if fresh is None else fresh.unionAll(now)
+    fresh = stored(fresh.groupBy("iid", "start", "node", "path", "back").agg(F.sum("w").alias("w")), "walks")
+    away = [F.coalesce(F.sum(F.when(F.size("path") == h, F.col("w"))), F.lit(0.0)).alias(f"m{h}") for h in range(1, steps + 1)]
+    share = fresh.groupBy("iid", "start").agg(*away).withColumn("h0", F.lit(1.0))
+    for t in range(1, steps):
+        share = share.withColumn(f"h{t}", 1 - sum(F.col(f"h{t - h}") * F.col(f"m{h}") for h in range(1, t + 1)))
+    begun = F.array(*[F.col(f"h{t}") for t in range(steps)])
+    share = share.select("iid", "start", begun.alias("begun"))
+    times = F.aggregate(F.slice("begun", 1, F.lit(steps + 1) - F.size("path")), F.lit(0.0), lambda a, x: a + x)
+    return fresh.join(share, ["iid", "start"]).select("iid", "start", "node", "path", "back", (F.col("w") * times * walks).alias("visits"))
+
+
+def follow_paths(starts: DataFrame, adj: DataFrame, paths: DataFrame, normalise: bool = True, walks: int = 100, closed: DataFrame | None = None) -> DataFrame:
+    """(path, start, target, p) for all paths (path array) at once: one join a hop, keyed by node and label. p is the share of
+    walks that end there, or without normalise the expected number of walks that get through. closed: edges (n, l, m) that count as
+    choices but end a walk."""
+    degree = adj.groupBy("n", "l").agg(F.count("*").alias("d"))
+    step = adj.groupBy("n", "l", "m").agg(F.count("*").alias("k")).join(degree, ["n", "l"])
+    if closed is not None:
+        step = step.join(closed.distinct(), ["n", "l", "m"], "left_anti")
+    paths = paths.select("path").distinct().where(F.size("path") > 0)
+    heads = paths.select("path", F.col("path")[0].alias("l"))
+    move = F.sum(F.col("w") * F.col("k") / F.col("d")).alias("w")
+    first = starts.select("n").distinct().join(step, "n").join(heads, "l").withColumn("w", F.lit(1.0))
+    now = first.groupBy("path", F.col("n").alias("start"), F.col("m").alias("node")).agg(move)
+    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    done = now.where(F.size("path") == 1)
+    for i in range(1, longest):
+        x = now.where(F.size("path") > i).withColumn("l", F.col("path")[i]).join(step.withColumnRenamed("n", "node"), ["node", "l"])
+        now = x.groupBy("path", "start", F.col("m").alias("node")).agg(move)
+        done = done.unionAll(now.where(F.size("path") == i + 1))
+    p = F.col("w") / F.sum("w").over(Window.partitionBy("path", "start")) if normalise else F.col("w") * walks
+    return done.select("path", "start", F.col("node").alias("target"), p.alias("p"))
+
+
+def paired_counts(found_source: DataFrame, found_target: DataFrame) -> DataFrame:
+    """(iid, path array, visits): paths from source to target where both sides' walks meet, by the product of their visits."""
+    a, b = found_source.alias("a"), found_target.alias("b")
+    met = a.join(b, ["iid", "node"]).select("iid", F.concat("a.path", "b.back").alias("path"), (F.col("a.visits") * F.col("b.visits")).alias("visits"))
+    return met.groupBy("iid", "path").agg(F.sum("visits").alias("visits"))
