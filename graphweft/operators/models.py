@@ -106,7 +106,7 @@ def densify(edges: DataFrame, sims: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, lower: float, upper: float = 2.0) -> DataFrame:
     """Pairs of a bounded set of relation vectors (r, v), scaled to length 1, with lower < dot < upper, both ways."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    u = vectors.where(norm > 0).select("r", F.transform("v", lambda x: x / norm).alias("v"))
+    u = vectors.where(norm > 0).select("r", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
     a, b = u.select(F.col("r").alias("r1"), F.col("v").alias("x")), u.select(F.col("r").alias("r2"), F.col("v").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     return a.join(b, F.col("r1") != F.col("r2")).select("r1", "r2", dot.alias("weight")).where((F.col("weight") > lower) & (F.col("weight") < upper))

@@ -25,7 +25,7 @@ def unit(vectors: DataFrame) -> DataFrame:
     """Vectors (r, v) of length 1; null and zero ones and those with a component that is no number go."""
     norm = F.sqrt(dot("v", "v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where("v is not null").where(fine).where(norm > 0).select("r", F.transform("v", lambda x: x / norm).alias("v"))
+    return vectors.where("v is not null").where(fine).where(norm > 0).select("r", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
 
 
 def gram(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _edges_rank(steps: int) -> str:
         q += f", m{i} AS (SELECT x.start, st.m AS node, sum(x.w * 0.85 * st.q) AS w FROM w{i} x JOIN st ON x.node = st.n GROUP BY x.start, st.m)"
         q += f", w{i + 1} AS (SELECT start, node, sum(w) AS w FROM (SELECT * FROM m{i} UNION ALL SELECT w0.start, w0.start, 250 - coalesce(g.w, 0) FROM w0 LEFT JOIN (SELECT start, sum(w) AS w FROM m{i} GROUP BY start) g ON w0.start = g.start) z GROUP BY start, node)"
     every = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(steps))
-    return q + f" SELECT start, node, {o._round('visits')} FROM (SELECT start, node, sum(w) AS visits FROM ({every}) z WHERE start <> node GROUP BY start, node) y"
+    return q + f" SELECT start, node, floor(visits * CAST(1000000 AS DOUBLE) + CAST(0.3 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS visits FROM (SELECT start, node, sum(w) AS visits FROM ({every}) z WHERE start <> node GROUP BY start, node) y"
 
 
 _FOLLOWED = [["_placed_by", "from_supp"], ["_placed_by", "from_supp", "supp_nation"], ["in_nation"]]
