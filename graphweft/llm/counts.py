@@ -16,6 +16,9 @@ from .tokens import encoder, kind, public_path
 
 CACHE = "version string, digest binary, n_tokens long"
 
+#: A digest is hot above this share of all rows, so fewer than 1 / SHARE are; each hot one is dealt in SALTS parts.
+SHARE, SALTS = 1 / 512, 64
+
 
 def version(path: str) -> str:
     """Digest of a tokenizer's file: counts of another file are never taken."""
@@ -66,7 +69,12 @@ def counted(docs: DataFrame, path: str, cache_path: str, limit: int = 2048) -> D
     new = texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
     new.select(F.lit(tag).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     now = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == tag).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    out = keys.join(now, "digest", "left")
+    hot = keys.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > max(1, keys.count() * SHARE)).select("digest", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)  # fewer than 512 rows at every size
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    now = now.join(hot, "digest", "left").select("digest", "n_tokens", F.explode(parts).alias("part"))
+    out = keys.join(hot, "digest", "left").withColumn("part", part).join(now, ["digest", "part"], "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
