@@ -161,9 +161,14 @@ def kernel_svm(features: DataFrame, kernel: str = "rbf", gamma: float = 1.0, c:
 
 def kernel_scores(features: DataFrame, support: DataFrame, kernel: str = "rbf", gamma: float = 1.0) -> DataFrame:
     """(relation, iid, score) of all rows. Only rows and support rows that share a feature are joined: what an rbf kernel has for all
-    others is one sum for a relation."""
-    s = support.select("relation", "of", "alpha", "norm", F.explode("features").alias("feature", "z"))
-    x = features.select("relation", "iid", "feature", "value")
+    others is one sum for a relation. Rows with the same features are scored once, and support rows with the same features are one."""
+    entries = F.sort_array(F.map_entries("features"))
+    support = support.groupBy("relation", entries.alias("entries")).agg(F.sum("alpha").alias("alpha"), F.min("norm").alias("norm"), F.min("of").alias("of"))
+    s = support.select("relation", "of", "alpha", "norm", F.explode("entries").alias("e")).select("relation", "of", "alpha", "norm", F.col("e.key").alias("feature"), F.col("e.value").alias("z"))
+    rows = features.groupBy("relation", "iid").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("row"))
+    rows = rows.withColumn("kind", F.sha2(F.to_json("row"), 256))
+    named = rows.select("relation", "iid", "kind")
+    x = rows.groupBy("relation", F.col("kind").alias("iid")).agg(F.any_value("row").alias("row")).select("relation", "iid", F.explode("row").alias("e")).select("relation", "iid", "e.feature", "e.value")
     norms = x.groupBy("relation", "iid").agg(F.sum(F.col("value") * F.col("value")).alias("size"))
     dots = x.join(s, ["relation", "feature"]).groupBy("relation", "iid", "of", "alpha", "norm").agg(F.sum(F.col("value") * F.col("z")).alias("dot"))
     if kernel == "rbf":
@@ -172,10 +177,12 @@ def kernel_scores(features: DataFrame, support: DataFrame, kernel: str = "rbf",
         shared = dots.join(norms, ["relation", "iid"]).groupBy("relation", "iid").agg(F.sum(part).alias("part"))
         base = support.groupBy("relation").agg(F.sum(F.col("alpha") * F.exp(-g * F.col("norm"))).alias("base"))
         out = norms.join(base, "relation", "left").join(shared, ["relation", "iid"], "left")
-        return out.select("relation", "iid", (F.coalesce("base", F.lit(0.0)) * F.exp(-g * F.col("size")) + F.coalesce("part", F.lit(0.0))).alias("score"))
+        out = out.select("relation", F.col("iid").alias("kind"), (F.coalesce("base", F.lit(0.0)) * F.exp(-g * F.col("size")) + F.coalesce("part", F.lit(0.0))).alias("score"))
+        return named.join(out, ["relation", "kind"]).select("relation", "iid", "score")
     part = F.col("alpha") * (F.col("dot") if kernel == "linear" else F.col("dot") * F.col("dot"))
     got = dots.groupBy("relation", "iid").agg(F.sum(part).alias("part"))
-    return norms.join(got, ["relation", "iid"], "left").select("relation", "iid", F.coalesce("part", F.lit(0.0)).alias("score"))
+    out = norms.join(got, ["relation", "iid"], "left").select("relation", F.col("iid").alias("kind"), F.coalesce("part", F.lit(0.0)).alias("score"))
+    return named.join(out, ["relation", "kind"]).select("relation", "iid", "score")
 
 
 def binarised(features: DataFrame) -> DataFrame:
