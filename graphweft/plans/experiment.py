@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import stored
@@ -129,15 +129,25 @@ def _features(relation: str, split: DataFrame, edges: DataFrame, spec: dict, hel
     return out[0].select(*cols), out[1].select(*cols)
 
 
-def model(spec: dict, features: DataFrame) -> DataFrame:
-    """Weights of a linear model, or support rows of a kernel machine."""
-    kind = spec.get("type", "LR")
-    f = models.binarised(features) if spec.get("binarize features") else features
-    if kind == "LR":
-        return models.logistic(f, spec.get("l1 weight", 0.0), spec.get("l2 weight", 0.0))
-    if kind == "SVM":
-        return models.linear_svm(f)
-    raise ValueError(f"unknown model: {kind}")
+def model(spec: dict, features: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights, and scores of the tests. A kernel machine has support rows and no weights, so its first table is empty."""
+    known_keys(spec, ["type", "l1 weight", "l2 weight", "binarize features", "kernel", "log level", "max training examples"], "learning")
+    kind, kernel, most = spec.get("type", "LR"), spec.get("kernel", "linear"), spec.get("max training examples")
+    kernel = kernel if isinstance(kernel, dict) else {"type": kernel}
+    f, tests = ((models.binarised(x) for x in (features, tests)) if spec.get("binarize features") else (features, tests))
+    if most is not None:
+        order = Window.partitionBy("relation").orderBy(F.xxhash64("iid"), "iid")
+        few = f.select("relation", "iid").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        f = f.join(few.select("relation", "iid"), ["relation", "iid"], "left_semi")
+    if kind == "SVM" and kernel["type"] != "linear":
+        name, gamma = kernel["type"], kernel.get("gamma", 1.0)
+        support = stored(models.kernel_svm(f, name, gamma), "support")
+        return f.sparkSession.createDataFrame([], models.WEIGHTS), models.kernel_scores(tests, support, name, gamma)
+    if kind not in ("LR", "SVM"):
+        raise ValueError(f"unknown model: {kind}")
+    w = models.logistic(f, spec.get("l1 weight", 0.0), spec.get("l2 weight", 0.0)) if kind == "LR" else models.linear_svm(f)
+    w = stored(w, "weights")
+    return w, models.scores(tests, w)
 
 
 def train_and_test(spark: SparkSession, spec: dict, split: DataFrame, edges: DataFrame | None = None, unallowed: dict[str, list[str]] | None = None) -> Result:
@@ -156,13 +166,15 @@ def train_and_test(spark: SparkSession, spec: dict, split: DataFrame, edges: Dat
     learning = op.get("learning", {})
     if kind == "create matrices":
         w = spark.createDataFrame([], models.WEIGHTS)
+        scores = models.scores(testing, w)
     elif kind == "sgd train and test":
         w = models.online(training, learning.get("learning rate a", 1.0), learning.get("learning rate b", 1.0), learning.get("learning rate momentum", 0.5), learning.get("l2 weight", 0.0), learning.get("iterations", 5))
+        w = stored(w, "weights")
+        scores = models.scores(testing, w)
     else:
-        w = model(learning, training)
-    w = stored(w, "weights")
+        w, scores = model(learning, training, testing)
     rows = testing.select("relation", "iid", "source", "target", "label").distinct()
-    scored = rows.join(models.scores(testing, w), ["relation", "iid"])
+    scored = rows.join(scores, ["relation", "iid"])
     if kind == "sgd train and test":
         every = split.where("fold = 'testing'").select("relation", "source", "target", "label").distinct()
         silent = every.join(rows, ["relation", "source", "target"], "left_anti").select("relation", "source", "target", "label", F.lit(0.0).alias("score"))

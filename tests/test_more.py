@@ -199,6 +199,10 @@ def test_experiment(spark, tmp_path, kind):
     assert all(x["correct"] == (got[x["source"], x["target"]][1] > 0) for x in back)
     with pytest.raises(ValueError):
         experiment.train_and_test(spark, {"operation": {"type": "other"}}, split, e)
+    if kind == "subgraphs":
+        rbf = {"operation": {"features": {"type": kind}, "learning": {"type": "SVM", "kernel": {"type": "rbf", "gamma": 0.5}, "max training examples": 19}}}
+        k = experiment.train_and_test(spark, rbf, split, e).scores.collect()
+        assert len(k) == 20 and all((x["score"] > 0) == (x["label"] > 0) for x in k)
 
 
 def test_generated_graph_of_a_specification(spark, tmp_path):
