@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,11 @@ from pyspark.sql import functions as F
 
 from .shared import SLICE, Forest, claim, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
 
-#: Words in a shingle; link documents from 85 : 100 on.
+#: Words in a shingle; op4 links documents from 85 : 100 on, the stage of the pipeline from 80 : 100 on.
 WORDS, PER, OF = 5, 85, 100
-#: Registers: 24 bands of 4; a pair at the limit shares no band once in 4e7. Base of their spacing.
+STAGE_PER, STAGE_OF = 80, 100
+#: Registers: 24 bands of 4; a pair at 0.85 shares no band once in 4e7, one at 0.80 once in 3e5. Base of their spacing.
 BANDS, ROWS, BASE = 24, 4, 1.001
-#: Pairs whose likeliest similarity is below this aren't verified: four standard errors under the limit.
-LOWEST = 0.70
 #: Rows of a bucket, and shingles of a group, that a task holds at once; larger ones are dealt in pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
@@ -64,14 +64,21 @@ def bands(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely(less: np.ndarray, more: np.ndarray, same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def lowest(per: int, of: int) -> float:
+    """Pairs whose likeliest similarity is below this aren't verified: four standard errors under the limit."""
+    x = per / of
+    return math.floor(100 * (x - 4 * math.sqrt(x * (1 - x) / (BANDS * ROWS)))) / 100
+
+
+def likely(less: np.ndarray, more: np.ndarray, same: np.ndarray, n: np.ndarray, m: np.ndarray, per: int = PER, of: int = OF) -> np.ndarray:
     """Whether the likelihood of the similarity, given how often one set's register is below, above or equal to the other's
-    and both sizes, still rises at LOWEST: its peak is there or higher. Pairs whose sizes rule a link out are not likely."""
+    and both sizes, still rises at the lowest: its peak is there or higher. Pairs whose sizes rule a link out are not likely."""
+    low = lowest(per, of)
     small, large = np.minimum(n, m), np.maximum(n, m)
     u, v = n / (n + m), m / (n + m)
-    fits = small * OF >= large * PER
+    fits = small * of >= large * per
     k = (BASE - 1) / BASE
-    x1, x2 = np.where(fits, u - v * LOWEST, 0.5), np.where(fits, v - u * LOWEST, 0.5)
+    x1, x2 = np.where(fits, u - v * low, 0.5), np.where(fits, v - u * low, 0.5)
     p = lambda x: -np.log1p(-x * k) / math.log(BASE)
     d = lambda x: k / (math.log(BASE) * (1 - x * k))
     p1, p2 = p(x1), p(x2)
@@ -113,7 +120,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table | None:
     return pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=EDGES) if pairs else None
 
 
-def _bucket(rows: pa.Table) -> pa.Table | None:
+def _bucket(rows: pa.Table, per: int = PER, of: int = OF) -> pa.Table | None:
     """Candidates of a bucket, or of a pair of its blocks, as a forest: at most one edge a row."""
     ids, n, side = (rows.column(c).combine_chunks().to_numpy() for c in ("doc_id", "n", "block"))
     regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
@@ -121,23 +128,24 @@ def _bucket(rows: pa.Table) -> pa.Table | None:
     ids, n, side, regs = ids[order], n[order], side[order], regs[order]
     both = side[0] != side[-1]
     first = int(np.searchsorted(side, side[-1])) if both else len(ids)
+    least = (lowest(per, of) - 0.2) * regs.shape[1]
     forest, out = Forest(len(ids)), []
     for r in range(first):
         lo = first if both else r + 1
         same = (regs[lo:] == regs[r]).sum(axis=1)
-        near = np.flatnonzero(same * 2 >= regs.shape[1])
+        near = np.flatnonzero(same >= least)
         if not len(near):
             continue
         x = near + lo
         more = (regs[r] > regs[x]).sum(axis=1)
-        ok = x[likely(regs.shape[1] - same[near] - more, more, same[near], np.full(len(x), n[r]), n[x])]
+        ok = x[likely(regs.shape[1] - same[near] - more, more, same[near], np.full(len(x), n[r]), n[x], per, of)]
         for y in ok.tolist():
             if forest.join(r, y):
                 out.append((int(ids[r]), int(ids[y])))
     return _edges(out)
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
     """A forest of the links (verified on full sets) within one block, or across two. Every link lies within a tree.
 
     Shingles are ranked by how rare they are here; two sets as similar as the limit share one of the rarest
@@ -159,7 +167,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tup
     forest, out = Forest(k), []
     for d in range(k):
         mine = np.sort(rank[bounds[d] : bounds[d + 1]])
-        prefix = mine[: n[d] - (-(-PER * n[d] // OF)) + 1]
+        prefix = mine[: n[d] - (-(-per * n[d] // of)) + 1]
         prefix = prefix[shared[prefix]]
         if not len(prefix):
             continue
@@ -167,7 +175,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tup
         near = near[near < d]
         if both:
             near = near[side[near] != side[d]]
-        near = near[(np.minimum(n[near], n[d]) * OF >= np.maximum(n[near], n[d]) * PER)]
+        near = near[(np.minimum(n[near], n[d]) * of >= np.maximum(n[near], n[d]) * per)]
         root = forest.find(d)
         near = [x for x in near.tolist() if forest.find(x) != root]
         if not near:
@@ -179,14 +187,14 @@ def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tup
             meet = {x: len(np.intersect1d(sets[d], sets[x], assume_unique=True)) for x in near}
         for x in near:
             common_n = int(meet[x])
-            if OF * common_n >= PER * (int(n[d]) + int(n[x]) - common_n) and forest.join(d, x):
+            if of * common_n >= per * (int(n[d]) + int(n[x]) - common_n) and forest.join(d, x):
                 out.append((int(ids[d]), int(ids[x])))
     return out
 
 
-def _group(rows: pa.Table) -> pa.Table | None:
+def _group(rows: pa.Table, per: int = PER, of: int = OF) -> pa.Table | None:
     ids, side = (rows.column(c).combine_chunks().to_numpy() for c in ("doc_id", "block"))
-    return _edges(links(ids, [np.frombuffer(x, np.uint64) for x in rows.column("x").to_pylist()], side))
+    return _edges(links(ids, [np.frombuffer(x, np.uint64) for x in rows.column("x").to_pylist()], side, per, of))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -195,8 +203,8 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def near_duplicates(docs: DataFrame, per: int = PER, of: int = OF) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; documents link from a similarity of per : of on.
 
     Rows with equal sets are one class first, by grouped minimum. Class representatives that share a band are
     candidates; buckets with the same members are read once. Candidate pairs of a bucket give a forest, so rows grow with
@@ -214,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("low")).where("c > 1")
     buckets = buckets.groupBy("c", "who", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
     members = keyed.join(buckets, "key").join(reps.select("doc_id", "n", "regs"), "doc_id")
-    coarse = components(sorted_groups(_pairs(members).select("key", "i", "j", "doc_id", "block", "n", "regs"), ["key", "i", "j"], _bucket, "a long, b long"), "candidates")
+    coarse = components(sorted_groups(_pairs(members).select("key", "i", "j", "doc_id", "block", "n", "regs"), ["key", "i", "j"], partial(_bucket, per=per, of=of), "a long, b long"), "candidates")
     coarse = written(coarse.join(reps.select(F.col("doc_id").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "n"), "groups")
     sizes = coarse.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
     chosen = coarse.join(sizes, "group").select("doc_id", "group", "blocks")
@@ -229,9 +237,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[p:q].tobytes() for p, q in zip(rows, rows[1:])], pa.binary())], names=["doc_id", "group", "blocks", "x"])
 
     full = texts.select("doc_id", "group", "blocks", "text").mapInArrow(sets, "doc_id long, group long, blocks long, x binary").where(F.octet_length("x") > 0)
-    found = components(sorted_groups(_pairs(full).select("group", "i", "j", "doc_id", "block", "x"), ["group", "i", "j"], _group, "a long, b long"), "links")
-    of = classes.join(found, F.col("rep") == F.col("node"), "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = s.select("doc_id", "n", "fa", "fb").join(of, ["fa", "fb", "n"], "left")
+    found = components(sorted_groups(_pairs(full).select("group", "i", "j", "doc_id", "block", "x"), ["group", "i", "j"], partial(_group, per=per, of=of), "a long, b long"), "links")
+    linked = classes.join(found, F.col("rep") == F.col("node"), "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = s.select("doc_id", "n", "fa", "fb").join(linked, ["fa", "fb", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -242,6 +250,6 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with all its columns; documents without words are each their own."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the data: never broadcast
+    """One document of each group linked from 80 : 100 on, with all its columns; documents without words are each their own."""
+    gone = near_duplicates(docs, STAGE_PER, STAGE_OF).where("not kept").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the data: never broadcast
     return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")

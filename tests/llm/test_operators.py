@@ -122,6 +122,20 @@ def test_near_duplicates(docs, empty):
     assert all(got[i]["component_id"] == i and got[i]["kept"] for i in (5, 6, 7, 10, 13)) and got[None]["kept"]
 
 
+def test_limit_of_the_stage(spark):
+    rng, rows = random.Random(21), []
+    for i, at in ((0, (3, 50, 100, 150)), (10, (3, 50, 100, 150, 196))):
+        words = prose(rng, 200).split()
+        other = [f"changed{k}" if k in at else w for k, w in enumerate(words)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+        a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (words, other))
+        assert (0.82 < len(a & b) / len(a | b) < 0.85) if i == 0 else (0.78 < len(a & b) / len(a | b) < 0.80)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in setsketch.stage(spark, table, "").collect()} == {0, 10, 11}
+    assert all(r["kept"] for r in setsketch.near_duplicates(table).collect())
+    assert setsketch.lowest(85, 100) == 0.70 and setsketch.lowest(80, 100) == 0.63
+
+
 def test_links_are_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 100, dtype=np.uint64)
