@@ -17,6 +17,8 @@ LIMIT = 0.93
 TARGET, CENTRES, BLOCK = 1024, 1024, 2048
 #: Edges of a node in one shard: the nearest, and those that pruning leaves, out of a pool.
 NEAREST, DEGREE, POOL, ALPHA = 8, 24, 64, 1.2
+#: Rows beyond the pool that are tried too: spread over the ranks of those within the limit, and of the rest; edges to them.
+SPREAD, FAR = (64, 16), (16, 8)
 #: Centres that a vector goes to, tried in this order until the audit finds enough links.
 OVERLAPS, AUDIT_ROWS, ENOUGH = (2, 4, 8), 256, 0.97
 
@@ -46,29 +48,42 @@ def centres(rows: list, counts: dict[int, int], seed: int = 3) -> dict[int, np.n
     return out
 
 
-def build(u: np.ndarray) -> np.ndarray:
-    """Edges of each row: its nearest, and from a pool of near rows those that pruning keeps: a row is dropped if one kept
-    before is closer to it, by the factor ALPHA, than the node is. Edges go both ways afterwards. -1 fills."""
-    n = len(u)
+def pruned(u: np.ndarray, cand: np.ndarray, far: np.ndarray, degree: int) -> np.ndarray:
+    """Of rows at these distances, in this order: a row is dropped if one kept before is closer to it, by the factor ALPHA,
+    than the node is."""
+    among = 1.0 - u[cand] @ u[cand].T
+    alive, kept = np.ones(len(cand), bool), []
+    for j in range(len(cand)):
+        if alive[j]:
+            kept.append(j)
+            if len(kept) == degree:
+                break
+            alive &= ALPHA * among[j] > far
+    return cand[kept]
+
+
+def build(u: np.ndarray, limit: float = LIMIT) -> np.ndarray:
+    """Edges of each row: its nearest, and those that pruning keeps of a pool of near rows and, from the farthest inwards,
+    of rows spread over all further ranks, so edges leave a group of near copies that is larger than the pool. Edges go
+    both ways afterwards. -1 fills."""
+    n, rng = len(u), np.random.default_rng(5)
     pool = min(POOL, n - 1)
     edges: list[list[int]] = [[] for _ in range(n)]
     for a in range(0, n, 512):
         s = u[a : a + 512] @ u.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        near = np.argpartition(-s, pool - 1, axis=1)[:, :pool] if pool else np.zeros((len(s), 0), int)
-        order = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        for i, cand in enumerate(near):
-            far = 1.0 - s[i][cand]
-            among = 1.0 - u[cand] @ u[cand].T
-            alive, kept = np.ones(len(cand), bool), []
-            for j in range(len(cand)):
-                if alive[j]:
-                    kept.append(j)
-                    if len(kept) == DEGREE:
-                        break
-                    alive &= ALPHA * among[j] > far
-            edges[a + i] = list(dict.fromkeys([*cand[:NEAREST].tolist(), *cand[kept].tolist()]))
+        ranked = np.argsort(-s, axis=1, kind="stable")[:, : n - 1]
+        linked = (s >= limit).sum(axis=1)
+        for i, row in enumerate(ranked):
+            cand = row[:pool]
+            out = [*cand[:NEAREST].tolist(), *pruned(u, cand, 1.0 - s[i][cand], DEGREE).tolist()]
+            cut = max(pool, int(linked[i]))
+            for rest, most, degree in zip((row[pool:cut], row[cut:]), SPREAD, FAR):
+                if len(rest):
+                    at = np.linspace(0, len(rest), min(most, len(rest)) + 1).astype(np.int64)
+                    cand = rest[rng.integers(at[:-1], at[1:])][::-1]
+                    out += pruned(u, cand, 1.0 - s[i][cand], degree).tolist()
+            edges[a + i] = list(dict.fromkeys(out))
     back: list[list[int]] = [[] for _ in range(n)]
     for i, e in enumerate(edges):
         for j in e:
@@ -144,11 +159,26 @@ def _assign(reps: DataFrame, c: dict[int, np.ndarray], overlap: int) -> DataFram
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
-def _graph(rows: pa.Table) -> pa.Table:
-    ids = rows.column("vec_id").combine_chunks().to_numpy()
-    edges = build(normed(matrix(rows.column("embedding"))))
-    keep = edges >= 0
-    return pa.table({"vec_id": pa.array(ids), "edges": pa.array([ids[e[k]].tolist() for e, k in zip(edges, keep)], pa.list_(pa.int64()))})
+def _graph(limit: float):
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("vec_id").combine_chunks().to_numpy()
+        edges = build(normed(matrix(rows.column("embedding"))), limit)
+        keep = edges >= 0
+        return pa.table({"vec_id": pa.array(ids), "edges": pa.array([ids[e[k]].tolist() for e, k in zip(edges, keep)], pa.list_(pa.int64()))})
+
+    return run
+
+
+FOUND = "label long, a long, b long, links long"
+
+
+def _found(label: int, ids: np.ndarray, links: np.ndarray, tree: list[tuple[int, int]]) -> pa.Table:
+    """Links of each row that has any, and a forest of the links."""
+    some = np.flatnonzero(links)
+    a = np.concatenate([ids[some], np.array([p[0] for p in tree], np.int64)])
+    b = pa.array([None] * len(some) + [p[1] for p in tree], pa.int64())
+    w = np.concatenate([links[some], np.zeros(len(tree), np.int64)])
+    return pa.table({"label": pa.array(np.full(len(a), label, np.int64)), "a": pa.array(a), "b": b, "links": pa.array(w)})
 
 
 def _search(limit: float):
@@ -174,10 +204,14 @@ def _search(limit: float):
         both = block.min() != block.max()
         ends = walk(u, edges)
         links, forest, out = np.zeros(len(ids), np.int64), Forest(len(ids)), []
+        met = np.zeros((len(ids), len(ids)), bool)
         for q in range(len(ids)):
             hit = around(u, edges, q, int(ends[q]), limit)
             if both:
                 hit = hit[block[hit] != block[q]]
+            met[q, hit] = met[hit, q] = True  # a pair counts for both ends, whichever search found it
+        for q in range(len(ids)):
+            hit = np.flatnonzero(met[q])
             if not len(hit):
                 continue
             # A pair that lies in several shards counts in the first of them.
@@ -189,11 +223,7 @@ def _search(limit: float):
                 if forest.find(h) != root and forest.join(q, h):
                     out.append((int(ids[q]), int(ids[h])))
                     root = forest.find(q)
-        some = np.flatnonzero(links)
-        a = np.concatenate([ids[some], np.array([p[0] for p in out], np.int64)])
-        b = pa.array([None] * len(some) + [p[1] for p in out], pa.int64())
-        w = np.concatenate([links[some], np.zeros(len(out), np.int64)])
-        return pa.table({"a": pa.array(a), "b": b, "links": pa.array(w)})
+        return _found(rows.column("label")[0].as_py(), ids, links, out)
 
     return run
 
@@ -222,10 +252,10 @@ def linked(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     audit = _audit(classes, limit)
     for overlap in OVERLAPS:
         placed = written(_assign(classes, c, overlap), "placed")
-        adjacency = sorted_groups(placed.select("label", "shard", "i", "j", "vec_id", "embedding"), ["label", "shard", "i", "j"], _graph, "vec_id long, edges array<bigint>")
+        adjacency = sorted_groups(placed.select("label", "shard", "i", "j", "vec_id", "embedding"), ["label", "shard", "i", "j"], _graph(limit), "vec_id long, edges array<bigint>")
         adjacency = written(adjacency.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")  # a few lists of bounded length
         searched = placed.select("label", "shard", "i", "j", "block", "vec_id", "shards", "mult", "embedding").join(adjacency, "vec_id")
-        found = written(sorted_groups(searched, ["label", "shard", "i", "j"], _search(limit), "a long, b long, links long"), "found")
+        found = written(sorted_groups(searched, ["label", "shard", "i", "j"], _search(limit), FOUND), "found")
         links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
         if overlap == OVERLAPS[-1] or not audit or max(len(x) for x in c.values()) <= overlap:
             break

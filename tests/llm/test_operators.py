@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,34 @@ def test_flat_graph(vectors):
     assert flat_graph.linked(df.limit(0)).count() == 0
 
 
+def groups(sizes, cosine, seed=8, d=48):
+    """Groups of near copies whose centres are at that cosine, the last group far from the others."""
+    rng, base = np.random.default_rng(seed), np.eye(d)
+    centre = [np.sqrt(cosine) * base[0] + np.sqrt(1 - cosine) * base[1 + i] for i in range(len(sizes) - 1)] + [base[-1]]
+    x = np.vstack([c + rng.normal(size=(n, d)) * 0.004 for n, c in zip(sizes, centre)])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("sizes", [(100, 100, 400), (300, 300, 5), (300, 100, 5)])
+def test_links_between_dense_groups(sizes):
+    x = groups(sizes, 0.95)
+    x = x[np.random.default_rng(2).permutation(len(x))]
+    u = flat_graph.normed(x)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    rows = pa.table({"label": [1] * len(x), "shard": [0] * len(x), "block": [0] * len(x), "vec_id": range(len(x)), "shards": [[0]] * len(x), "mult": [1] * len(x), "embedding": x.tolist()})
+    edges = flat_graph._graph(0.93)(rows).column("edges")
+    found = flat_graph._search(0.93)(rows.append_column("edges", edges)).to_pylist()
+    links, forest = np.zeros(len(x), int), shared.Forest(len(x))
+    for r in found:
+        if r["b"] is None:
+            links[r["a"]] += r["links"]
+        else:
+            forest.join(r["a"], r["b"])
+    assert (links <= near.sum(axis=1)).all() and (links >= 0.97 * near.sum(axis=1)).all()
+    assert len(set(forest.roots().tolist())) == 2
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
