@@ -19,7 +19,7 @@ TARGET, CENTRES, BLOCK = 1024, 1024, 2048
 NEAREST, DEGREE, POOL, ALPHA = 8, 24, 64, 1.2
 #: Rows beyond the pool that are tried too: spread over the ranks of those within the limit, and of the rest; edges to them.
 SPREAD, FAR = (64, 16), (16, 8)
-#: Centres that a vector goes to, tried in this order until the audit finds enough links.
+#: Centres that a vector goes to, tried in this order until the audit finds enough links; then labels are compared in full.
 OVERLAPS, AUDIT_ROWS, ENOUGH = (2, 4, 8), 256, 0.97
 
 
@@ -228,7 +228,46 @@ def _search(limit: float):
     return run
 
 
-def linked(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
+def _compare(limit: float):
+    """All links of a block, or across a pair of blocks, by comparison."""
+
+    def run(rows: pa.Table) -> pa.Table | None:
+        ids, block, mult = (rows.column(c).combine_chunks().to_numpy() for c in ("vec_id", "block", "mult"))
+        order = np.argsort(ids, kind="stable")
+        ids, block, mult = ids[order], block[order], mult[order]
+        u = normed(matrix(rows.column("embedding")))[order]
+        both = block.min() != block.max()
+        if not both and (rows.column("i")[0].as_py() != rows.column("j")[0].as_py()):
+            return None  # the other block is empty
+        links, forest, out = np.zeros(len(ids), np.int64), Forest(len(ids)), []
+        for a in range(0, len(ids), 512):
+            near = u[a : a + 512] @ u.T >= limit
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+            if both:
+                near &= block[a : a + 512, None] != block
+            links[a : a + 512] = near @ mult
+            for q, hits in enumerate(near, a):
+                root = forest.find(q)
+                for h in np.flatnonzero(hits).tolist():
+                    if forest.find(h) != root and forest.join(q, h):
+                        out.append((int(ids[q]), int(ids[h])))
+                        root = forest.find(q)
+        return _found(rows.column("label")[0].as_py(), ids, links, out)
+
+    return run
+
+
+def failing(audit: dict[int, tuple[int, int]], got: dict[int, int], enough: float) -> list[int]:
+    """Labels of which too few links were found: by the sum over their audited rows, or by the mean of the rows' shares."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for v, (label, n) in audit.items():
+        if n:
+            by.setdefault(label, []).append((min(got.get(v, 0), n), n))
+    bad = lambda x: sum(g for g, _ in x) < enough * sum(n for _, n in x) or sum(g / n for g, n in x) < enough * len(x)
+    return sorted(label for label, x in by.items() if bad(x))
+
+
+def linked(vectors: DataFrame, limit: float = LIMIT, enough: float = ENOUGH) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: links join rows with the same label (not null) and a cosine of
     limit or more, in doubles.
 
@@ -236,8 +275,8 @@ def linked(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     shards of their nearest centres, which are fitted on at most FIT_ROWS rows; each shard builds its graph;
     adjacency lists of all shards are united; a walk from the shard's medoid and an expanding search around its end find
     what is near, and every pair found is verified. A bounded set of rows is compared with all rows of its
-    label, and if too few of their links were found, vectors go to more shards. Shards that are too large for a task
-    are dealt in pairs of blocks. Output rows of a task grow with its vectors, not with pairs.
+    label; where too few of a label's links were found, its vectors go to more shards, and at last all pairs of the label
+    are compared. Shards that are too large for a task are dealt in pairs of blocks. Output rows of a task grow with its vectors, not with pairs.
 
     Null, empty, zero and non-finite vectors, those of another dimension than the commonest and rows with a null label
     have no links and are kept, as are rows with a null vec_id, whose component is null; an empty table gives an
@@ -248,20 +287,30 @@ def linked(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     classes = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult")), "vector-classes")
     counts = {r["label"]: r["count"] for r in classes.groupBy("label").count().collect()}  # one row a label
     c = centres([(r[0], r[1]) for r in sample(classes, ["label", "embedding"])], counts)
-    found = None
     audit = _audit(classes, limit)
+    parts, part, again, exact = [], classes, None, []
     for overlap in OVERLAPS:
-        placed = written(_assign(classes, c, overlap), "placed")
+        placed = written(_assign(part, c, overlap), "placed")
         adjacency = sorted_groups(placed.select("label", "shard", "i", "j", "vec_id", "embedding"), ["label", "shard", "i", "j"], _graph(limit), "vec_id long, edges array<bigint>")
         adjacency = written(adjacency.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")  # a few lists of bounded length
         searched = placed.select("label", "shard", "i", "j", "block", "vec_id", "shards", "mult", "embedding").join(adjacency, "vec_id")
         found = written(sorted_groups(searched, ["label", "shard", "i", "j"], _search(limit), FOUND), "found")
-        links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
-        if overlap == OVERLAPS[-1] or not audit or max(len(x) for x in c.values()) <= overlap:
-            break
-        got = {r["vec_id"]: r["links"] for r in links.where(F.col("vec_id").isin([x for x in audit])).collect()}  # AUDIT_ROWS rows
-        if sum(min(got.get(v, 0), n) for v, n in audit.items()) >= ENOUGH * sum(audit.values()):
+        sums = found.where(F.col("a").isin(list(audit))).groupBy("a").agg(F.sum("links").alias("links"))
+        got = {r["a"]: r["links"] for r in sums.collect()} if audit else {}  # AUDIT_ROWS rows
+        bad = failing({v: x for v, x in audit.items() if again is None or x[0] in again}, got, enough)  # AUDIT_ROWS labels at most
+        parts.append(found.where(~F.col("label").isin(bad)) if bad else found)
+        again = [x for x in bad if overlap != OVERLAPS[-1] and x in c and len(c[x]) > overlap]
+        exact += [x for x in bad if x not in again]
+        if not again:
             break
+        part = classes.where(F.col("label").isin(again))
+    if exact:
+        placed = written(_assign(classes.where(F.col("label").isin(exact)), {}, 1), "placed")
+        parts.append(written(sorted_groups(placed.select("label", "shard", "i", "j", "block", "vec_id", "mult", "embedding"), ["label", "shard", "i", "j"], _compare(limit), FOUND), "compared"))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionAll(x)
+    links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
     group = components(found.where("b is not null").select("a", "b"), "vector-links")
     of = classes.withColumnRenamed("vec_id", "rep").join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
@@ -271,8 +320,8 @@ def linked(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _audit(classes: DataFrame, limit: float) -> dict[int, int]:
-    """Links of a bounded set of rows to other classes, by comparison with every row of their label."""
+def _audit(classes: DataFrame, limit: float) -> dict[int, tuple[int, int]]:
+    """Label and links of a bounded set of rows to other classes, by comparison with every row of their label."""
     chosen = sample(classes, ["vec_id", "label", "embedding"], AUDIT_ROWS)
     if not chosen:
         return {}
@@ -290,7 +339,8 @@ def _audit(classes: DataFrame, limit: float) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "n"])
 
     out = classes.select("vec_id", "label", "embedding", "mult").mapInArrow(run, "vec_id long, n long")
-    return {r["vec_id"]: r["n"] for r in out.groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    total = {r["vec_id"]: r["n"] for r in out.groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    return {r[0]: (r[1], total.get(r[0], 0)) for r in chosen}
 
 
 def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,26 @@ def test_links_between_dense_groups(sizes):
     assert len(set(forest.roots().tolist())) == 2
 
 
+def test_audit_of_links(spark, monkeypatch):
+    audit = {1: (5, 1000), 2: (5, 2), 3: (5, 2), 4: (6, 10), 5: (7, 0)}
+    assert flat_graph.failing(audit, {1: 1000, 2: 2, 3: 2, 4: 10}, 0.97) == []
+    assert flat_graph.failing(audit, {1: 1000, 4: 10}, 0.97) == [5]  # the sum alone is 0.996
+    assert flat_graph.failing(audit, {1: 1000, 2: 2, 3: 2}, 0.97) == [6]
+    x = groups((60, 60, 20), 0.95)
+    u = flat_graph.normed(x)
+    near = u @ u.T >= 0.93
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(flat_graph, "BLOCK", 30)  # so labels are compared in pairs of blocks
+    got = {r["vec_id"]: r for r in flat_graph.linked(rows, enough=1.01).collect()}  # no graph is enough: all pairs
+    forest = shared.Forest(len(x))
+    for i in range(len(x)):
+        mine = [j for j in np.flatnonzero(near[i]).tolist() if j != i and j % 2 == i % 2]
+        assert got[i]["n_links"] == len(mine)
+        for j in mine:
+            forest.join(i, j)
+    assert [got[i]["component_id"] for i in range(len(x))] == forest.roots().tolist()
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
