@@ -51,7 +51,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: Column | None = Non
 
     Columns: rid (row key), doc_id, th (hash of the text), base (spans of the first three kinds) and spans (all: base and those that the
     ownership count adds), arrays of (start, place, kind, end, live) in order. A value's hash is counted by
-    distinct repositories and owners over the whole corpus: from copied_owners on it is an example. An opaque
+    distinct repositories and owners over the whole corpus: from copied_owners owners on it is an example (repositories are only
+    reported). An opaque
     string outside the base spans is added if it looks live and is held by fewer owners. Null text is empty; a null
     owner is an owner of its own; a null doc_id stays null; equal rows are scanned each for itself, and
     copies under one owner are that owner's; an empty table gives an empty result."""
@@ -93,7 +94,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking values of one owner are replaced in the text; examples that many owners copy stay."""
+    """Live-looking values of one owner are replaced in the text; examples that many owners copy stay. Rows with a null doc_id are
+    matched by the hash of their text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     live = scan(docs, "source", F.concat_ws("/", "source", "lang")).select("doc_id", "th", F.filter("spans", lambda x: x["live"]).alias("live")).where(F.size("live") > 0)
     live = live.groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th")).agg(F.min("live").alias("live")).hint("merge")  # grows with the data: never broadcast
@@ -106,7 +108,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     clean = F.aggregate("live", start, cut, lambda acc: F.concat(acc["made"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
     columns = docs.columns
-    out = docs.join(live, (F.col("doc_id") == F.col("of_doc")) & (F.xxhash64(text) == F.col("of_th")), "left")
+    out = docs.join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text) == F.col("of_th")), "left")
     out = out.withColumn("text", F.when(F.col("live").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -194,6 +194,13 @@ def test_ownership(spark):
     assert got[10]["base"] == [] and got[10]["spans"][0]["kind"] == "opaque"
 
 
+def test_secrets_without_an_id(spark):
+    rows = [(None, "b password=T7uVw2xYz9Qa", "o", "en"), (None, "plain", "o", "en"), (1, "b password=K3mNb8vCx5Zr", "o", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in secrets.stage(spark, table, "").collect())
+    assert len(got) == 3 and ("None", "plain") in got and not any("T7uVw" in x or "K3mNb" in x for _, x in got)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(5)
     rows = [(i, prose(rng, 60) + (" you zorbling " * 3 if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
