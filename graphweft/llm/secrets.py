@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import nested, table, text_hash, unnested, written
 
 # The kinds in their order, their patterns (Java; letters of assign in either ASCII case),
 # the group that is the secret, and its least length.
@@ -15,8 +15,8 @@ KINDS = [
     ("hex", r"[0-9a-f]+", 0, 24),
     ("opaque", r"[A-Za-z0-9+/_-]{20,}", 0, 20),
 ]
-#: From so many owners on, a value is a widely copied example and no credential of anyone.
-COPIED_OWNERS = 3
+#: From so many owners or repositories on, a value is a widely copied example and no credential of anyone.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 4
 SALTS = 16
 
 
@@ -46,15 +46,14 @@ def _live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= 7) & ~F.lower(value).rlike("example|sample|dummy|changeme|placeholder|xxxx|0123456|abcdef")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: Column | None = None, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """Every row of docs (its id in doc_id, other columns kept aside) with the spans found in its whole text.
 
     Columns: rid (row key), doc_id, th (hash of the text), base (spans of the first three kinds) and spans (all: base and those that the
     ownership count adds), arrays of (start, place, kind, end, live) in order. A value's hash is counted by
-    distinct repositories and owners over the whole corpus: from copied_owners owners on it is an example (repositories are only
-    reported). An opaque
-    string outside the base spans is added if it looks live and is held by fewer owners. Null text is empty; a null
-    owner is an owner of its own; a null doc_id stays null; equal rows are scanned each for itself, and
+    distinct repositories and owners over the whole corpus: from copied_owners owners or copied_repositories repositories on
+    it is an example. An opaque string outside the base spans is added if it looks live and is held by fewer of both. Null
+    text is empty; a null owner is an owner of its own; a null doc_id stays null; equal rows are scanned each for itself, and
     copies under one owner are that owner's; an empty table gives an empty result."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     repo = repository if repository is not None else F.col(owner)
@@ -75,7 +74,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: Column | None = Non
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
     held = held.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     judged = one.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(held.hint("merge"), ["hash", "salt"])  # salted copies grow with the data: never broadcast
-    judged = judged.withColumn("live", F.col("looks") & (F.col("owners") < copied_owners)).where((F.col("place") < 3) | F.col("live"))
+    judged = judged.withColumn("live", F.col("looks") & (F.col("owners") < copied_owners) & (F.col("repos") < copied_repositories)).where((F.col("place") < 3) | F.col("live"))
     spans = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "kind", "end", "live", "owners", "repos"))).alias("spans"))  # of one document
     none = F.expr("cast(array() as array<struct<start:bigint,place:int,kind:string,end:bigint,live:boolean,owners:bigint,repos:bigint>>)")
     return found.select("rid", "doc_id", "th", "base").join(spans, "rid", "left").select("rid", "doc_id", "th", "base", F.coalesce("spans", none).alias("spans"))
@@ -86,6 +85,7 @@ def _line(spans: str) -> Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: the owner is the source, a repository its documents of one language; the cases of scan()."""
     docs = table(spark, sf_dir, "documents")
     out = scan(docs, "source", F.concat_ws("/", "source", "lang"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -94,9 +94,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking values of one owner are replaced in the text; examples that many owners copy stay. Rows with a null doc_id are
-    matched by the hash of their text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """Live-looking values of one owner are replaced in the text; examples that many owners copy stay. All rows and columns
+    stay, n_chars is counted anew where a text changes. Rows are matched by doc_id (null as a value of its own) and the hash
+    of their text, so rows that repeat both are alike; null and empty texts are unchanged; an empty table gives an empty one;
+    columns may have any name."""
     live = scan(docs, "source", F.concat_ws("/", "source", "lang")).select("doc_id", "th", F.filter("spans", lambda x: x["live"]).alias("live")).where(F.size("live") > 0)
     live = live.groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th")).agg(F.min("live").alias("live")).hint("merge")  # grows with the data: never broadcast
     start = F.expr("struct(0L as at, '' as made)")
@@ -107,9 +108,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(upto.alias("at"), F.when(skip, acc["made"]).otherwise(F.concat(acc["made"], F.substring("text", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("[SECRET]"))).alias("made"))
 
     clean = F.aggregate("live", start, cut, lambda acc: F.concat(acc["made"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    columns = docs.columns
-    out = docs.join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text) == F.col("of_th")), "left")
-    out = out.withColumn("text", F.when(F.col("live").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    rows = nested(docs, "doc_id", "text").withColumn("th", text_hash(F.col("text")))
+    out = rows.join(live, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("th") == F.col("of_th")), "left")
+    changed = F.col("live").isNotNull()
+    out = out.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return unnested(out, docs, new)

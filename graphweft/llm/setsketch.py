@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, Forest, claim, components, mixed, rolled, slices, sorted_groups, table, text_bytes, words, written
+from .shared import SLICE, Forest, claim, components, mixed, nested, rolled, slices, sorted_groups, table, text_bytes, text_hash, unnested, words, written
 
 #: Words in a shingle; op4 links documents from 85 : 100 on, the stage of the pipeline from 80 : 100 on.
 WORDS, PER, OF = 5, 85, 100
@@ -86,16 +86,20 @@ def likely(less: np.ndarray, more: np.ndarray, same: np.ndarray, n: np.ndarray,
     return fits & (slope >= 0)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), fa and fb (fingerprint of the set), regs, bands."""
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def sketch(rows: DataFrame) -> DataFrame:
+    """doc_id, th, n (size of the shingle set), fa and fb (fingerprint of the set), regs, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("setsketch")
         for batch in batches:
-            _, at = text_bytes(batch.column(1))
+            _, at = text_bytes(batch.column(2))
             for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
-                x, rows = shingles(*text_bytes(part.column(1)))
+                x, rows = shingles(*text_bytes(part.column(2)))
                 n = np.diff(rows)
                 full = np.flatnonzero(n)
                 fa, fb, regs, keys = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n), [None] * len(n)
@@ -108,9 +112,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     k = bands(r).view(np.int64)
                     for i, row, key in zip(full.tolist(), r, k.tolist()):
                         regs[i], keys[i] = row.tobytes(), key
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "fa", "fb", "regs", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "fa", "fb", "regs", "bands"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, fa long, fb long, regs binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, fa long, fb long, regs binary, bands array<long>")
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -122,7 +126,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table | None:
 
 def _bucket(rows: pa.Table, per: int = PER, of: int = OF) -> pa.Table | None:
     """Candidates of a bucket, or of a pair of its blocks, as a forest: at most one edge a row."""
-    ids, n, side = (rows.column(c).combine_chunks().to_numpy() for c in ("doc_id", "n", "block"))
+    ids, n, side = (rows.column(c).combine_chunks().to_numpy() for c in ("node", "n", "block"))
     regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
     order = np.argsort(side, kind="stable")
     ids, n, side, regs = ids[order], n[order], side[order], regs[order]
@@ -193,40 +197,38 @@ def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per: int =
 
 
 def _group(rows: pa.Table, per: int = PER, of: int = OF) -> pa.Table | None:
-    ids, side = (rows.column(c).combine_chunks().to_numpy() for c in ("doc_id", "block"))
+    ids, side = (rows.column(c).combine_chunks().to_numpy() for c in ("node", "block"))
     return _edges(links(ids, [np.frombuffer(x, np.uint64) for x in rows.column("x").to_pylist()], side, per, of))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     """A row for each pair of blocks (i <= j) that its block is in; a pair of a block with itself comes once."""
-    df = df.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    df = df.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def near_duplicates(docs: DataFrame, per: int = PER, of: int = OF) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; documents link from a similarity of per : of on.
-
-    Rows with equal sets are one class first, by grouped minimum. Class representatives that share a band are
-    candidates; buckets with the same members are read once. Candidate pairs of a bucket give a forest, so rows grow with
-    documents and not with pairs. Within the components of those forests full sets are compared, again to a
-    forest; large buckets and groups are dealt in pairs of blocks, each of which fits a task.
-
-    Null or empty texts and texts without words have n_shingles 0 and link with nothing; a null doc_id links with
-    nothing, has no component and is kept; rows that repeat a doc_id are one node of the graph; an empty table
-    gives an empty result; columns other than doc_id and text are not read."""
-    s = written(sketch(docs), "sketches")
+def _grouped(docs: DataFrame, per: int, of: int) -> DataFrame:
+    """Every row's doc_id, th (hash of its text), n, component_id, and whether it is the text of its component that stays."""
+    rows = keyed(docs)
+    s = written(sketch(rows), "sketches")
     real = s.where("n > 0 and doc_id is not null")
-    classes = written(real.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(real.select("doc_id", "n", "regs", "bands").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "representatives")
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("low")).where("c > 1")
+    classes = real.groupBy("fa", "fb", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("fa", "fb", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("rep_th"))
+    classes = written(classes, "classes")
+    # A class is the node of its first doc_id; where different texts have that id, each has a hash for its own.
+    shared_ids = classes.groupBy("rep").agg(F.count("*").alias("texts")).where("texts > 1").select("rep", F.lit(True).alias("again"))
+    nodes = written(classes.join(shared_ids, "rep", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("rep", "rep_th", "fa")).otherwise(F.col("rep"))).drop("again"), "nodes")
+    own = nodes.select(F.col("rep").alias("doc_id"), F.col("rep_th").alias("th"), "node")
+    reps = real.select("doc_id", "th", "n", "regs", "bands").dropDuplicates(["doc_id", "th"]).join(own.hint("merge"), ["doc_id", "th"])
+    reps = written(reps.drop("doc_id", "th"), "representatives")
+    each = reps.select("node", F.explode("bands").alias("key"))
+    buckets = each.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("low")).where("c > 1")
     buckets = buckets.groupBy("c", "who", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
-    members = keyed.join(buckets, "key").join(reps.select("doc_id", "n", "regs"), "doc_id")
-    coarse = components(sorted_groups(_pairs(members).select("key", "i", "j", "doc_id", "block", "n", "regs"), ["key", "i", "j"], partial(_bucket, per=per, of=of), "a long, b long"), "candidates")
-    coarse = written(coarse.join(reps.select(F.col("doc_id").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("group"), "n"), "groups")
+    members = each.join(buckets, "key").join(reps.select("node", "n", "regs"), "node")
+    coarse = components(sorted_groups(_pairs(members).select("key", "i", "j", "node", "block", "n", "regs"), ["key", "i", "j"], partial(_bucket, per=per, of=of), "a long, b long"), "candidates")
+    coarse = written(coarse.withColumnRenamed("component", "group").join(reps.select("node", "n"), "node"), "groups")
     sizes = coarse.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
-    chosen = coarse.join(sizes, "group").select("doc_id", "group", "blocks")
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(chosen.hint("merge"), "doc_id")  # chosen grows with the data: never broadcast
+    chosen = coarse.join(sizes, "group").join(own, "node").select("doc_id", "th", "node", "group", "blocks")
+    texts = rows.dropDuplicates(["doc_id", "th"]).join(chosen.hint("merge"), ["doc_id", "th"])  # chosen grows with the data: never broadcast
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,22 +236,50 @@ def near_duplicates(docs: DataFrame, per: int = PER, of: int = OF) -> DataFrame:
             for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
                 x, rows = shingles(*text_bytes(part.column(3)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[p:q].tobytes() for p, q in zip(rows, rows[1:])], pa.binary())], names=["doc_id", "group", "blocks", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[p:q].tobytes() for p, q in zip(rows, rows[1:])], pa.binary())], names=["node", "group", "blocks", "x"])
+
+    full = texts.select("node", "group", "blocks", "text").mapInArrow(sets, "node long, group long, blocks long, x binary").where(F.octet_length("x") > 0)
+    found = components(sorted_groups(_pairs(full).select("group", "i", "j", "node", "block", "x"), ["group", "i", "j"], partial(_group, per=per, of=of), "a long, b long"), "links")
+    linked = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = linked.groupBy("component").agg(F.min(F.struct("rep", "rep_th")).alias("first"))
+    linked = linked.join(first, "component").select("fa", "fb", "n", F.col("first.rep").alias("component_id"), F.col("first.rep_th").alias("component_th"))
+    out = s.select("doc_id", "th", "n", "fa", "fb").join(linked, ["fa", "fb", "n"], "left")
+    bound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    stays = ~bound | ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("component_th")))
+    return out.select("doc_id", "th", "n", F.when(bound, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, per: int = PER, of: int = OF) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; documents link from a similarity of per : of on.
+
+    Rows with equal sets are one class first, by grouped minimum. Class representatives that share a band are
+    candidates; buckets with the same members are read once. Candidate pairs of a bucket give a forest, so rows grow with
+    documents and not with pairs. Within the components of those forests full sets are compared, again to a
+    forest; large buckets and groups are dealt in pairs of blocks, each of which fits a task.
 
-    full = texts.select("doc_id", "group", "blocks", "text").mapInArrow(sets, "doc_id long, group long, blocks long, x binary").where(F.octet_length("x") > 0)
-    found = components(sorted_groups(_pairs(full).select("group", "i", "j", "doc_id", "block", "x"), ["group", "i", "j"], partial(_group, per=per, of=of), "a long, b long"), "links")
-    linked = classes.join(found, F.col("rep") == F.col("node"), "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = s.select("doc_id", "n", "fa", "fb").join(linked, ["fa", "fb", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component_id is the smallest doc_id reachable, kept whether it is the row's own. Null or empty texts and texts without
+    words have n_shingles 0 and link with nothing; a null doc_id links with nothing, has no component and is kept; rows that
+    repeat a doc_id with its text are alike, those with another text are nodes of their own; an empty table gives an empty
+    result; columns other than doc_id and text are not read."""
+    return _grouped(docs, per, of).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents from 85 : 100 on; the cases of near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked from 80 : 100 on, with all its columns; documents without words are each their own."""
-    gone = near_duplicates(docs, STAGE_PER, STAGE_OF).where("not kept").select(F.col("doc_id").alias("of")).distinct().hint("merge")  # grows with the data: never broadcast
-    return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")
+    """One document of each group linked from 80 : 100 on, with all its columns: that with the smallest doc_id, then hash of
+    its text; of rows that repeat both, that with the smallest hash of all columns. Documents without words and rows with a
+    null doc_id are each their own and all stay; different texts with one doc_id are judged each for itself; an empty table gives an
+    empty one; columns may have any name."""
+    fate = written(_grouped(docs, STAGE_PER, STAGE_OF).where("n > 0 and doc_id is not null").groupBy("doc_id", "th").agg(F.min("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "fate")
+    rows = nested(docs, "doc_id", "text").withColumn("th", text_hash(F.col("text"))).drop("text")
+    left = rows.join(fate.hint("merge"), ["doc_id", "th"], "left")  # grows with the data: never broadcast
+    out = unnested(left.where("rows is null"), docs)
+    repeats = fate.where("stays").select("doc_id", "th")
+    if repeats.isEmpty():  # the commonest case, for speed alone
+        return out
+    one = rows.join(repeats.hint("merge"), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return out.unionByName(unnested(one, docs))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nested(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with all columns inside one, row, so that no name clashes with an operator's own; and those named (doc_id as a
+    long, text as a string)."""
+    kinds = {"doc_id": "long", "text": "string"}
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), *(F.col(c).cast(kinds[c]).alias(c) for c in names))
+
+
+def unnested(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of row, some of them with new values of the same type."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return rows.select(*((new[c].cast(kinds[c]) if new and c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def text_hash(text: Column) -> Column:
+    """A hash of the text; a null one is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, order: list[str] = ()) -> DataFrame:
     """fn over the rows of each value of keys, as one Arrow table. Rows are dealt by keys and sorted,
     so a task holds one group at a time; callers bound the size of a group (see the blocks of each operator)."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import claim, slices, table, text_bytes, written
+from .shared import claim, nested, slices, table, text_bytes, unnested, written
 
 #: Labelled rows that the model learns from, at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 16384
@@ -179,15 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from labelled rows that are not held out: the lexicon from counts of documents, the trees from features
     that use the lexicon of the other folds, the calibration from scores of the other folds' trees.
 
-    A document with several labels is toxic if one says so; rows with a null id or label are left out. Without both
-    labels the score is the share of label 1 (0 without rows)."""
+    A document with several labels is toxic if one says so; rows with a null id or label are left out; of rows that repeat a
+    doc_id one is learned from. Without both labels the score is the share of label 1 (0 without rows)."""
     spark = docs.sparkSession
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null")
     chosen = chosen.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # At most TRAIN_ROWS pairs of numbers are broadcast.
-    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample").repartition(12)
+    # At most TRAIN_ROWS pairs of numbers are broadcast, and as many texts are kept: of rows that repeat a doc_id, that with the least hash of its text.
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    sample = written(found.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample").repartition(12)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -260,23 +261,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the cases of train() and score(). A null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the limit, with all their columns."""
+    """Documents whose score is below the limit, with all their columns, whatever their names. Null texts are scored as empty ones and
+    stay null; repeated rows fare alike, and so do rows with a null doc_id; an empty table gives an empty one. Without labels nothing is
+    rejected."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim("toxicity")
         f = Featurizer(model.lexicon)
         for batch in batches:
-            _, at = text_bytes(batch.column(place))
-            for a, b in slices(at, 1 << 20):
-                part = batch.slice(a, b - a)
-                yield part.filter(pa.array(model.scores(part.column(place).fill_null(""), f) < REJECT))
+            _, at = text_bytes(batch)
+            yield pa.concat_arrays([pa.array(model.scores(batch.slice(a, b - a), f) < REJECT, pa.bool_()) for a, b in slices(at, 1 << 20)]) if len(batch) else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = nested(docs, "text").select("row", F.coalesce("text", F.lit("")).alias("text"))
+    return unnested(rows.where(F.arrow_udf(run, "boolean")("text")), docs)
