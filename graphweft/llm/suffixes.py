@@ -1,10 +1,12 @@
 """Repeated passages by a sparse suffix array (operator 3).
 
-Suffixes begin at word positions that content selects (minimisers of 8-word grams in windows of 14). Two texts that share
-50 words or more select the same position among the first 14 of them, so their suffixes there agree on 37 words at least:
-no such passage is missed. Suffixes are dealt and sorted by a hash of those 37 words, which puts the ones that agree side
-by side; consecutive positions of a text whose suffixes have company make a run, and both ends of a run are extended word
-by word against the neighbours in the order of what lies left and right."""
+Every window of LEAST words selects one position by content: that of the least 8-word gram among its first WINDOW words
+(a minimiser). Suffixes at selected positions are sorted over the cluster by rank: by a hash of their first AGREE words, then
+by one of the whole stretch that the windows of the position cover. Neighbours in that order are compared: a suffix whose
+first AGREE words no neighbour has repeats nothing; where all suffixes with these words agree on the whole stretch, all of its
+windows repeat. Elsewhere (a passage ends in the stretch) matches are extended to the left and right, window by window, among
+one suffix for each different stretch. Equal windows select the same position in themselves, so the result is exact up to
+64-bit hashes: the words of all windows of LEAST words that occur twice."""
 
 from __future__ import annotations
 
@@ -15,45 +17,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, _powers, claim, mixed, rolled, slices, table, text_bytes, words, written
+from .shared import SLICE, _powers, claim, mixed, nested, rolled, slices, table, text_bytes, text_hash, unnested, words, written
 
 LEAST = 50
-GRAM, WINDOW = 8, 14
+GRAM, WINDOW = 8, 20
+#: Words of a suffix that lie in each window which selects it.
 AGREE = LEAST - WINDOW + 1
-LEFT, RIGHT = 0, 1
+_AT = np.uint64((1 << 28) - 1)
 
 
-def _sliding(x: np.ndarray, fn) -> np.ndarray:
-    """fn over each WINDOW consecutive values."""
+def _least(x: np.ndarray) -> np.ndarray:
+    """Minimum of each WINDOW consecutive values."""
     n, width, y = len(x), 1, x
     while width * 2 <= WINDOW:
-        y = fn(y[: len(y) - width], y[width:])
+        y = np.minimum(y[: len(y) - width], y[width:])
         width *= 2
     rest = WINDOW - width
-    return fn(y[: n - WINDOW + 1], y[rest : rest + n - WINDOW + 1])
+    return np.minimum(y[: n - WINDOW + 1], y[rest : rest + n - WINDOW + 1])
 
 
-def selected(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Word positions (over all rows) whose gram is the least of some window that lies in its row; all of equal ones."""
-    n = len(h) - GRAM + 1
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
+def selected(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that windows select (the first of equal grams), the first and the last window of each, and its row."""
+    n = len(h) - LEAST + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
     grams = mixed(rolled(h, GRAM) ^ np.uint64(0x5851F42D4C957F2D))
-    row_end = np.repeat(rows[1:], np.diff(rows))
-    at = np.arange(n)
-    inside = at + GRAM <= row_end[:n]
-    grams = np.where(inside, grams, np.uint64(0xFFFFFFFFFFFFFFFF))
-    low = _sliding(grams, np.minimum)
-    fits = at[: len(low)] + WINDOW - 1 + GRAM <= row_end[: len(low)]
-    low = np.where(fits, low, np.uint64(0))
-    pad = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
-    high = _sliding(pad, np.maximum)
-    return np.flatnonzero((high[:n] == grams) & inside & (high[:n] > 0))
+    pick = (_least((grams & ~_AT) | np.arange(len(grams), dtype=np.uint64))[:n] & _AT).astype(np.int64)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[:n]
+    s = np.flatnonzero(np.arange(n) + LEAST <= rows[row + 1])
+    if not len(s):
+        return (np.zeros(0, np.int64),) * 4
+    pick, row = pick[s], row[s]
+    change = np.flatnonzero((pick[1:] != pick[:-1]) | (row[1:] != row[:-1])) + 1
+    first, last = np.concatenate([[0], change]), np.concatenate([change, [len(s)]]) - 1
+    return pick[first], s[first], s[last], row[first]
+
+
+def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _powers(len(h) + 1)
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)]), down
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed((sums[end] - sums[begin]) * down[begin] + np.asarray(more, np.uint64)).view(np.int64)
+
+
+SUFFIX = "h long, k long, doc_id long, th long, start int, n int"
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """One row a selected suffix of 37 words or more: its text (doc_id, th: hash of the text), word position, the one selected
-    after it there (-1: none), and the hash of its first 37 words."""
+    """One row a selected suffix: the hash of its first AGREE words (h), that of its stretch (k), its text (doc_id, th: hash
+    of the text), and the first word and the number of the windows that select it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("suffixes")
@@ -62,218 +78,238 @@ def suffixes(docs: DataFrame) -> DataFrame:
             for a, b in slices(at, SLICE):
                 part = batch.slice(a, b - a)
                 h, _, _, rows = words(*text_bytes(part.column(2)))
-                p = selected(h, rows)
-                row = np.searchsorted(rows, p, "right") - 1
-                ok = p + AGREE <= rows[row + 1]
-                p, row = p[ok], row[ok]
+                p, first, last, row = selected(h, rows)
                 if not len(p):
                     continue
-                up, down = _powers(len(h) + 1)
+                sums, down = _prefix(h)
+                lead = _hashes(sums, down, p, p + AGREE)
                 with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-                    key = mixed((sums[p + AGREE] - sums[p]) * down[p])
-                pos = p - rows[row]
-                same = row[1:] == row[:-1]
-                after = np.full(len(p), -1)
-                after[:-1][same] = pos[1:][same]
+                    kind = _hashes(sums, down, first, last + LEAST, ((p - first) * 64 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 take = pa.array(row)
-                ints = [pa.array(x.astype(np.int32)) for x in (pos, after)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *ints, pa.array(key.view(np.int64))], names=["doc_id", "th", "pos", "after", "h"])
+                cols = [pa.array(lead), pa.array(kind), part.column(0).take(take), part.column(1).take(take)]
+                cols += [pa.array(x.astype(np.int32)) for x in (first - rows[row], last - first + 1)]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "k", "doc_id", "th", "start", "n"])
+
+    return docs.mapInArrow(run, SUFFIX)
+
+
+ARRAY = f"{SUFFIX}, low boolean, border boolean, alone boolean, many long"
 
-    return docs.mapInArrow(run, "doc_id long, th long, pos int, after int, h long")
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition, each suffix compared with its neighbours. Holds one batch. Two kinds of rows come out.
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each suffix that is asked for: the words beyond it, four bytes each, nearest first, and, if it is near an end of a run
-    of its own text, the byte where that would be cut after 0, 1, 2, ... of them."""
+    Without many: suffixes of which a neighbour has the first words, and the partition's first and last (border), which may have
+    such a neighbour in another partition only (alone). low: the first one with its stretch here.
+    With many: the first suffix of a stretch and how many have it here, for stretches that share their first words with another one
+    here (low), and for the partition's first and last (border)."""
+    names = ["h", "k", "doc_id", "th", "start", "n"]
+
+    def out(cols: list[np.ndarray], low, border, alone=False, many=None) -> pa.RecordBatch:
+        n = len(cols[0])
+        arrays = [pa.array(c) for c in cols] + [pa.array(np.broadcast_to(np.asarray(x, bool), n)) for x in (low, border, alone)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int64()) if many is None else pa.array(many)], names=[*names, "low", "border", "alone", "many"])
+
+    last = None  # the last row, which waits for its neighbour
+    lowest: list[np.ndarray] = []  # first row of the last one's stretch
+    count, inner, before, first, opening = 0, False, False, True, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(6)]
+        if last is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)
+        if not new.all():  # a row that is there twice is one occurrence
+            cols = [c[new] for c in cols]
+        m = len(cols[0])
+        same_h = cols[0][1:] == cols[0][:-1]
+        same_k = same_h & (cols[1][1:] == cols[1][:-1])
+        begins = np.concatenate([[0], np.flatnonzero(~same_k) + 1])
+        low = [c[begins] for c in cols]
+        sizes = np.diff(np.append(begins, m))
+        is_low = np.concatenate([[True], ~same_k])
+        inside = np.concatenate([[inner], same_h[begins[1:] - 1]])
+        if last is not None:
+            for x, y in zip(low, lowest):
+                x[0] = y[0]
+            sizes[0] += count - 1
+            is_low[0] = count == 1
+        if m > 1:
+            several = inside[:-1] | same_h[begins[1:] - 1]
+            border = np.zeros(len(several), bool)
+            border[:1] = opening
+            done = np.flatnonzero(several | border)
+            if len(done):
+                yield out([c[done] for c in low], several[done], border[done], many=sizes[done])
+            opening = opening and not len(several)
+            company = same_h | np.concatenate([[before], same_h[:-1]])
+            border = np.zeros(m - 1, bool)
+            border[0] = first
+            keep = np.flatnonzero(company | border)
+            if len(keep):
+                yield out([c[keep] for c in cols], is_low[keep], border[keep], ~company[keep])
+            before, first = bool(same_h[-1]), False
+        last, lowest, count, inner = [c[-1:] for c in cols], [c[-1:] for c in low], int(sizes[-1]), bool(inside[-1])
+    if last is not None:
+        yield out(lowest, inner, True, many=np.array([count]))
+        yield out(last, count == 1, True, not before)
+
+
+def sorted_array(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suffixes whose first words another one has, and the first suffix of each stretch where several share first words.
+
+    Ranges split a hot key. What partitions can't see across their borders is put right from the borders' own rows: two of each
+    kind for a partition at most, so those are broadcast."""
+    order = ["h", "k", "doc_id", "th", "start"]
+    array = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, ARRAY), "suffix-array")
+    single, kinds = array.where("many is null").drop("many"), array.where("many is not null").drop("alone")
+    met = F.broadcast(single.where("border").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    company = single.where("not alone").unionByName(single.where("alone").join(met, "h", "left_semi"))
+    of, at = F.struct("doc_id", "th", "start", "n"), kinds.where("border")
+    whole = at.groupBy("h", "k").agg(F.min(of).alias("lowest"), F.sum("many").alias("many"), F.max("low").alias("low"))
+    wrong = at.join(F.broadcast(whole.select("h", "k", "lowest")), ["h", "k"]).where(of != F.col("lowest")).select("h", "k", "doc_id", "th", "start", F.lit(True).alias("wrong"))
+    company = company.join(F.broadcast(wrong), order, "left").withColumn("low", F.col("low") & F.col("wrong").isNull())
+    heads = whole.groupBy("h").agg((F.max("low") | (F.count("*") > 1)).alias("several")).where("several").select("h")
+    several = whole.join(F.broadcast(heads), "h", "left_semi").select("h", "k", "lowest.*", "many")
+    return company.drop("border", "alone", "wrong"), kinds.where("not border").drop("low", "border").unionByName(several)
+
+
+def _flat(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of the rows of a list of structs, and its fields end to end."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at = np.asarray(column.offsets).astype(np.int64)
+    flat = column.values.slice(at[0], at[-1] - at[0])
+    return at - at[0], [np.asarray(flat.field(x)) for x in names]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the stretches that are asked for."""
     for batch in batches:
         _, at = text_bytes(batch.column(2))
         for a, b in slices(at, SLICE):
             part = batch.slice(a, b - a)
-            h, begin, end, rows = words(*text_bytes(part.column(2)))
-            _, starts = text_bytes(part.column(2))
-            short = (h >> np.uint64(32)).astype(">u4")
-            cols: list[list] = [[] for _ in range(7)]
-            for i, asked in enumerate(part.column(3).to_pylist()):
-                lo, hi, zero = int(rows[i]), int(rows[i + 1]), int(starts[i])
-                doc, th = part.column(0)[i].as_py(), part.column(1)[i].as_py()
-                mine = {(x["pos"], x["side"]) for x in asked if x["own"]}
-                for x in asked:
-                    if x["own"]:
-                        continue
-                    p = lo + x["pos"]
-                    if x["side"] == LEFT:
-                        ctx = short[max(lo, p - WINDOW + 1) : p][::-1]
-                        cuts = begin[p - len(ctx) : p + 1][::-1] - zero
-                    else:
-                        ctx = short[p + AGREE : min(hi, p + AGREE + WINDOW - 1)]
-                        cuts = end[p + AGREE - 1 : p + AGREE + len(ctx)] - zero
-                    for c, v in zip(cols, (doc, th, x["pos"], x["side"], x["h"], ctx.tobytes(), cuts.tolist() if (x["pos"], x["side"]) in mine else None)):
-                        c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "pos", "side", "h", "ctx", "cuts"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, side, ctx, n) in order: how many words of ctx agree with those of the row before or after, whichever is
-    more. Several suffixes with one ctx agree on all of it. Holds one batch and a row: a group may be of any size."""
-
-    def agree(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b)) // 4
-        return next((i for i in range(n) if a[4 * i : 4 * i + 4] != b[4 * i : 4 * i + 4]), n)
-
-    held = None  # the last row, and how far it agrees with the one before it
-    for batch in batches:
-        out: list[tuple] = []
-        for h, side, ctx, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            got = len(ctx) // 4 if n > 1 else 0
-            if held is not None:
-                if held[0] == h and held[1] == side:
-                    both = agree(held[2], ctx)
-                    held[3], got = max(held[3], both), max(got, both)
-                out.append(tuple(held))
-            held = [h, side, ctx, got]
-        if out:
-            yield _rows(out)
-    if held is not None:
-        yield _rows([tuple(held)])
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["h", "side", "ctx", "more"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a text's suffixes that have company: consecutive selected positions, all first of their kind or none. ends:
-    the suffixes near either end, any of which may agree with another text further out than the outermost does."""
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("side", pa.int32()), ("h", pa.int64())]))
+            h, _, _, rows = words(*text_bytes(part.column(2)))
+            bounds, (k, start, n, many) = _flat(part.column(3), ["k", "start", "n", "many"])
+            if not len(k):
+                continue
+            row = np.repeat(np.arange(len(rows) - 1), np.diff(bounds))
+            of = np.repeat(np.arange(len(k)), n)
+            j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            s = rows[row][of] + start[of] + j
+            sums, down = _prefix(h)
+            take = pa.array(row[of])
+            cols = [pa.array(_hashes(sums, down, s, s + LEAST)), pa.array(k[of]), pa.array(j.astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array((start[of] + j).astype(np.int32)), pa.array(many[of])]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "k", "j", "doc_id", "th", "s", "many"])
+
+
+def extended(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each stretch that is asked for, bits of its windows: those that repeat, and those of which its first suffix holds
+    the first occurrence."""
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("k", "start", "n", "many")).alias("asked"))  # bounded by the text
+    once = texts.dropDuplicates(["doc_id", "th"])
+    found = written(once.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(_windows, "w long, k long, j int, doc_id long, th long, s int, many long"), "windows")
+    twice = found.groupBy("w").agg(F.sum("many").alias("all"), F.min(F.struct("doc_id", "th", "s")).alias("lowest")).where("all > 1").select("w", "lowest")
+    of = found.join(written(twice, "repeated-windows"), "w", "left")
+    bit = lambda x: F.bit_or(F.when(x, F.expr("shiftleft(1, j)")).otherwise(F.lit(0)))
+    return of.groupBy("k").agg(bit(F.col("lowest").isNotNull()).alias("rep"), bit(F.coalesce(F.struct("doc_id", "th", "s") == F.col("lowest"), F.lit(False))).alias("lead"))
+
+
+def _union(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of windows that begin there (ascending), as runs."""
+    if not len(s):
+        return s, s
+    cut = np.flatnonzero(s[1:] > s[:-1] + LEAST) + 1
+    return s[np.concatenate([[0], cut])], s[np.concatenate([cut, [len(s)]]) - 1] + LEAST
+
+
+def _inside(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    if not len(begin):
+        return np.zeros(len(x), bool)
+    i = np.searchsorted(begin, x, "right") - 1
+    return (i >= 0) & (x < end[np.maximum(i, 0)])
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of words in repeated windows, cut where those of first occurrences begin and end."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for doc, th, got in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            got.sort(key=lambda x: x["pos"])
-            start = 0
-            for i, x in enumerate(got):
-                last = i + 1 == len(got) or got[i + 1]["pos"] != x["after"] or got[i + 1]["first"] != x["first"]
-                if last:
-                    run = got[start : i + 1]
-                    ends = [{"pos": y["pos"], "side": LEFT, "h": y["h"]} for y in run[:WINDOW] if y["pos"] < run[0]["pos"] + WINDOW]
-                    ends += [{"pos": y["pos"], "side": RIGHT, "h": y["h"]} for y in run[-WINDOW:] if y["pos"] > x["pos"] - WINDOW]
-                    for c, v in zip(cols, (doc, th, run[0]["pos"], x["first"], ends)):
-                        c.append(v)
-                    start = i + 1
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), kind]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "from", "first", "ends"])
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        bounds, (start, rep, lead) = _flat(batch.column(2), ["start", "rep", "lead"])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        reach = np.zeros(batch.num_rows, np.int64)
+        np.maximum.at(reach, row, start.astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(reach + 2 * LEAST)])
+        at = base[row] + start
+
+        def windows(bits: np.ndarray, at: np.ndarray = at) -> np.ndarray:
+            i, j = np.nonzero(bits[:, None] >> np.arange(WINDOW) & 1)
+            return np.sort(at[i] + j)
+
+        begin, end = _union(windows(rep))
+        first = _union(windows(lead))
+        cuts = np.unique(np.concatenate([begin, end, *first]))
+        cuts, after = cuts[:-1], cuts[1:]
+        ok = _inside(cuts, begin, end)
+        cuts, after = cuts[ok], after[ok]
+        of = np.searchsorted(base, cuts, "right") - 1
+        take = pa.array(of)
+        cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array((cuts - base[of]).astype(np.int32)), pa.array((after - cuts).astype(np.int32)), pa.array(_inside(cuts, *first))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "start_word", "n_words", "first"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Passages of 50 words or more that occur elsewhere (in the same text or another): doc_id, th (hash of the text),
-    start_word, n_words, start and end (bytes of its UTF-8), first (whether it is the occurrence that stays: smallest
-    doc_id, then position).
-
-    Every passage of 50 words that occurs twice lies within a row or touching rows; every word of a row is part of 37 or
-    more consecutive words that occur elsewhere. Words are compared by 64-bit hashes, beyond the 37 by 32 bits each.
-    Null, empty and short texts give no rows; rows with a null doc_id are left out; rows that repeat a doc_id and its text
-    are occurrences of one text and give the same spans; an empty table gives an empty result; other columns aren't read."""
-    rows = keyed(docs).where("doc_id is not null")
-    all_suffixes = written(suffixes(rows), "suffixes")
-    company = all_suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "th")).alias("lowest")).where("n > 1")
-    paired = all_suffixes.join(company, "h").withColumn("first", F.struct("doc_id", "pos", "th") == F.col("lowest")).select("doc_id", "th", "pos", "after", "h", "first")
-    paired = written(paired, "paired")
-    per_text = paired.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "after", "h", "first")).alias("got"))
-    runs = written(per_text.mapInArrow(_runs, "doc_id long, th long, from int, first boolean, ends array<struct<pos:int,side:int,h:bigint>>"), "runs")
-    runs = runs.select("doc_id", "th", "from", "first", F.explode("ends").alias("x")).select("doc_id", "th", "from", "first", "x.*")
-    ends = runs.select("h", "side").distinct()
-    others = paired.select("doc_id", "th", "pos", "h").join(ends, "h").select("doc_id", "th", "pos", "side", "h", F.lit(False).alias("own"))
-    own = runs.select("doc_id", "th", "pos", "side", "h", F.lit(True).alias("own"))
-    asked = others.unionAll(own).groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "side", "h", "own")).alias("asked"))
-    contexts = rows.join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(_contexts, "doc_id long, th long, pos int, side int, h long, ctx binary, cuts array<bigint>")
-    contexts = written(contexts, "contexts")
-    kinds = contexts.groupBy("h", "side", "ctx").agg(F.count("*").alias("n"))
-    more = kinds.repartition("h", "side").sortWithinPartitions("h", "side", "ctx").mapInArrow(_neighbours, "h long, side int, ctx binary, more int")
-    grown = contexts.where("cuts is not null").join(more, ["h", "side", "ctx"]).select("doc_id", "th", "pos", "side", "more", F.element_at("cuts", F.col("more") + 1).alias("cut")).distinct()
-    out = runs.drop("h").join(grown, ["doc_id", "th", "pos", "side"])
-    left = F.min(F.when(F.col("side") == LEFT, F.struct((F.col("pos") - F.col("more")).alias("word"), "cut")))
-    right = F.max(F.when(F.col("side") == RIGHT, F.struct((F.col("pos") + AGREE + F.col("more")).alias("word"), "cut")))
-    spans = out.groupBy("doc_id", "th", "from", "first").agg(left.alias("l"), right.alias("r"))
-    spans = spans.selectExpr("doc_id", "th", "l.word start_word", "r.word end_word", "l.cut start", "r.cut end", "first")
-    # Runs that touch are one passage, for its length; those of a kind that overlap are one span.
-    per = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word", "start", "end", "first"))).alias("x"))
-    return per.mapInArrow(_merged, "doc_id long, th long, start_word int, n_words int, start long, end long, first boolean")
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for doc, th, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            groups: list[list[dict]] = []
-            reach = -1
-            for x in spans:
-                if groups and x["start_word"] <= reach:
-                    groups[-1].append(x)
-                else:
-                    groups.append([x])
-                reach = max(reach, x["end_word"])
-            for g in groups:
-                if max(x["end_word"] for x in g) - g[0]["start_word"] < LEAST:
-                    continue
-                made: list[dict] = []
-                for x in g:
-                    # Where the kinds overlap, the words stay with the first occurrence.
-                    x = dict(x)
-                    if made and x["start_word"] < made[-1]["end_word"]:
-                        y = made[-1]
-                        if y["first"] == x["first"]:
-                            if x["end_word"] > y["end_word"]:
-                                y["end_word"], y["end"] = x["end_word"], x["end"]
-                            continue
-                        if y["first"]:
-                            if x["end_word"] <= y["end_word"]:
-                                continue
-                            x["start_word"], x["start"] = y["end_word"], y["end"]
-                        else:
-                            tail = dict(y) if y["end_word"] > x["end_word"] else None
-                            y["end_word"], y["end"] = x["start_word"], x["start"]
-                            if y["end_word"] <= y["start_word"]:
-                                made.pop()
-                            if tail:
-                                made.append(x)
-                                tail["start_word"], tail["start"] = x["end_word"], x["end"]
-                                x = tail
-                    made.append(x)
-                for x in made:
-                    for c, v in zip(cols, (doc, th, x["start_word"], x["end_word"] - x["start_word"], x["start"], x["end"], x["first"])):
-                        c.append(v)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "th", "start_word", "n_words", "start", "end", "first"])
+    """Passages of LEAST words or more that occur elsewhere (in the same text or another): doc_id, th (hash of the text),
+    start_word, n_words, first (whether the words are part of a window that is the first of its kind: smallest doc_id, then
+    th and place). Words are runs of bytes other than white space, A-Z lower-cased.
+
+    The rows are exactly the words of windows of LEAST words that occur at two places or more, cut where first changes;
+    parts of a passage that are cut so may be shorter. Null, empty and short texts give no rows; rows with a null doc_id are
+    left out; rows that repeat a doc_id and its text are one text; an empty table gives an empty result; other columns
+    aren't read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    company, asked = sorted_array(written(suffixes(rows), "suffixes"))
+    bits = written(extended(rows, asked), "extended")
+    whole = F.expr("shiftleft(1, n) - 1")
+    marked = company.join(bits, "k", "left").select("doc_id", "th", "start", F.coalesce("rep", whole).alias("rep"), F.when(F.col("low"), F.coalesce("lead", whole)).otherwise(F.lit(0)).alias("lead"))
+    per = marked.where("rep <> 0").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "rep", "lead")).alias("x"))  # bounded by the text
+    return per.mapInArrow(_spans, "doc_id long, th long, start_word int, n_words int, first boolean")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents; the cases of repeated()."""
     return repeated(table(spark, sf_dir, "documents")).drop("th")
 
 
+def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without those runs of words (start_word, n_words); the white space around them stays. Null where there are none."""
+    out: list[str | None] = [None] * len(texts)
+    bounds, (start, n) = _flat(gone, ["start_word", "n_words"])
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        raw, at = text_bytes(texts.slice(i, 1))
+        _, begin, end, _ = words(raw, at)
+        kept, last, data = [], 0, raw.tobytes()
+        for a, m in sorted(zip(start[bounds[i] : bounds[i + 1]].tolist(), n[bounds[i] : bounds[i + 1]].tolist())):
+            kept.append(data[last : begin[a]])
+            last = int(end[a + m - 1])
+        out[i] = b"".join([*kept, data[last:]]).decode("utf-8")
+    return pa.array(out, pa.string())
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document, or an earlier place of the same one, has; all columns stay. A text
-    of which nothing is left stays as an empty one."""
-    gone = repeated(docs).where("not first").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th"), "gone").hint("merge")  # grows with the data: never broadcast
-    raw = F.col("text").cast("string").cast("binary")
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("raw__", raw).withColumn("th__", th)
-    out = out.join(gone, (F.col("doc_id") == F.col("of_doc")) & (F.col("th__") == F.col("of_th")), "left")
-
-    def cut(acc, x):
-        skip = x["start"] < acc["at"]
-        kept = F.concat(acc["made"], F.substring("raw__", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(skip, acc["made"]).otherwise(kept).alias("made"))
-
-    left = F.aggregate("gone", F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("made")), cut, lambda acc: F.concat(acc["made"], F.substring("raw__", (acc["at"] + 1).cast("int"), F.octet_length("raw__"))))
-    out = out.withColumn("text", F.when(F.col("gone").isNotNull(), F.decode(left, "UTF-8")).otherwise(F.col("text")))
+    """Texts without the passages that an earlier document, or an earlier place of the same one, has; all columns stay, n_chars
+    is counted anew where a text changes. A text of which nothing is left stays as an empty one. Null and empty texts, rows with
+    a null doc_id and rows without such a passage are unchanged; rows that repeat a doc_id and its text change alike, and are
+    no copies of one another here; an empty table gives an empty one; columns may have any name."""
+    gone = repeated(docs).where("not first").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_word", "n_words")).alias("gone"))
+    gone = written(gone, "gone").hint("merge")  # grows with the data: never broadcast
+    rows = nested(docs, "doc_id", "text").withColumn("th", text_hash(F.col("text")))
+    out = rows.join(gone, ["doc_id", "th"], "left")
+    cut = F.arrow_udf(without, "string")
+    changed = F.col("gone").isNotNull()
+    text = F.when(changed, cut(F.when(changed, F.col("text")), F.coalesce("gone", F.array().cast("array<struct<start_word:int,n_words:int>>")))).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return unnested(out, docs, new)
