@@ -5,17 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_STORED: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset a local session, as in tests, gets one of this machine; on a cluster,
+    whose executors could not see that, it raises."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="graphweft-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (a folder of this machine where it is unset, as in tests): joins of several hops
-    then scan it instead of building it for each hop, and it outlives a lost executor."""
+    """df as Parquet in that folder: joins of several hops then scan it instead of building it for each hop, and it outlives a
+    lost executor."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="graphweft-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graphweft/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/graphweft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process has stored, when no plan reads it any more; returns how many tables went."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 ALIAS = "@ALIAS@"
 
 
@@ -39,9 +41,9 @@ def degrees(e: DataFrame) -> DataFrame:
 
 def dictionary(e: DataFrame, order: list[str]) -> DataFrame:
     """Ids from 1 by first appearance, subject before object, of edges sorted by order."""
-    pos = e.select("s", "t", F.row_number().over(Window.orderBy(*order)).alias("pos"))
+    pos = numbered(e, order).select("s", "t", "pos")
     first = pos.select(F.col("s").alias("name"), (F.col("pos") * 2).alias("at")).unionAll(pos.select("t", F.col("pos") * 2 + 1)).groupBy("name").agg(F.min("at").alias("at"))
-    return first.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("id"), "name")
+    return numbered(first, ["at"], name="id").select(F.col("id").cast("long"), "name")
 
 
 def prefixed(e: DataFrame, prefix: str) -> DataFrame:
@@ -118,3 +120,56 @@ def unallowed(relation: str, inverses: DataFrame, clusters: DataFrame, edges: Da
     own = own.unionAll(inverses.where(F.col("a") == relation).select(F.col("b").alias("r")))
     names = own.unionAll(own.join(clusters, "r").select(F.col("cluster").alias("r")))
     return names.join(edges.select("r").distinct(), "r", "left_semi")
+
+
+def prefixes(files: list[str | None]) -> dict[str, str]:
+    """A prefix for each of the distinct cluster files, 1-, 2- and so on in order of first mention; none for a single one."""
+    names = list(dict.fromkeys(f for f in files if f))
+    return {f: f"{i}-" for i, f in enumerate(names, 1)} if len(names) > 1 else {}
+
+
+def node(adj: DataFrame, name: str) -> DataFrame:
+    """Edges (l, m) of one node: none for one that isn't there."""
+    return adj.where(F.col("n") == name).select("l", "m")
+
+
+def counts(e: DataFrame) -> DataFrame:
+    """One row: nodes, relations, edges."""
+    nodes = e.select(F.col("s").alias("n")).union(e.select("t")).agg(F.count_distinct("n").alias("nodes"))
+    return nodes.crossJoin(e.agg(F.count_distinct("r").alias("relations"), F.count("*").alias("edges")))  # one row each
+
+
+def has_node(e: DataFrame, name: str) -> bool:
+    return not e.where((F.col("s") == name) | (F.col("t") == name)).isEmpty()
+
+
+def has_edge(e: DataFrame, source: str, relation: str, target: str) -> bool:
+    return not e.where((F.col("s") == source) & (F.col("r") == relation) & (F.col("t") == target)).isEmpty()
+
+
+def grouped(e: DataFrame) -> DataFrame:
+    """(n, r, ins, outs): neighbours of each node by relation, in order and with multiplicity, as many as the node has edges."""
+    a = both_ways(e)
+    back = F.col("l").startswith("_")
+    return a.groupBy("n", label_name().alias("r")).agg(F.sort_array(F.collect_list(F.when(back, F.col("m")))).alias("ins"), F.sort_array(F.collect_list(F.when(~back, F.col("m")))).alias("outs"))
+
+
+def without_tests(e: DataFrame, split: DataFrame) -> DataFrame:
+    """Edges but for those of a relation that join one of its test pairs, in either direction."""
+    pairs = split.where("fold = 'testing'").select(F.col("relation").alias("r"), F.col("source").alias("s"), F.col("target").alias("t"))
+    both = pairs.union(pairs.select("r", F.col("t").alias("s"), F.col("s").alias("t")))
+    return e.join(both.distinct(), ["s", "r", "t"], "left_anti").select(*e.columns)
+
+
+def matrix_files(e: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(file, r, s, t): the file that holds a relation's entries: consecutive relation ids (id, name) up to most entries in all, named a
+    or a-b. One row a relation comes to the driver, a vocabulary."""
+    sizes = e.groupBy("r").agg(F.count("*").alias("n")).join(ids.select(F.col("name").alias("r"), "id"), "r").orderBy("id").collect()
+    runs = file_groups([(str(x["id"]), x["n"]) for x in sizes], most)
+    names, at = {}, {str(x["id"]): x["r"] for x in sizes}
+    order = list(at)
+    for a, b in runs:
+        for i in order[order.index(a) : order.index(b) + 1]:
+            names[at[i]] = a if a == b else f"{a}-{b}"
+    of = e.sparkSession.createDataFrame(list(names.items()), "r string, file string")
+    return e.join(F.broadcast(of), "r").select("file", "r", "s", "t")

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+from ..functions.tables import stored
+
 WEIGHTS = "relation string, feature string, weight double"
 
 
@@ -18,10 +21,43 @@ def _design(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return i, j, rows["value"].to_numpy(float), y, len(names)
 
 
-def logistic(features: DataFrame, l1: float = 0.0, l2: float = 1.0, iterations: int = 300) -> DataFrame:
-    """Weights that maximise the log likelihood - l2 * sum(w^2) - l1 * sum(|w|), by accelerated proximal steps, for each
-    relation; the intercept is learned, bears no penalty and isn't returned; weights below 1e-8 are 0. A relation's sparse
-    rows must fit a task."""
+#: Feature values of a relation that one task may train on; larger relations are trained over the cluster.
+TASK_VALUES = 2_000_000
+
+
+def logistic(features: DataFrame, l1: float = 0.0, l2: float = 1.0, iterations: int = 300, task_values: int = TASK_VALUES) -> DataFrame:
+    """Weights that maximise the log likelihood - l2 * sum(w^2) - l1 * sum(|w|) for each relation; the intercept is learned, bears
+    no penalty and isn't returned; weights below 1e-8 are 0. Relations of up to task_values values are trained side by side, each
+    in a task by accelerated proximal steps; of larger ones one after the other, with gradients summed over the cluster."""
+    sizes = features.groupBy("relation").count().where(F.col("count") > task_values).collect()  # a vocabulary
+    large = sorted(r["relation"] for r in sizes)
+    out = _fitted(features.where(~F.col("relation").isin(large)) if large else features, l1, l2, iterations)
+    for r in large:
+        out = out.unionAll(_spread(features.where(F.col("relation") == r), r, l1, l2, iterations))
+    return out
+
+
+def _spread(features: DataFrame, relation: str, l1: float, l2: float, iterations: int) -> DataFrame:
+    """logistic() of one relation by quasi-Newton steps over all partitions. The weights, one a feature, come to the driver."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    spark = features.sparkSession
+    names = stored(numbered(features.select("feature").distinct(), ["feature"], name="place"), "feature-names")
+    d = names.count()
+    cells = features.join(names, "feature").groupBy("iid", "label", "place").agg(F.sum("value").alias("value"))
+    rows = cells.groupBy("iid").agg(F.max((F.col("label") > 0).cast("double")).alias("y"), F.sort_array(F.collect_list(F.struct((F.col("place") - 1).cast("int").alias("i"), "value"))).alias("x"))
+    sparse = F.udf(lambda x: Vectors.sparse(d, [e["i"] for e in x], [e["value"] for e in x]), VectorUDT())
+    rows = stored(rows.select("y", "x"), "training").select("y", sparse("x").alias("x"))
+    n, total = rows.count(), l1 + 2 * l2
+    fit = LogisticRegression(featuresCol="x", labelCol="y", maxIter=iterations, regParam=total / n, elasticNetParam=l1 / total if total else 0.0, standardization=False, tol=1e-10).fit(rows)
+    w = fit.coefficients.toArray()
+    keep = np.flatnonzero(np.abs(w) > 1e-8)
+    got = spark.createDataFrame([(int(i) + 1, float(w[i])) for i in keep], "place long, weight double")
+    return got.join(names, "place").select(F.lit(relation).alias("relation"), "feature", "weight")
+
+
+def _fitted(features: DataFrame, l1: float, l2: float, iterations: int) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, v, y, d = _design(rows)
@@ -103,8 +139,14 @@ def densify(edges: DataFrame, sims: DataFrame) -> DataFrame:
     return one.join(sims, "r1").groupBy("s", F.col("r2").alias("r"), "t").agg(F.sum("weight").alias("value"))
 
 
+MOST_VECTORS = 4096
+
+
 def similar_pairs(vectors: DataFrame, lower: float, upper: float = 2.0) -> DataFrame:
-    """Pairs of a bounded set of relation vectors (r, v), scaled to length 1, with lower < dot < upper, both ways."""
+    """Pairs of relation vectors (r, v), scaled to length 1, with lower < dot < upper, both ways. For a vocabulary: more than
+    MOST_VECTORS raise; vectors.similar_hashed has no such limit."""
+    if len(vectors.select("r").head(MOST_VECTORS + 1)) > MOST_VECTORS:
+        raise ValueError(f"more than {MOST_VECTORS} vectors to compare with one another: use similar_hashed")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     u = vectors.where(norm > 0).select("r", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
     a, b = u.select(F.col("r").alias("r1"), F.col("v").alias("x")), u.select(F.col("r").alias("r2"), F.col("v").alias("y"))

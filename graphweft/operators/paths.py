@@ -63,6 +63,17 @@ def pair_subgraph(instances: DataFrame, adj: DataFrame, steps: int = 2, held_out
     return a.select(*keep).unionAll(b.select(*keep)).unionAll(met).distinct()
 
 
+def pair_paths(instances: DataFrame, adj: DataFrame, steps: int = 2, held_out: list[str] | None = None) -> DataFrame:
+    """The rows of pair_subgraph that join source and target, without the others: what a walk from the source reaches is joined once,
+    with what the target reaches and the target itself."""
+    none = F.expr("cast(array() as array<string>)")
+    b = expand(instances, "target", adj, steps, held_out).select("iid", "node", "back")
+    ends = instances.select("iid", F.col("target").alias("node"), none.alias("back"))
+    a = expand(instances, "source", adj, steps, held_out).select("iid", F.col("start").alias("start"), "node", "path")
+    met = a.join(b.unionAll(ends), ["iid", "node"]).select("iid", "start", F.concat("path", "back").alias("path")).distinct()
+    return met.join(instances.select("iid", F.col("target").alias("node")), "iid").select("iid", "start", "node", "path")
+
+
 def node_subgraph(instances: DataFrame, adj: DataFrame, steps: int = 2) -> DataFrame:
     return expand(instances, "source", adj, steps).select("iid", "start", "node", "path").distinct()
 
@@ -111,6 +122,16 @@ def related(starts: DataFrame, adj: DataFrame, hops: list[dict]) -> DataFrame:
     return now.where("start <> node")
 
 
+def related_any(starts: DataFrame, adj: DataFrame, features: list[str], from_target: bool = False) -> DataFrame:
+    """(start, node): what any of the features reaches; malformed ones reach nothing."""
+    out = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).limit(0)
+    for f in features:
+        hops = matcher(f, from_target)
+        if hops:
+            out = out.unionAll(related(starts, adj, hops))
+    return out.distinct()
+
+
 def matcher(feature: str, from_target: bool = False) -> list[dict] | None:
     """Hops of a path feature (-a-_b- or -a->n1-_b->), from its target's side if asked; None if it is malformed."""
     if not re.fullmatch(r"-(?:[^-]+-)+|(?:-[^->]+->[^-]*)+", feature):

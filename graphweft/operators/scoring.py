@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 
 def kept(predictions: DataFrame) -> DataFrame:
     """Predictions that count: a target, a score above 0, and not a known training pair."""
@@ -12,14 +14,21 @@ def kept(predictions: DataFrame) -> DataFrame:
 
 
 def ranked(predictions: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "source", "target")
-    hit = F.col("correct").cast("int")
-    return predictions.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Correct predictions with their rank among all of their group and among the correct ones, best first, ties by name. Groups of
+    sources are short and sorted in windows; whole relations are not, so their ranks come from ranges of the order."""
+    order = [F.desc("score"), "source", "target"]
+    if "source" in by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        out = predictions.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum(F.col("correct").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return out.where("correct")
+    x = predictions.select(*by, "source", "target", "score", "correct").withColumn("score", -F.col("score"))
+    out = numbered(x, ["score", "source", "target"], by, "rank").where("correct")
+    return numbered(out, ["rank"], by, "hits")
 
 
 def average_precision(predictions: DataFrame, positives: DataFrame, by: list[str]) -> DataFrame:
     """(by, ap, rr): precision at each hit over the number of positives; one over the rank of the first hit; 0 without any."""
-    r = ranked(predictions, by).where("correct")
+    r = ranked(predictions, by)
     got = r.groupBy(*by).agg(F.sum(F.col("hits") / F.col("rank")).alias("sum_p"), F.min("rank").alias("first"))
     n = positives.groupBy(*by).agg(F.count("*").alias("n"))
     return n.join(got, by, "left").select(*by, F.coalesce(F.col("sum_p") / F.col("n"), F.lit(0.0)).alias("ap"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))

@@ -15,6 +15,7 @@ from .paths import encode
 VECTORS = "r string, v array<double>"
 SIMILAR = "r1 string, r2 string, weight double"
 JOINED = " C+C "
+MOST_RELATIONS = 20_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -43,6 +44,8 @@ def decomposed(edges: DataFrame, dims: int, rounds: int = 200, seed: int = 1) ->
     values, each times the root of its value, then scaled to length 1. Not centred. The component that is largest in size
     over all relations is positive in each dimension. A relation outside those dimensions has no vector."""
     spark = edges.sparkSession
+    if len(edges.select("r").distinct().head(MOST_RELATIONS + 1)) > MOST_RELATIONS:
+        raise ValueError(f"more than {MOST_RELATIONS} relations to decompose on the driver")
     g = gram(edges).toPandas()
     names, at = np.unique(np.concatenate([g["r1"].to_numpy(str), g["r2"].to_numpy(str)]), return_inverse=True)
     n = len(names)

@@ -1,30 +1,52 @@
-"""Random walks in expectation: personalised page rank, path following, path counts and path selection."""
+"""Random walks in expectation: personalised page rank, path following, path counts and path selection.
+
+Shares of walks are whole numbers of SHARES, and what a step passes on is rounded down. Sums of them don't depend on their order, so
+neither partitioning nor a repeated task changes a digit; a share below 1 / SHARES ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import stored
 from .paths import encode, flip
 
+SHARES = 10**17
+
+
+def _whole(share) -> Column:
+    return F.floor(share).cast("long")
+
+
+def _part(share) -> Column:
+    return share.cast("double") / F.lit(float(SHARES))
+
 
 def page_rank(starts: DataFrame, adj: DataFrame, walks: int = 250, steps: int = 4, restart: float = 0.15, allowed: DataFrame | None = None) -> DataFrame:
     """(start, node, visits): expected visits of walks from each start that go to a uniform distinct neighbour and restart after each
     step with that probability. The start itself doesn't count; allowed: only these nodes do. A node without
     neighbours ends the walk."""
+    return _visits(rank_shares(starts, adj, steps, restart, allowed), walks)
+
+
+def _visits(shares: DataFrame, walks: int) -> DataFrame:
+    return shares.select("start", "node", (_part(F.col("share")) * walks).alias("visits"))
+
+
+def rank_shares(starts: DataFrame, adj: DataFrame, steps: int = 4, restart: float = 0.15, allowed: DataFrame | None = None) -> DataFrame:
+    """(start, node, share): page_rank in shares of a walk, SHARES for each visit."""
     nb = adj.select("n", "m").distinct()
-    nb = nb.join(nb.groupBy("n").agg(F.count("*").alias("d")), "n")
-    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node"), F.lit(float(walks)).alias("w"))
-    total, seen = now.select("start", F.col("w").alias("all")), None
+    nb = stored(nb.join(nb.groupBy("n").agg(F.count("*").alias("d")), "n"), "neighbours")
+    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(SHARES))
+    seen = None
     for i in range(steps):
-        moved = now.join(nb, F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(F.col("w") / F.col("d")).alias("w"))
+        moved = now.join(nb, F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(_whole(F.col("w") / F.col("d"))).alias("w"))
         seen = moved if seen is None else seen.unionAll(moved)
         if i + 1 < steps:
-            back = moved.groupBy("start").agg(F.sum("w").alias("w")).select("start", F.col("start").alias("node"), (F.col("w") * restart).alias("w"))
-            now = moved.select("start", "node", (F.col("w") * (1 - restart)).alias("w")).unionAll(back).groupBy("start", "node").agg(F.sum("w").alias("w"))
-    out = seen.where("start <> node").groupBy("start", "node").agg(F.sum("w").alias("visits"))
-    return out if allowed is None else out.join(allowed.select(F.col("n").alias("node")).distinct(), "node", "left_semi").select("start", "node", "visits")
+            back = moved.groupBy("start").agg(F.sum("w").alias("w")).select("start", F.col("start").alias("node"), _whole(F.col("w") * restart).alias("w"))
+            now = moved.select("start", "node", _whole(F.col("w") * (1 - restart)).alias("w")).unionAll(back).groupBy("start", "node").agg(F.sum("w").alias("w"))
+    out = seen.where("start <> node").groupBy("start", "node").agg(F.sum("w").alias("share"))
+    return out if allowed is None else out.join(allowed.select(F.col("n").alias("node")).distinct(), "node", "left_semi").select("start", "node", "share")
 
 
 def top(df: DataFrame, group: str, score: str, name: str, k: int) -> DataFrame:
@@ -37,9 +59,9 @@ def follow(starts: DataFrame, adj: DataFrame, path: list[str]) -> DataFrame:
     """(start, target, p): where a walk along the labels ends, given that it does; parallel edges count each."""
     degree = adj.groupBy("n", "l").agg(F.count("*").alias("d"))
     step = adj.groupBy("n", "l", "m").agg(F.count("*").alias("k")).join(degree, ["n", "l"])
-    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(1.0))
+    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(SHARES))
     for label in path:
-        now = now.join(step.where(F.col("l") == label), F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(F.col("w") * F.col("k") / F.col("d")).alias("w"))
+        now = now.join(step.where(F.col("l") == label), F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(_whole(F.col("w").cast("double") * F.col("k") / F.col("d"))).alias("w"))
     every = Window.partitionBy("start")
     return now.select("start", F.col("node").alias("target"), (F.col("w") / F.sum("w").over(every)).alias("p"))
 
@@ -61,31 +83,23 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
     return out if k < 0 else out.limit(k)
 
 
-def two_sided_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Path counts of pairs from both sides' walks that meet, as products of their counts."""
-    a = source.groupBy("iid", "node", "path", "back").agg(F.count("*").alias("c1"))
-    b = target.groupBy("iid", "node", "path", "back").agg(F.count("*").alias("c2"))
-    met = a.alias("a").join(b.alias("b"), ["iid", "node"])
-    return met.groupBy(encode(F.concat("a.path", "b.back")).alias("path")).agg(F.sum(F.col("c1") * F.col("c2")).alias("n_pairs"))
-
-
 def page_rank_edges(starts: DataFrame, adj: DataFrame, walks: int = 250, iterations: int = 4, restart: float = 0.15, most: int = 100, allowed: DataFrame | None = None) -> DataFrame:
     """(start, node, visits): the same by edges with their multiplicity; a walk restarts before it moves, and also at a node without
     edges. The most visited nodes of each start (ties by name), of which the allowed ones are kept."""
     step = adj.groupBy("n", "m").agg(F.count("*").alias("k"))
-    step = step.join(adj.groupBy("n").agg(F.count("*").alias("d")), "n")
-    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(float(walks)))
+    step = stored(step.join(adj.groupBy("n").agg(F.count("*").alias("d")), "n"), "steps")
+    now = starts.select(F.col("n").alias("start"), F.col("n").alias("node")).distinct().withColumn("w", F.lit(SHARES))
     seen = None
     for i in range(iterations):
-        moved = now.join(step, F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(F.col("w") * (1 - restart) * F.col("k") / F.col("d")).alias("w"))
+        moved = now.join(step, F.col("node") == F.col("n")).groupBy("start", F.col("m").alias("node")).agg(F.sum(_whole(F.col("w") * (1 - restart) * F.col("k") / F.col("d"))).alias("w"))
         seen = moved if seen is None else seen.unionAll(moved)
         if i + 1 < iterations:
             home = now.select("start").distinct().select("start", F.col("start").alias("node"))
             kept = moved.groupBy("start").agg(F.sum("w").alias("out"))
-            back = home.join(kept, "start", "left").select("start", "node", (F.lit(float(walks)) - F.coalesce("out", F.lit(0.0))).alias("w"))
+            back = home.join(kept, "start", "left").select("start", "node", (F.lit(SHARES) - F.coalesce("out", F.lit(0))).alias("w"))
             now = moved.unionAll(back).groupBy("start", "node").agg(F.sum("w").alias("w"))
-    out = top(seen.where("start <> node").groupBy("start", "node").agg(F.sum("w").alias("visits")), "start", "visits", "node", most)
-    return (out if allowed is None else out.join(allowed.select(F.col("n").alias("node")).distinct(), "node", "left_semi")).select("start", "node", "visits")
+    out = top(seen.where("start <> node").groupBy("start", "node").agg(F.sum("w").alias("share")), "start", "share", "node", most)
+    return _visits(out if allowed is None else out.join(allowed.select(F.col("n").alias("node")).distinct(), "node", "left_semi"), walks)
 
 
 def found_paths(inst: DataFrame, start: str, adj: DataFrame, walks: int = 100, steps: int = 3, restart: float = 0.0, held_out: list[str] | None = None) -> DataFrame:
@@ -127,8 +141,8 @@ def follow_paths(starts: DataFrame, adj: DataFrame, paths: DataFrame, normalise:
         step = step.join(closed.distinct(), ["n", "l", "m"], "left_anti")
     paths = paths.select("path").distinct().where(F.size("path") > 0)
     heads = paths.select("path", F.col("path")[0].alias("l"))
-    move = F.sum(F.col("w") * F.col("k") / F.col("d")).alias("w")
-    first = starts.select("n").distinct().join(step, "n").join(heads, "l").withColumn("w", F.lit(1.0))
+    move = F.sum(_whole(F.col("w").cast("double") * F.col("k") / F.col("d"))).alias("w")
+    first = starts.select("n").distinct().join(step, "n").join(heads, "l").withColumn("w", F.lit(SHARES))
     now = first.groupBy("path", F.col("n").alias("start"), F.col("m").alias("node")).agg(move)
     longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
     done = now.where(F.size("path") == 1)
@@ -136,7 +150,7 @@ def follow_paths(starts: DataFrame, adj: DataFrame, paths: DataFrame, normalise:
         x = now.where(F.size("path") > i).withColumn("l", F.col("path")[i]).join(step.withColumnRenamed("n", "node"), ["node", "l"])
         now = x.groupBy("path", "start", F.col("m").alias("node")).agg(move)
         done = done.unionAll(now.where(F.size("path") == i + 1))
-    p = F.col("w") / F.sum("w").over(Window.partitionBy("path", "start")) if normalise else F.col("w") * walks
+    p = F.col("w") / F.sum("w").over(Window.partitionBy("path", "start")) if normalise else _part(F.col("w")) * walks
     return done.select("path", "start", F.col("node").alias("target"), p.alias("p"))
 
 
@@ -145,3 +159,46 @@ def paired_counts(found_source: DataFrame, found_target: DataFrame) -> DataFrame
     a, b = found_source.alias("a"), found_target.alias("b")
     met = a.join(b, ["iid", "node"]).select("iid", F.concat("a.path", "b.back").alias("path"), (F.col("a.visits") * F.col("b.visits")).alias("visits"))
     return met.groupBy("iid", "path").agg(F.sum("visits").alias("visits"))
+
+
+def direct_and_paired(found_source: DataFrame, found_target: DataFrame, inst: DataFrame, policy: str = "paired-only", most: int = 5, ends: int = 9) -> DataFrame:
+    """(path array, n_pairs): counts (iid, start, node, path, back, visits) of both sides' walks put together. Each node and start
+    brings its `most` commonest paths (ties by path). A walk that gets from one end to the other counts with its square, or cube
+    where all pairs count; walks from both ends that meet count with the product of theirs. policy: paired-only, the ends of one
+    instance; everything, the first `ends` sources and targets (by name) at a node, whatever instances they are of."""
+    if policy not in ("paired-only", "everything"):
+        raise ValueError(f"unknown path policy: {policy}")
+    paired, empty = policy == "paired-only", F.expr("cast(array() as array<string>)")
+    once = ["iid", "start", "node"] if paired else ["start", "node"]
+
+    def best(found: DataFrame) -> DataFrame:
+        x = found.select(*once, "path", "back", "visits")
+        x = x if paired else x.dropDuplicates([*once, "path"])
+        w = Window.partitionBy(*once).orderBy(F.desc(F.round("visits", 9)), encode(F.col("path")))
+        return x.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+
+    a, b = best(found_source), best(found_target)
+    power = 2.0 if paired else 3.0
+    pairs = inst.select("iid", "source", "target") if paired else None
+    others = (inst.select(F.col("target").alias("node")).distinct(), inst.select(F.col("source").alias("node")).distinct())
+    out = None
+    for x, other, path in ((a, "target", F.col("path")), (b, "source", F.col("back"))):
+        got = x.join(pairs, "iid").where(F.col("node") == F.col(other)) if paired else x.join(others[0 if other == "target" else 1], "node", "left_semi")
+        got = got.select(path.alias("path"), F.pow("visits", F.lit(power)).alias("n_pairs"))
+        out = got if out is None else out.unionAll(got)
+    if not paired:
+        few = lambda x: x.join(x.select("node", "start").distinct().withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("start"))).where(F.col("k") <= ends).select("node", "start"), ["node", "start"])
+        a, b = few(a), few(b)
+    met = a.alias("a").join(b.alias("b"), ["iid", "node"] if paired else ["node"])
+    met = met.select(F.concat("a.path", "b.back").alias("path"), (F.col("a.visits") * F.col("b.visits")).alias("n_pairs"))
+    return out.unionAll(met).where(F.size("path") > F.size(empty)).groupBy("path").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
+def local_subgraphs(found_source: DataFrame, found_target: DataFrame, most: int = 10) -> DataFrame:
+    """(iid, start, node, path): the subgraph of each pair that walks give: the `most` commonest paths of either end to each node (ties
+    by path), and the paths that join the ends where both sides' walks meet."""
+    w = Window.partitionBy("iid", "start", "node").orderBy(F.desc(F.round("visits", 9)), encode(F.col("path")))
+    best = lambda x: x.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("iid", "start", "node", "path")
+    a, b = found_source.alias("a"), found_target.alias("b")
+    met = a.join(b, ["iid", "node"]).select("iid", F.col("a.start").alias("start"), F.col("b.start").alias("node"), F.concat("a.path", "b.back").alias("path"))
+    return best(found_source).unionAll(best(found_target)).unionAll(met).distinct()

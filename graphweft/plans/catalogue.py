@@ -11,6 +11,7 @@ from ..sources.triples import kg, parse_graph
 from .oracle import ORACLE_SQL  # noqa: F401
 
 CAP = 100
+RELATIONS = ["in_nation", "supp_nation", "in_region", "placed_by", "has_part", "from_supp", "brand"]
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,21 +20,30 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(1).unionAll(one(-1))
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph without parts: what the path features of customers and nations need."""
-    return kg(spark, sf_dir).where(F.col("r").isin("in_nation", "supp_nation", "in_region", "placed_by", "from_supp"))
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and nations alone, for walks from every customer: what they reach over orders would be nodes times customers."""
+    return graph.both_ways(kg(spark, sf_dir).where("r in ('in_nation', 'in_region')"))
+
+
+def ends(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    return instances(spark, sf_dir).select(F.col(side).alias("n")).distinct()
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(graph.capped(graph.both_ways(small(spark, sf_dir)), CAP), "adjacency")
+    return stored(graph.capped(graph.both_ways(kg(spark, sf_dir)), CAP), "adjacency")
 
 
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(paths.pair_subgraph(instances(spark, sf_dir), adjacency(spark, sf_dir), 2, ["in_nation"]), "subgraph")
 
 
+def joining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the subgraph that joins each pair, for features that read no other."""
+    return paths.pair_paths(instances(spark, sf_dir), adjacency(spark, sf_dir), 2, ["in_nation"])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.pra(subgraph(spark, sf_dir), instances(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n_pairs"))
+    return features.pra(joining(spark, sf_dir), instances(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n_pairs"))
 
 
 def _summary(f: DataFrame) -> DataFrame:
@@ -41,8 +51,8 @@ def _summary(f: DataFrame) -> DataFrame:
     return f.groupBy("feature").agg(F.count("*").alias("n"))
 
 
-def _feature(fn):
-    return lambda spark, d: _summary(fn(subgraph(spark, d), instances(spark, d)))
+def _feature(fn, of=joining):
+    return lambda spark, d: _summary(fn(of(spark, d), instances(spark, d)))
 
 
 def _clusters(spark):
@@ -89,7 +99,7 @@ QUERIES = {
     "kg_degree_by_relation": lambda s, d: graph.degrees(kg(s, d)),
     "kg_adjacency_both_ways": lambda s, d: graph.both_ways(kg(s, d)),
     "kg_connected_nodes": lambda s, d: graph.neighbours(kg(s, d)),
-    "kg_dictionary_ids": lambda s, d: graph.dictionary(small(s, d), ["s", "r", "t"]),
+    "kg_dictionary_ids": lambda s, d: graph.dictionary(kg(s, d), ["s", "r", "t"]),
     "kg_relation_prefix": lambda s, d: graph.prefixed(kg(s, d), "1-"),
     "kg_replace_relation": lambda s, d: graph.relabelled(kg(s, d), "related"),
     "kg_cluster_expand": lambda s, d: graph.clustered(kg(s, d), _clusters(s)),
@@ -102,27 +112,27 @@ QUERIES = {
     "split_prefix_by_label": lambda s, d: datasets.prefix_split(instances(s, d), 0.8, ["iid"]),
     "split_prefix": lambda s, d: datasets.prefix_split(instances(s, d).withColumn("one", F.lit(1)), 0.75, ["iid"], ["one"]).drop("one"),
     "unallowed_edges": lambda s, d: graph.unallowed("in_nation", s.createDataFrame([("in_nation", "supp_nation")], "a string, b string"), _clusters(s).unionAll(s.createDataFrame([("in_nation", "in_region")], "r string, cluster string")), kg(s, d)),
-    "bfs_pair_paths": lambda s, d: paths.pair_subgraph(instances(s, d), graph.capped(graph.both_ways(small(s, d).where("r <> 'placed_by'")), CAP), 2).groupBy("iid").agg(F.count("*").alias("n_entries"), F.count_distinct(paths.encode(F.col("path"))).alias("n_paths")),
+    "bfs_pair_paths": lambda s, d: paths.pair_subgraph(instances(s, d), adjacency(s, d), 2).groupBy("iid").agg(F.count("*").alias("n_entries"), F.count_distinct(paths.encode(F.col("path"))).alias("n_paths")),
     "bfs_pair_paths_heldout": lambda s, d: subgraph(s, d).groupBy(paths.encode(F.col("path")).alias("path")).agg(F.count("*").alias("n_entries")),
     "bfs_node_paths": lambda s, d: paths.node_subgraph(instances(s, d), adjacency(s, d)).groupBy(paths.encode(F.col("path")).alias("path")).agg(F.count("*").alias("n_entries")),
-    "bfs_path_counts": lambda s, d: paths.path_counts(subgraph(s, d), instances(s, d)),
+    "bfs_path_counts": lambda s, d: paths.path_counts(joining(s, d), instances(s, d)),
     "feat_pra": _feature(features.pra),
     "feat_pra_filtered": _feature(lambda a, b: features.pra(a, b, include=["_placed_by,+"], exclude=["*,_supp_nation,*"])),
-    "feat_one_sided": _feature(lambda a, b: features.one_sided(a, b, False)),
-    "feat_one_sided_end": _feature(features.one_sided),
+    "feat_one_sided": _feature(lambda a, b: features.one_sided(a, b, False), subgraph),
+    "feat_one_sided_end": _feature(features.one_sided, subgraph),
     "feat_bigrams": _feature(features.bigrams),
     "feat_anyrel": _feature(features.any_relation),
-    "feat_vecsim": lambda s, d: _summary(features.vector_similar(subgraph(s, d), instances(s, d), _sims(s), 1)),
-    "feat_connected": lambda s, d: _summary(features.connected(paths.pair_subgraph(instances(s, d), adjacency(s, d), 1), instances(s, d))),
+    "feat_vecsim": lambda s, d: _summary(features.vector_similar(joining(s, d), instances(s, d), _sims(s), 1)),
+    "feat_connected": lambda s, d: _summary(features.connected(paths.pair_paths(instances(s, d), adjacency(s, d), 1), instances(s, d))),
     "feat_node_path": lambda s, d: _summary(features.node_paths(paths.node_subgraph(instances(s, d), adjacency(s, d)), False)),
     "feat_node_path_end": lambda s, d: _summary(features.node_paths(paths.node_subgraph(instances(s, d), adjacency(s, d)))),
     "feat_hashed": lambda s, d: _summary(features.hashed(features.one_sided(subgraph(s, d), instances(s, d)), 1000)),
-    "feat_matrix_text": lambda s, d: features.matrix_text(features.with_bias(features.pra(subgraph(s, d), instances(s, d))), instances(s, d)),
-    "ppr_expected": lambda s, d: _round(walks.page_rank(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("n")), graph.both_ways(small(s, d)), steps=3), "visits"),
-    "path_prob_follow": lambda s, d: _round(walks.follow(kg(s, d).where("r = 'placed_by'").select(F.col("t").alias("n")), graph.both_ways(kg(s, d)), ["_placed_by", "from_supp", "supp_nation"]), "p"),
-    "path_select_topk": lambda s, d: walks.most_frequent(paths.path_counts(subgraph(s, d), instances(s, d)), 5),
-    "negatives_sampled": lambda s, d: datasets.negatives(instances(s, d).where("label = 1"), walks.page_rank(instances(s, d).select(F.col("source").alias("n")).distinct(), graph.both_ways(small(s, d).where("r in ('in_nation', 'in_region')")), steps=4, allowed=instances(s, d).select(F.col("target").alias("n")))),
-    "densify": lambda s, d: _round(models.densify(small(s, d), _sims(s).unionAll(s.createDataFrame([(r, r, 1.0) for r in ("in_nation", "supp_nation", "in_region", "placed_by", "from_supp")], "r1 string, r2 string, weight double"))), "value"),
+    "feat_matrix_text": lambda s, d: features.matrix_text(features.with_bias(features.pra(joining(s, d), instances(s, d))), instances(s, d)),
+    "ppr_expected": lambda s, d: walks.page_rank(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("n")), graph.both_ways(kg(s, d)), steps=3),
+    "path_prob_follow": lambda s, d: walks.follow(kg(s, d).where("r = 'placed_by'").select(F.col("t").alias("n")), graph.both_ways(kg(s, d)), ["_placed_by", "from_supp", "supp_nation"]),
+    "path_select_topk": lambda s, d: walks.most_frequent(paths.path_counts(joining(s, d), instances(s, d)), 5),
+    "negatives_sampled": lambda s, d: datasets.ranked_negatives(instances(s, d).where("label = 1"), near(s, d), sources=ends(s, d, "source"), targets=ends(s, d, "target"), steps=2),
+    "densify": lambda s, d: _round(models.densify(kg(s, d), _sims(s).unionAll(s.createDataFrame([(r, r, 1.0) for r in RELATIONS], "r1 string, r2 string, weight double"))), "value"),
     "score_linear": lambda s, d: models.scores(_labelled(s, d), _given(s)),
     "lr_train_test": lambda s, d: models.logistic(_labelled(s, d)),
     "sgd_train_test": lambda s, d: models.online(_labelled(s, d)),

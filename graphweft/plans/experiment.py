@@ -66,6 +66,32 @@ def _pattern_options(name: object, params: dict) -> dict:
     return {k: [v] if isinstance(v, str) else v for k, v in out.items()} if name == "PraFeatureExtractorWithFilter" else {}
 
 
+#: Keys that a feature specification may have, by its type, and those of its parts.
+SUBGRAPHS = {"": ["type", "path finder", "feature extractors", "feature size", "include bias"], "path finder": ["type", "number of steps", "max fan out"]}
+WALKS = {
+    "": ["type", "path finder", "path selector", "path follower"], "path finder": ["type", "walks per source", "path finding iterations", "reset probability", "path accept policy"],
+    "path selector": ["name", "number of paths to keep"], "path follower": ["name", "walks per path", "normalize walk probabilities", "matrix accept policy", "matrix accept policy: training", "matrix accept policy: test"],
+}
+#: Names that the parts may choose, each the only one that an experiment runs.
+PARTS = {"subgraphs": {"path finder": ["BfsPathFinder"]}, "pra": {"path finder": ["RandomWalkPathFinder"], "path selector": ["MostFrequentPathTypeSelector"], "path follower": ["random walks"]}}
+
+
+def checked(spec: dict) -> str:
+    """The type of a feature specification, all of whose keys and choices are known; others raise."""
+    kind = spec.get("type", "pra")
+    if kind not in PARTS:
+        raise ValueError(f"unknown feature type: {kind}")
+    for part, keys in (SUBGRAPHS if kind == "subgraphs" else WALKS).items():
+        known_keys(spec.get(part, {}) if part else spec, keys, part or f"{kind} features")
+        name = spec.get(part, {}).get("name", spec.get(part, {}).get("type")) if part else None
+        if name is not None and name not in PARTS[kind][part]:
+            raise ValueError(f"unknown {part}: {name}")
+    for x in spec.get("feature extractors", []):
+        if not isinstance(x, str):
+            known_keys(x, ["name", "include", "exclude"] if x.get("name") == "PraFeatureExtractorWithFilter" else ["name"], f"extractor {x.get('name')}")
+    return kind
+
+
 def subgraph_features(inst: DataFrame, adj: DataFrame, spec: dict, held_out: list[str], nodes: bool = False) -> DataFrame:
     """(iid, feature, value): what all extractors give, once each; a bias for instances that have a feature, if asked for."""
     finder = spec.get("path finder", {})
@@ -91,8 +117,7 @@ def walk_features(training: DataFrame, tests: DataFrame, adj: DataFrame, spec: d
     Rows come from the walks."""
     finder, selector, follower = spec.get("path finder", {}), spec.get("path selector", {}), spec.get("path follower", {})
     found = [walks.found_paths(training, side, adj, finder.get("walks per source", 100), finder.get("path finding iterations", 3), finder.get("reset probability", 0.0), held_out) for side in ("source", "target")]
-    direct = found[0].join(training.select("iid", F.col("target").alias("node")), ["iid", "node"], "left_semi").select("iid", "path", "visits")
-    counts = direct.unionAll(walks.paired_counts(*found)).groupBy("path").agg(F.sum("visits").alias("visits"))
+    counts = walks.direct_and_paired(*found, training, finder.get("path accept policy", "paired-only")).withColumnRenamed("n_pairs", "visits")
     keep = selector.get("number of paths to keep", 1000)
     chosen = counts.orderBy(F.desc("visits"), paths.encode(F.col("path")))
     chosen = stored((chosen if keep < 0 else chosen.limit(keep)).select("path"), "paths")
@@ -105,15 +130,16 @@ def walk_features(training: DataFrame, tests: DataFrame, adj: DataFrame, spec: d
     return out[0], out[1]
 
 
-def _features(relation: str, split: DataFrame, edges: DataFrame, spec: dict, held_out: list[str]) -> tuple[DataFrame, DataFrame]:
+def _features(relation: str, split: DataFrame, edges: DataFrame, spec: dict, held_out: list[str], nodes: bool = False) -> tuple[DataFrame, DataFrame]:
     adj = g.both_ways(edges)
     own = split.where(F.col("relation") == relation).select("fold", "source", "target", "label").distinct()
     inst = stored(own.select(F.xxhash64("fold", "source", "target", "label").alias("iid"), "*"), "instances")
     folds = [inst.where(F.col("fold") == f).drop("fold") for f in ("training", "testing")]
-    kind = spec.get("type", "pra")
-    if kind == "subgraphs":
-        out = [subgraph_features(x, adj, spec, held_out).join(x, "iid") for x in folds]
-    elif kind == "pra":
+    if checked(spec) == "subgraphs":
+        out = [subgraph_features(x, adj, spec, held_out, nodes).join(x, "iid") for x in folds]
+    elif nodes:
+        raise ValueError("walk features are for pairs of nodes")
+    else:
         pairs = inst.select("source", "target").distinct()
         shut = edges.where(F.col("r").isin(held_out)).distinct()
         ends = (F.col("s") == F.col("source")) & (F.col("t") == F.col("target"))
@@ -123,8 +149,6 @@ def _features(relation: str, split: DataFrame, edges: DataFrame, spec: dict, hel
         for f, x in zip(rows, folds):
             yes = x.where("label > 0").select("source", "target").distinct().withColumn("label", F.lit(1))
             out.append(f.join(yes, ["source", "target"], "left").select(F.xxhash64("source", "target").alias("iid"), "source", "target", F.coalesce("label", F.lit(-1)).alias("label"), "feature", "value"))
-    else:
-        raise ValueError(f"unknown feature type: {kind}")
     cols = [F.lit(relation).alias("relation"), "iid", "source", "target", "label", "feature", "value"]
     return out[0].select(*cols), out[1].select(*cols)
 
@@ -151,18 +175,24 @@ def model(spec: dict, features: DataFrame, tests: DataFrame) -> tuple[DataFrame,
 
 
 def train_and_test(spark: SparkSession, spec: dict, split: DataFrame, edges: DataFrame | None = None, unallowed: dict[str, list[str]] | None = None) -> Result:
-    """The operation of a specification over a split (relation, fold training or testing, source, target, label).
-    unallowed: relations whose edges are held out for a relation, besides itself. Operations: train and test, create
+    """The operation of a specification over a split (relation, fold training or testing, source, target, label); without a column
+    target its instances are nodes, whose target is empty in all results. Each relation's features are stored before the next's, so
+    no plan grows with the relations. unallowed: relations whose edges are held out for a relation, besides itself. Operations: train and test, create
     matrices (no model), sgd train and test (a test row without features scores 0)."""
     known_keys(spec, ["graph", "split", "relation metadata", "operation", "output"], "the specification")
     op = spec.get("operation", {})
     kind = op.get("type", "train and test")
     if kind not in ("train and test", "create matrices", "sgd train and test"):
         raise ValueError(f"unknown operation: {kind}")
+    nodes = "target" not in split.columns
+    split = split.withColumn("target", F.lit("")) if nodes else split
     edges = stored(graph(spark, spec["graph"]) if edges is None else edges.select("s", "r", "t"), "edges")
     relations = [r[0] for r in split.select("relation").distinct().orderBy("relation").collect()]  # a vocabulary
-    made = [_features(r, split, edges, op.get("features", {}), [r, *(unallowed or {}).get(r, [])]) for r in relations]
-    training, testing = (stored(reduce(DataFrame.unionByName, x), n) for x, n in zip(zip(*made), ("training", "testing")))
+    made = []
+    for r in relations:
+        both = _features(r, split, edges, op.get("features", {}), [r, *(unallowed or {}).get(r, [])], nodes)
+        made.append([stored(x, n) for x, n in zip(both, ("training", "testing"))])
+    training, testing = (reduce(DataFrame.unionByName, x) for x in zip(*made))
     learning = op.get("learning", {})
     if kind == "create matrices":
         w = spark.createDataFrame([], models.WEIGHTS)
@@ -187,7 +217,7 @@ def train_and_test(spark: SparkSession, spec: dict, split: DataFrame, edges: Dat
 def score_lines(scores: DataFrame) -> DataFrame:
     """(relation, source, lines): for each source its targets, best first, each with * if it is positive and ^ if a training pair."""
     mark = F.concat(F.when(F.col("label") > 0, "*").otherwise(""), F.when(F.col("in_training"), "^").otherwise(""))
-    line = F.struct((-F.col("score")).alias("o"), F.col("target").alias("t"), F.concat_ws("\t", "source", "target", F.col("score").cast("string"), mark).alias("x"))
+    line = F.struct((-F.col("score")).alias("o"), F.col("target").alias("t"), F.concat_ws("\t", "source", F.when(F.col("target") != "", F.col("target")), F.col("score").cast("string"), mark).alias("x"))
     return scores.groupBy("relation", "source").agg(F.transform(F.sort_array(F.collect_list(line)), lambda z: z["x"]).alias("lines"))
 
 

@@ -10,18 +10,13 @@ from ..operators import datasets, features, graph, models, paths, ranking, scori
 from ..sources import synthetic
 from ..sources.triples import kg
 from . import experiment
-from .catalogue import _given, _labelled, _round, _scored, _summary, adjacency, instances, small, subgraph
+from .catalogue import _given, _labelled, _round, _scored, _summary, adjacency, instances, joining
 
 PLAN = synthetic.Plan(entities=2000, bases=6, targets=2, training=200, testing=50, rules=3, longest=3, training_names=2, overlapping=50, base_noise=100, noise_relations=2, noise=100)
 SPEC = {"operation": {"type": "train and test", "features": {"type": "subgraphs", "path finder": {"number of steps": 2}, "feature extractors": ["PraFeatureExtractor", "OneSidedPathOnlyFeatureExtractor"], "include bias": True}, "learning": {"l2 weight": 1.0}}}
 WALKED = {"operation": {"type": "create matrices", "features": {"type": "pra", "path finder": {"path finding iterations": 2}, "path selector": {"number of paths to keep": 20}, "path follower": {"matrix accept policy": "paired-targets-only"}}}}
 
 
-def _cut(df: DataFrame, *cols: str) -> DataFrame:
-    """To 6 places, with the border between two values at .7 of the last one: sums of shares often end in a 5 just there."""
-    return df.withColumns({c: F.floor(F.col(c) * 1e6 + 0.3) / 1e6 for c in cols})
-
-
 def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -44,7 +39,7 @@ def _twins(s, d):
     """Each customer and the next, over nations and keys of nations as numbers."""
     c = _table(s, d, "customer")
     inst = c.select(F.col("c_custkey").alias("iid"), _node("c", "c_custkey").alias("source"), F.concat(F.lit("c:"), (F.col("c_custkey") + 1).cast("string")).alias("target"), F.lit(1).alias("label"))
-    e = small(s, d).where("r = 'in_nation'").unionAll(c.select(_node("c", "c_custkey").alias("s"), F.lit("key").alias("r"), F.col("c_nationkey").cast("string").alias("t")))
+    e = kg(s, d).where("r = 'in_nation'").unionAll(c.select(_node("c", "c_custkey").alias("s"), F.lit("key").alias("r"), F.col("c_nationkey").cast("string").alias("t")))
     return stored(paths.pair_subgraph(inst, graph.both_ways(e), 1), "twins"), inst
 
 
@@ -53,7 +48,7 @@ def _named(s, d):
     c, n = _table(s, d, "customer"), _table(s, d, "nation")
     alias = c.select(F.col("c_name").alias("s"), F.lit(graph.ALIAS).alias("r"), _node("c", "c_custkey").alias("t")).unionAll(n.select("n_name", F.lit(graph.ALIAS), _node("n", "n_nationkey")))
     inst = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("iid"), F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.lit(1).alias("label"))
-    return stored(paths.pair_subgraph(inst, graph.both_ways(small(s, d).where("r = 'in_nation'").unionAll(alias)), 2), "named"), inst
+    return stored(paths.pair_subgraph(inst, graph.both_ways(kg(s, d).where("r = 'in_nation'").unionAll(alias)), 2), "named"), inst
 
 
 def _vectors(s):
@@ -74,8 +69,7 @@ def _followed(s, d):
 
 
 def _followed_text(df: DataFrame) -> DataFrame:
-    """p to 9 places: shares such as 1/128 lie on the border of two values of 6."""
-    return df.select(paths.encode(F.col("path")).alias("path"), "start", "target", F.round("p", 9).alias("p"))
+    return df.select(paths.encode(F.col("path")).alias("path"), "start", "target", "p")
 
 
 def _policy(policy):
@@ -83,12 +77,12 @@ def _policy(policy):
 
 
 def _found(s, d):
-    f = walks.found_paths(_regions(s, d), "source", graph.both_ways(small(s, d).where("r in ('in_nation', 'in_region', 'supp_nation')")), walks=100, steps=2)
+    f = walks.found_paths(_regions(s, d), "source", graph.both_ways(kg(s, d).where("r in ('in_nation', 'in_region', 'supp_nation')")), walks=100, steps=2)
     return _round(f.groupBy(paths.encode(F.col("path")).alias("path")).agg(F.sum("visits").alias("visits")), "visits")
 
 
 def _top_ranks(s, d):
-    r = walks.page_rank(_nations(s, d), graph.both_ways(small(s, d)), steps=3).withColumn("visits", F.round("visits", 6))
+    r = walks.page_rank(_nations(s, d), graph.both_ways(kg(s, d)), steps=3)
     return walks.top(r, "start", "visits", "node", 5).select("start", "node", "visits", F.col("rank").cast("long").alias("rank"))
 
 
@@ -121,19 +115,19 @@ def _mediated(s, d):
 
 
 QUERIES = {
-    "feat_mediator": lambda s, d: _summary(features.mediated(paths.pair_subgraph(_regions(s, d), graph.both_ways(small(s, d).where("r in ('in_nation', 'in_region')")), 1), _regions(s, d), ["in_nation", "in_region"])),
+    "feat_mediator": lambda s, d: _summary(features.mediated(paths.pair_paths(_regions(s, d), graph.both_ways(kg(s, d).where("r in ('in_nation', 'in_region')")), 1), _regions(s, d), ["in_nation", "in_region"])),
     "feat_catcomp": lambda s, d: _summary(features.categorical(*_twins(s, d))),
     "feat_numcomp": lambda s, d: _summary(features.numerical(*_twins(s, d))),
     "feat_anyrel_alias": lambda s, d: _summary(features.any_relation(*_named(s, d), alias=graph.ALIAS)),
-    "feat_with_bias": lambda s, d: _summary(features.with_bias(features.pra(subgraph(s, d), instances(s, d)))),
+    "feat_with_bias": lambda s, d: _summary(features.with_bias(features.pra(joining(s, d), instances(s, d)))),
     "kg_aliases_only": lambda s, d: graph.build([{"triples": kg(s, d).where("r = 'brand'"), "aliases": _table(s, d, "part").select(_node("p", "p_partkey").alias("phrase"), F.col("p_type").alias("concept")), "aliases_only": True}]),
     "allowed_targets": lambda s, d: datasets.allowed_nodes(kg(s, d), _table(s, d, "nation").select(_node("r", "n_regionkey").alias("a"), _node("n", "n_nationkey").alias("b")), "r:1"),
     "ppr_topk": _top_ranks,
-    "ppr_edges": lambda s, d: _cut(walks.page_rank_edges(_nations(s, d), graph.both_ways(small(s, d).where("r in ('in_nation', 'in_region', 'supp_nation')")), iterations=3, most=1 << 30), "visits"),
+    "ppr_edges": lambda s, d: walks.page_rank_edges(_nations(s, d), graph.both_ways(kg(s, d)), iterations=3),
     "path_find_expected": _found,
     "path_follow_all": lambda s, d: _followed_text(_followed(s, d)),
     "path_follow_similar": lambda s, d: _round(vectors.follow_similar(_nations(s, d), graph.both_ways(kg(s, d).where("r in ('in_nation', 'supp_nation', 'in_region', 'from_supp')")), ["_in_nation", "in_nation"], _vectors(s)), "p"),
-    "path_clusters": lambda s, d: vectors.clustered_paths(paths.path_counts(subgraph(s, d), instances(s, d)).select(paths.parse(F.col("path")).alias("path"), "n_pairs"), _vectors(s), 0.7),
+    "path_clusters": lambda s, d: vectors.clustered_paths(paths.path_counts(joining(s, d), instances(s, d)).select(paths.parse(F.col("path")).alias("path"), "n_pairs"), _vectors(s), 0.7),
     "row_policy_all_targets": _policy("all-targets"),
     "row_policy_paired_targets": _policy("paired-targets-only"),
     "sim_exact": lambda s, d: _round(models.similar_pairs(_label_vectors(s, d), 0.0), "weight"),
@@ -147,7 +141,7 @@ QUERIES = {
     "related_nodes_mediator": _mediated,
     "synth_edges": lambda s, d: synthetic.generated(s, PLAN)[0],
     "synth_instances": lambda s, d: synthetic.generated(s, PLAN)[1],
-    "experiment_subgraphs": lambda s, d: experiment.train_and_test(s, SPEC, _split(s, d), small(s, d)).scores,
-    "experiment_walks": lambda s, d: experiment.train_and_test(s, WALKED, _split(s, d), small(s, d)).testing,
+    "experiment_subgraphs": lambda s, d: experiment.train_and_test(s, SPEC, _split(s, d), kg(s, d)).scores,
+    "experiment_walks": lambda s, d: experiment.train_and_test(s, WALKED, _split(s, d), kg(s, d)).testing,
     "candidate_ranking": _candidates,
 }

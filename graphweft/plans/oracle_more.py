@@ -23,24 +23,24 @@ _SIDES = "FROM (SELECT s.iid, s.path, s.node FROM sub s JOIN inst i ON s.iid = i
 
 
 def _edges_rank(steps: int) -> str:
-    q = f"WITH kg AS ({o._kg(['in_nation', 'in_region', 'supp_nation'])}), adj0 AS ({o._ADJ}), st AS (SELECT n, m, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY n) AS q FROM adj0 GROUP BY n, m), w0 AS (SELECT DISTINCT 'n:' || CAST(n_nationkey AS VARCHAR) AS start, 'n:' || CAST(n_nationkey AS VARCHAR) AS node, CAST(250 AS DOUBLE) AS w FROM nation)"
+    q = f"WITH kg AS ({o._kg()}), adj0 AS ({o._ADJ}), dg AS (SELECT n, count(*) AS d FROM adj0 GROUP BY n), st AS (SELECT n, m, count(*) AS k FROM adj0 GROUP BY n, m), w0 AS (SELECT DISTINCT n AS start, n AS node, {o.UNIT} AS w FROM ({o.NATIONS}) z)"
     for i in range(steps):
-        q += f", m{i} AS (SELECT x.start, st.m AS node, sum(x.w * 0.85 * st.q) AS w FROM w{i} x JOIN st ON x.node = st.n GROUP BY x.start, st.m)"
-        q += f", w{i + 1} AS (SELECT start, node, sum(w) AS w FROM (SELECT * FROM m{i} UNION ALL SELECT w0.start, w0.start, 250 - coalesce(g.w, 0) FROM w0 LEFT JOIN (SELECT start, sum(w) AS w FROM m{i} GROUP BY start) g ON w0.start = g.start) z GROUP BY start, node)"
+        q += f", m{i} AS (SELECT x.start, st.m AS node, CAST(sum({o._down('CAST(x.w AS DOUBLE) * CAST(0.85 AS DOUBLE) * st.k / dg.d')}) AS BIGINT) AS w FROM w{i} x JOIN st ON x.node = st.n JOIN dg ON dg.n = st.n GROUP BY x.start, st.m)"
+        q += f", w{i + 1} AS (SELECT start, node, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM m{i} UNION ALL SELECT w0.start, w0.start, {o.UNIT} - coalesce(g.w, 0) FROM w0 LEFT JOIN (SELECT start, CAST(sum(w) AS BIGINT) AS w FROM m{i} GROUP BY start) g ON w0.start = g.start) z GROUP BY start, node)"
     every = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(steps))
-    return q + f" SELECT start, node, floor(visits * CAST(1000000 AS DOUBLE) + CAST(0.3 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS visits FROM (SELECT start, node, sum(w) AS visits FROM ({every}) z WHERE start <> node GROUP BY start, node) y"
+    return q + f" SELECT start, node, {o._part('share')} * 250 AS visits FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY share DESC, node) AS rank FROM (SELECT start, node, CAST(sum(w) AS BIGINT) AS share FROM ({every}) z WHERE start <> node GROUP BY start, node) y) x WHERE rank <= 100"
 
 
 _FOLLOWED = [["_placed_by", "from_supp"], ["_placed_by", "from_supp", "supp_nation"], ["in_nation"]]
 
 
 def _follow_all() -> str:
-    q = o._graph(["placed_by", "from_supp", "supp_nation", "in_nation"]).rstrip() + ", w0 AS (SELECT DISTINCT t AS start, t AS node, CAST(1.0 AS DOUBLE) AS w FROM kg WHERE r = 'placed_by'), d AS (SELECT n, l, count(*) AS d FROM adj GROUP BY n, l)"
+    q = o._graph(["placed_by", "from_supp", "supp_nation", "in_nation"]).rstrip() + f", w0 AS (SELECT DISTINCT t AS start, t AS node, {o.UNIT} AS w FROM kg WHERE r = 'placed_by'), d AS (SELECT n, l, count(*) AS d FROM adj GROUP BY n, l), st AS (SELECT n, l, m, count(*) AS k FROM adj GROUP BY n, l, m)"
     for j, path in enumerate(_FOLLOWED):
         for i, label in enumerate(path):
             before = f"x{j}_{i}" if i else "w0"
-            q += f", x{j}_{i + 1} AS (SELECT x.start, a.m AS node, sum(x.w / d.d) AS w FROM {before} x JOIN adj a ON a.n = x.node AND a.l = '{label}' JOIN d ON d.n = a.n AND d.l = a.l GROUP BY x.start, a.m)"
-    every = " UNION ALL ".join(f"SELECT '-{'-'.join(p)}-' AS path, start, node AS target, w / sum(w) OVER (PARTITION BY start) AS p FROM x{j}_{len(p)}" for j, p in enumerate(_FOLLOWED))
+            q += f", x{j}_{i + 1} AS (SELECT x.start, a.m AS node, CAST(sum({o._down('CAST(x.w AS DOUBLE) * a.k / d.d')}) AS BIGINT) AS w FROM {before} x JOIN st a ON a.n = x.node AND a.l = '{label}' JOIN d ON d.n = a.n AND d.l = a.l GROUP BY x.start, a.m)"
+    every = " UNION ALL ".join(f"SELECT '-{'-'.join(p)}-' AS path, start, node AS target, CAST(w AS DOUBLE) / CAST(CAST(sum(w) OVER (PARTITION BY start) AS BIGINT) AS DOUBLE) AS p FROM x{j}_{len(p)}" for j, p in enumerate(_FOLLOWED))
     return q + f", followed AS ({every}) "
 
 
@@ -74,10 +74,10 @@ ORACLE_SQL = {
     "ppr_topk": f"SELECT start, node, visits, rank FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY visits DESC, node) AS rank FROM ({o._ppr(3)}) a) b WHERE rank <= 5",
     "ppr_edges": _edges_rank(3),
     "path_find_expected": _FOUND,
-    "path_follow_all": _follow_all() + f"SELECT path, start, target, round(CAST(p AS DOUBLE), 9) AS p FROM followed",
+    "path_follow_all": _follow_all() + "SELECT path, start, target, p FROM followed",
     "path_follow_similar": _similar(["_in_nation", "in_nation"]),
-    "row_policy_all_targets": _follow_all() + f"SELECT path, start, target, round(CAST(p AS DOUBLE), 9) AS p FROM followed WHERE target IN (SELECT target FROM inst)",
-    "row_policy_paired_targets": _follow_all() + f"SELECT path, start, target, round(CAST(p AS DOUBLE), 9) AS p FROM followed f WHERE EXISTS (SELECT 1 FROM inst i WHERE i.source = f.start AND i.target = f.target)",
+    "row_policy_all_targets": _follow_all() + "SELECT path, start, target, p FROM followed WHERE target IN (SELECT target FROM inst)",
+    "row_policy_paired_targets": _follow_all() + "SELECT path, start, target, p FROM followed f WHERE EXISTS (SELECT 1 FROM inst i WHERE i.source = f.start AND i.target = f.target)",
     "sim_exact": "WITH e AS (SELECT CAST(label AS VARCHAR) AS r, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL), m AS (SELECT r, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY r, i), u AS (SELECT r, i, x / sqrt(sum(x * x) OVER (PARTITION BY r)) AS x FROM m) SELECT r1, r2, round(w, 6) AS weight FROM (SELECT a.r AS r1, b.r AS r2, sum(a.x * b.x) AS w FROM u a JOIN u b ON a.i = b.i AND a.r <> b.r GROUP BY a.r, b.r) z WHERE w > 0 AND w < 2",
     "metric_per_query": o._PRED + f"SELECT relation, source, {o._round('ap', 'rr')} FROM each",
     "metric_permutation_exact": o._PRED + ", d AS (SELECT row_number() OVER (ORDER BY relation) - 1 AS i, round(CAST(ap AS DOUBLE), 6) - round(CAST(query_map AS DOUBLE), 6) AS d FROM per), f AS (SELECT unnest(range(0, (SELECT CAST(1 AS BIGINT) << count(*) FROM d))) AS id), x AS (SELECT id, abs(sum(CASE WHEN (id >> i) & 1 = 1 THEN -d ELSE d END)) AS x FROM f CROSS JOIN d GROUP BY id) SELECT round(avg(CASE WHEN x >= (SELECT abs(sum(d)) FROM d) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM x",

@@ -71,7 +71,8 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".dat"):
         whole = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
         rows = whole.select(F.explode(F.regexp_extract_all("h", F.lit("(.{24})"), F.lit(1))).alias("x"))
-        at = lambda i: F.conv(F.substring("x", 8 * i + 1, 8), 16, 10).cast("int")
+        word = lambda i: F.conv(F.substring("x", 8 * i + 1, 8), 16, 10).cast("long")
+        at = lambda i: F.when(word(i) >= 1 << 31, word(i) - (1 << 32)).otherwise(word(i)).cast("int")
         return rows.select(at(0).alias("s"), at(1).alias("t"), at(2).alias("r"))
     return spark.read.csv(path, sep="\t", schema="s int, t int, r int")
 

@@ -1,6 +1,5 @@
 """Golden cases of the graph operators, and every query's SQL on the smallest tables."""
 
-import math
 import os
 
 import pytest
@@ -92,8 +91,8 @@ def test_walks(spark, adj):
     ppr = walks.page_rank(spark.createDataFrame([("5",)], "n string"), adj).collect()
     assert all(r["node"] != "5" and r["visits"] > 0 for r in ppr)
     pos = spark.createDataFrame([("5", "1")], "source string, target string")
-    neg = datasets.negatives(pos, walks.page_rank(spark.createDataFrame([("5",)], "n string"), adj), 2).collect()
-    assert len(neg) == 2 and all(r["target"] != "1" for r in neg)
+    neg = datasets.ranked_negatives(pos, adj, ratio=2).collect()
+    assert 0 < len(neg) <= 2 and all((r["source"], r["target"]) != ("5", "1") for r in neg)
 
 
 def test_sources(spark, tmp_path):
@@ -107,7 +106,7 @@ def test_sources(spark, tmp_path):
     assert [r["label"] for r in triples.dataset(spark, str(tmp_path / "data.tsv")).collect()] == [1, -1, 1]
     with pytest.raises(ValueError):
         triples.aliases(spark, None, "other")
-    assert math.isclose(sum(n for _, n in [("a", 1)]), 1) and graph.file_groups([("a", 3), ("b", 1), ("c", 4)], 4) == [("a", "b"), ("c", "c")]
+    assert graph.file_groups([("a", 3), ("b", 1), ("c", 4)], 4) == [("a", "b"), ("c", "c")]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver's tables")

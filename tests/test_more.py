@@ -187,7 +187,7 @@ def test_experiment(spark, tmp_path, kind):
     rows += [(f"s{i}", "r3", f"t{(i + 1) % 20}") for i in range(20)]
     e = spark.createDataFrame(rows, "s string, r string, t string")
     split = spark.createDataFrame([("goal", "training" if i < 10 else "testing", f"s{i}", f"t{(i + k) % 20}", 1 - 2 * k) for i in range(20) for k in range(2)], "relation string, fold string, source string, target string, label int")
-    spec = {"operation": {"features": {"type": kind, "path finder": {"path finding iterations": 2}}, "learning": {"l2 weight": 0.1}}}
+    spec = {"operation": {"features": {"type": kind, "path finder": {"path finding iterations": 2} if kind == "pra" else {"number of steps": 2}}, "learning": {"l2 weight": 0.1}}}
     r = experiment.train_and_test(spark, spec, split, e)
     w = {x["feature"]: x["weight"] for x in r.weights.collect()}
     assert w["-r1-r2-"] > 0 > w["-r3-"] and "-goal-" not in w
