@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, slices, table, text_bytes
-from .tokens import encoder, public_path
+from .tokens import TEXT_BYTES, encoder, ended, public_path
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 256
@@ -69,20 +69,18 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, length: int
         held: list[np.ndarray] = []
         count = tokens = documents = 0
         step = length * BATCH
-        tail = np.array([end_id], enc.dtype)
         for batch in batches:
             _, at = text_bytes(batch.column(1))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, TEXT_BYTES):
                 part = batch.slice(a, b - a)
-                rows = [np.concatenate([x, tail]) for x in enc.encode([x or "" for x in part.column(1).to_pylist()])]
+                flat, bounds = ended(*enc.column(part.column(1)), end_id)
                 if ids is None:
                     ids = _Writer(folder, f"{shard:06d}-{tag}.arrow", _schema(enc.dtype, length))
                     index = _Writer(folder, f"{shard:06d}-{tag}.index.arrow", pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-                sizes = np.array([len(x) for x in rows], np.int64)
-                starts = tokens + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                sizes, starts = np.diff(bounds), tokens + bounds[:-1]
                 index.file.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts), pa.array(sizes)], names=["doc_id", "start", "n_tokens"]))
-                tokens, documents, count = tokens + int(sizes.sum()), documents + len(rows), count + int(sizes.sum())
-                held += rows
+                tokens, documents, count = tokens + len(flat), documents + len(sizes), count + len(flat)
+                held.append(flat)
                 if count >= step:
                     flat = np.concatenate(held)
                     whole = len(flat) // step * step
@@ -152,5 +150,6 @@ def sequence(manifest_row: dict, number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op7_arrow_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents as read back from the files; the cases of write()."""
     manifest = write(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), fresh_path(spark, "arrow"))
     return read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import slices, table, text_bytes
-from .tokens import CACHE_PIECES, encoder, public_path
+from .tokens import CACHE_PIECES, TEXT_BYTES, encoder, ended, public_path
 
 #: Tokens that a task gathers before it packs; what doesn't fill a sequence waits for the next window.
 WINDOW_TOKENS = 1 << 20
@@ -25,6 +25,10 @@ class Limits:
     segments: int = 128
     loss_tokens: int = 2048
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss_tokens) < 1:
+            raise ValueError("limits of a sequence are 1 at least")
+
 
 def fill(tokens: np.ndarray, loss_from: np.ndarray, limits: Limits, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
     """Packs items (ids in a document: those before loss_from bear no loss) into sequences of (item, start, length).
@@ -122,13 +126,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
 
         for batch in batches:
             _, at = text_bytes(batch.column(1))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, TEXT_BYTES):
                 part = batch.slice(a, b - a)
-                ids = enc.encode([x or "" for x in part.column(1).to_pylist()])
-                for doc, x, free in zip(part.column(0).to_pylist(), ids, part.column(2).to_pylist()):
-                    x = np.append(x, np.array([end_id], np.uint32)).astype(np.uint32)
-                    held.append((doc, x, free or 0, 0))
-                    count += len(x)
+                ids, bounds = ended(*enc.column(part.column(1)), end_id)
+                for doc, i, j, free in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), part.column(2).to_pylist()):
+                    held.append((doc, ids[i:j], free or 0, 0))
+                    count += j - i
                 if count >= WINDOW_TOKENS:
                     yield close(False)
         yield close(True)
@@ -138,11 +141,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; the cases of pack()."""
     out = pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage. Workers that other stages use too keep fewer pieces."""
+    """Pieces of all documents, the pipeline's last stage; the cases of pack(). Workers that other stages use too keep fewer
+    encoded pieces."""
     out = pack(docs, public_path("byte_bpe_50k.json"), pieces=CACHE_PIECES // 8)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

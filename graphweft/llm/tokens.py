@@ -6,11 +6,15 @@ import os
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import claim
 
 #: Pieces that a worker keeps; later ones are encoded each time they come, so memory is bounded and results are the same.
 CACHE_PIECES = 1_200_000
+#: Bytes of text that are encoded at once: distinct pieces are looked up once for all of them.
+TEXT_BYTES = 1 << 22
 
 
 class Encoder:
@@ -49,9 +53,82 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """ids of each text, in the smallest unsigned type that holds the vocabulary."""
+        ids, at = self.column(pa.array(list(texts), pa.string()))
+        return [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts of a column (null: empty), end to end, and where each text's begin."""
+        flat, starts, lens, codes, bounds = self._pieces(texts)
+        n = lens[codes]
+        ends = np.cumsum(n)
+        at = np.concatenate([[0], ends])[bounds]
+        return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)], at
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        _, _, lens, codes, bounds = self._pieces(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(lens[codes])])[bounds])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as a sequence of codes, and the rows' bounds in it; code c stands for the lens[c] ids from starts[c] on of flat.
+        Distinct pieces are looked up once a column; a text that can't be cut is a piece of its own."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        rows = len(texts)
         if self.kind == "whole":
-            return [np.array(x, self.dtype) for x in self.library(list(texts))]
-        return [np.frombuffer(x, self.dtype) for x in map(self.word_ends if self.kind == "word ends" else self.byte_level, texts)]
+            found = [np.array(x, self.dtype).tobytes() for x in self.library(texts.to_pylist())]
+            return *self._store(found), np.arange(rows), np.arange(rows + 1)
+        spaced = pc.replace_substring(texts, "\n", " ") if self.kind == "word ends" else texts
+        parts = pc.split_pattern(spaced, " ")
+        bounds = np.asarray(parts.offsets).astype(np.int64)
+        coded = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        codes, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        heads = np.zeros(0, np.int64)
+        bad = np.zeros(rows, bool)
+        if self.kind == "byte level":  # the first piece of a text has no space before it
+            heads = bounds[:-1]
+            inner = np.ones(len(codes), bool)
+            inner[heads] = False
+            used = np.zeros(len(names), bool)
+            used[codes[inner]] = True
+            cannot = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in names), bool, len(names))
+            bad = np.add.reduceat((cannot[codes] & inner).astype(np.int64), heads) > 0 if rows else bad
+            head_cannot = np.fromiter((not p or p[-1].isspace() for p in names), bool, len(names))
+            bad |= head_cannot[codes[heads]] & (np.diff(bounds) > 1)
+            wanted = used & ~cannot
+        else:
+            wanted = np.ones(len(names), bool)
+        found = [self.cache.get(p) if w else b"" for p, w in zip(names, wanted.tolist())]
+        missing = {names[i] for i in range(len(names)) if found[i] is None}
+        if missing:
+            new = self._new(missing, " " if self.kind == "byte level" else "")
+            found = [new[p] if x is None else x for p, x in zip(names, found)]
+        if self.kind == "byte level":
+            whole = np.flatnonzero(bad).tolist()
+            text = {i: texts[i].as_py() for i in whole}
+            opening = [text[i] if i in text else names[c] for i, c in enumerate(codes[heads].tolist())]
+            codes[heads] = len(found) + np.arange(rows)
+            found += self._opening(opening)
+            if whole:  # the pieces of such a text after the first stand for nothing
+                rest = inner & np.repeat(bad, np.diff(bounds))
+                codes[rest] = len(found)
+                found.append(b"")
+        return *self._store(found), codes, bounds
+
+    def _store(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype().itemsize
+        return flat, np.cumsum(lens) - lens, lens
+
+    def _opening(self, texts: list[str]) -> list[bytes]:
+        """ids of texts or their first pieces, through the library; short ones are kept."""
+        got = [self.first.get(t) for t in texts]
+        new = list({t for t, x in zip(texts, got) if x is None})
+        made = {t: np.array(x, self.dtype).tobytes() for t, x in zip(new, self.library(new))} if new else {}
+        if len(self.first) < self.most // 10:
+            self.first.update((t, x) for t, x in made.items() if len(t) <= 64)
+        return [made[t] if x is None else x for t, x in zip(texts, got)]
 
     def _new(self, missing: set[str], prefix: str) -> dict[str, bytes]:
         """ids of pieces that are not kept. A comma or full stop after a letter begins a token in both kinds,
@@ -68,37 +145,6 @@ class Encoder:
             got[p] = (got.get(p[:-1]) or cache[p[:-1]]) + self.stops[p[-1]]
         return got
 
-    def word_ends(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        found = list(map(cache.get, pieces))
-        if None in found:
-            new = self._new({p for p, x in zip(pieces, found) if x is None}, "")
-            found = [new[p] if x is None else x for p, x in zip(pieces, found)]
-        return b"".join(found)
-
-    def byte_level(self, text: str) -> bytes:
-        head, *pieces = text.split(" ")
-        cache = self.cache
-        found = list(map(cache.get, pieces))
-        start = self.first.get(head)
-        if None in found:
-            missing = {p for p, x in zip(pieces, found) if x is None}
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
-                return self.whole(text)
-            new = self._new(missing, " ")
-            found = [new[p] if x is None else x for p, x in zip(pieces, found)]
-        if start is None:
-            if pieces and (not head or head[-1].isspace()):
-                return self.whole(text)
-            start = np.array(self.library([head])[0], self.dtype).tobytes()
-            if pieces and len(self.first) < self.most // 10:
-                self.first[head] = start
-        return start + b"".join(found)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library([text])[0], self.dtype).tobytes()
-
 
 def kind(spec: dict) -> str:
     """Which cuts are safe for a tokenizer file: only the two kinds whose rules are known, else none."""
@@ -115,6 +161,11 @@ def kind(spec: dict) -> str:
     return "whole"
 
 
+def ended(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids of texts end to end, each followed by end_id."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
