@@ -6,13 +6,12 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, slices, table, text_bytes, written
-from .tokens import encoder, kind, public_path
+from .shared import shared_dir, slices, table, text_bytes, written
+from .tokens import TEXT_BYTES, encoder, kind, public_path
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -42,30 +41,30 @@ def normalised(text: Column, path: str) -> Column:
 def counted(docs: DataFrame, path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; new counts are appended to the cache at cache_path.
 
-    Each distinct digest that the cache lacks is encoded once, for the row with the smallest doc_id. A null or empty
-    text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows each give a row; an empty table gives
-    an empty result and appends nothing; other columns are not read. Digests and row keys are shuffled with map-side combining;
-    texts once, to meet the keys of those to encode."""
+    Each distinct digest that the cache lacks is encoded and appended once, from the text with the smallest doc_id. A null or
+    empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows each give a row; an empty table gives
+    an empty result and appends nothing; other columns are not read. Digests are made once, and shuffled with map-side
+    combining; texts are shuffled once, to meet the keys (doc_id and a short hash) of those to encode."""
     spark = docs.sparkSession
     tag = version(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(normalised(F.col("text"), path), 256)))
-    keys = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("th", F.xxhash64("text", F.col("doc_id").isNull()))
+    digest = F.unhex(F.sha2(normalised(F.col("text"), path), 256))
+    keys = written(rows.select("doc_id", "id", "th", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == tag).dropDuplicates(["digest"]).select("digest", "n_tokens")
-    misses = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(cache, "digest", "left_anti")
+    misses = keys.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("of")).join(cache, "digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             _, at = text_bytes(batch.column(1))
-            for a, b in slices(at, 1 << 20):
+            for a, b in slices(at, TEXT_BYTES):
                 part = batch.slice(a, b - a)
-                n = [len(x) for x in enc.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(n, np.int64))], names=["digest", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(enc.lengths(part.column(1)))], names=["digest", "n_tokens"])
 
-    chosen = misses.withColumnsRenamed({"doc_id": "of", "digest": "key"})
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("key")), "left_semi")
+    chosen = misses.select("of.id", "of.th", "digest")
+    texts = rows.dropDuplicates(["id", "th"]).join(chosen.hint("merge"), ["id", "th"])  # chosen grows with the data: never broadcast
     new = texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
     new.select(F.lit(tag).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     now = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == tag).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
@@ -79,4 +78,7 @@ def counted(docs: DataFrame, path: str, cache_path: str, limit: int = 2048) -> D
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), fresh_path(spark, "counts"))
+    """Token counts of all documents; the cases of counted(). The cache of a table is found again by the table's folder, so a
+    second run over it encodes what is new only."""
+    of = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:32]
+    return counted(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), f"{shared_dir(spark)}/graphweft/counts-{of}")
