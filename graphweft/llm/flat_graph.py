@@ -15,10 +15,10 @@ from .vectors import matrix, sample, usable
 LIMIT = 0.93
 #: Vectors for one centre, centres of a label at most, rows of a task at once (larger shards are dealt in pairs of blocks).
 TARGET, CENTRES, BLOCK = 1024, 1024, 2048
-#: Edges of a node in one shard: the nearest, and those that pruning leaves, out of a pool.
-NEAREST, DEGREE, POOL, ALPHA = 8, 24, 64, 1.2
-#: Rows beyond the pool that are tried too: spread over the ranks of those within the limit, and of the rest; edges to them.
-SPREAD, FAR = (64, 16), (16, 8)
+#: Edges of a node in one shard: those that pruning leaves, reversed ones (the nearest), and random ones that pruning never takes.
+DEGREE, BACK, RANDOM, ALPHA = 16, 16, 8, 1.2
+#: Nodes that a greedy search holds while the graph is built and when it is searched; those it expands at once; queries at once.
+BUILD_BEAM, BEAM, EXPAND, QUERIES = 24, 40, 4, 512
 #: Centres that a vector goes to, tried in this order until the audit finds enough links; then labels are compared in full.
 OVERLAPS, AUDIT_ROWS, ENOUGH = (2, 4, 8), 256, 0.97
 
@@ -48,75 +48,111 @@ def centres(rows: list, counts: dict[int, int], seed: int = 3) -> dict[int, np.n
     return out
 
 
-def pruned(u: np.ndarray, cand: np.ndarray, far: np.ndarray, degree: int) -> np.ndarray:
-    """Of rows at these distances, in this order: a row is dropped if one kept before is closer to it, by the factor ALPHA,
-    than the node is."""
-    among = 1.0 - u[cand] @ u[cand].T
-    alive, kept = np.ones(len(cand), bool), []
-    for j in range(len(cand)):
-        if alive[j]:
-            kept.append(j)
-            if len(kept) == degree:
-                break
-            alive &= ALPHA * among[j] > far
-    return cand[kept]
-
-
-def build(u: np.ndarray, limit: float = LIMIT) -> np.ndarray:
-    """Edges of each row: its nearest, and those that pruning keeps of a pool of near rows and, from the farthest inwards,
-    of rows spread over all further ranks, so edges leave a group of near copies that is larger than the pool. Edges go
-    both ways afterwards. -1 fills."""
-    n, rng = len(u), np.random.default_rng(5)
-    pool = min(POOL, n - 1)
-    edges: list[list[int]] = [[] for _ in range(n)]
-    for a in range(0, n, 512):
-        s = u[a : a + 512] @ u.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        ranked = np.argsort(-s, axis=1, kind="stable")[:, : n - 1]
-        linked = (s >= limit).sum(axis=1)
-        for i, row in enumerate(ranked):
-            cand = row[:pool]
-            out = [*cand[:NEAREST].tolist(), *pruned(u, cand, 1.0 - s[i][cand], DEGREE).tolist()]
-            cut = max(pool, int(linked[i]))
-            for rest, most, degree in zip((row[pool:cut], row[cut:]), SPREAD, FAR):
-                if len(rest):
-                    at = np.linspace(0, len(rest), min(most, len(rest)) + 1).astype(np.int64)
-                    cand = rest[rng.integers(at[:-1], at[1:])][::-1]
-                    out += pruned(u, cand, 1.0 - s[i][cand], degree).tolist()
-            edges[a + i] = list(dict.fromkeys(out))
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, e in enumerate(edges):
-        for j in e:
-            if len(back[j]) < DEGREE:
-                back[j].append(i)
-    full = [list(dict.fromkeys(e + b)) for e, b in zip(edges, back)]
-    out = np.full((n, max([1, *map(len, full)])), -1, np.int64)
-    for i, e in enumerate(full):
-        out[i, : len(e)] = e
+def beam(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, width: int, trace: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search from the medoid for rows of q at once: the width nearest nodes that each has met (-1 fills), nearest first, with
+    their products; with trace, also the nodes expanded on the way."""
+    m, rows = len(q), np.arange(len(q))
+    ids, sims, done = np.full((m, width), -1), np.full((m, width), -np.inf, x.dtype), np.ones((m, width), bool)
+    seen = np.zeros((m, len(x)), bool)
+    ids[:, 0], sims[:, 0], done[:, 0], seen[:, start] = start, q @ x[start], False, True
+    way: list[np.ndarray] = []
+    while True:
+        open_ = np.where(done, -np.inf, sims)
+        pick = np.argpartition(-open_, EXPAND, axis=1)[:, :EXPAND]
+        live = np.take_along_axis(open_, pick, 1) > -np.inf
+        r = np.flatnonzero(live.any(axis=1))
+        if not len(r):
+            break
+        pick, live = pick[r], live[r]
+        cur = np.where(live, ids[r[:, None], pick], -1)
+        done[r[:, None], pick] = True
+        if trace:
+            step = np.full((m, EXPAND), -1)
+            step[r] = cur
+            way.append(step)
+        near = np.where(cur[:, :, None] >= 0, edges[cur], -1).reshape(len(r), -1)
+        order = np.argsort(near, axis=1, kind="stable")
+        near = np.take_along_axis(near, order, 1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        fresh = (near >= 0) & ~seen[r[:, None], near]
+        near = np.where(fresh, near, -1)
+        i, j = np.nonzero(fresh)
+        seen[r[i], near[i, j]] = True
+        s = np.full(near.shape, -np.inf, x.dtype)
+        s[i, j] = np.einsum("ij,ij->i", x[near[i, j]], q[r[i]])
+        every = np.concatenate([sims[r], s], axis=1)
+        best = np.argpartition(-every, width - 1, axis=1)[:, :width]
+        ids[r] = np.take_along_axis(np.concatenate([ids[r], near], axis=1), best, 1)
+        sims[r] = np.take_along_axis(every, best, 1)
+        done[r] = np.take_along_axis(np.concatenate([done[r], np.zeros(near.shape, bool)], axis=1), best, 1) | (ids[r] < 0)
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    if trace:
+        ids = np.concatenate([ids, *way], axis=1)
+    return ids, sims
+
+
+def pruned(x: np.ndarray, of: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Edges of the nodes of out of their candidates (-1 fills): the nearest goes in; those that are closer to it, by the factor
+    alpha, than to the node go out; and so on."""
+    cand = np.sort(np.where(cand == of[:, None], -1, cand), axis=1)
+    cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+    far = np.where(cand >= 0, 1.0 - np.einsum("ijk,ik->ij", x[cand], x[of]), np.inf)
+    order = np.argsort(far, axis=1, kind="stable")[:, : 3 * degree]
+    cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
+    rows, out = np.arange(len(of)), np.full((len(of), degree), -1)
+    v = x[cand]
+    among = 1.0 - v @ v.transpose(0, 2, 1)
+    alive = np.isfinite(far)
+    for k in range(degree):
+        first = alive.argmax(axis=1)
+        ok = alive[rows, first]
+        if not ok.any():
+            break
+        out[ok, k] = cand[rows, first][ok]
+        alive &= alpha * among[rows, first] > far
+        alive[rows, first] = False
+    return out
+
+
+def reversed_edges(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each node the BACK nearest of those that have an edge to it (ties: the smaller row)."""
+    i, k = np.nonzero(edges >= 0)
+    j = edges[i, k]
+    order = np.lexsort((i, -np.einsum("ij,ij->i", x[i], x[j]), j))
+    i, j = i[order], j[order]
+    place = np.arange(len(j)) - np.searchsorted(j, j)
+    out = np.full((len(edges), BACK), -1)
+    out[j[place < BACK], place[place < BACK]] = i[place < BACK]
     return out
 
 
-def walk(u: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Where greedy search from the medoid ends for each row as a query: all rows go one step at a time."""
-    centre = u.mean(axis=0)
-    now = np.full(len(u), int((u @ centre).argmax()))
-    best = (u[now] * u).sum(axis=1)
-    active = np.arange(len(u))
-    while len(active):
-        cand = edges[now[active]]
-        s = np.where(cand >= 0, np.einsum("ijk,ik->ij", u[cand], u[active]), -np.inf)
-        pick = s.argmax(axis=1)
-        top = s[np.arange(len(active)), pick]
-        up = top > best[active] + 1e-12
-        active, pick, top, cand = active[up], pick[up], top[up], cand[up]
-        now[active], best[active] = cand[np.arange(len(active)), pick], top
-    return now
-
-
-def around(u: np.ndarray, edges: np.ndarray, query: int, start: int, limit: float) -> np.ndarray:
-    """Rows with that cosine or more that range-expanding search reaches from where the walk ended and from the row itself."""
+def medoid(u: np.ndarray) -> int:
+    return int((u @ u.mean(axis=0)).argmax())
+
+
+def build(u: np.ndarray) -> np.ndarray:
+    """Edges of each row (-1 fills). From a random graph, two rounds over all rows: a greedy search from the medoid for the row
+    gives its candidates, and robust pruning its edges (the second round with ALPHA); then edges go both ways."""
+    n, rng, x = len(u), np.random.default_rng(5), u.astype(np.float32)
+    if n <= DEGREE + 1:
+        return np.array([[j for j in range(n) if j != i] or [-1] for i in range(n)])
+    chance = rng.integers(0, n - 1, (n, RANDOM))
+    chance += chance >= np.arange(n)[:, None]
+    own, back, start = np.full((n, DEGREE), -1), np.full((n, BACK), -1), medoid(u)
+    for alpha in (1.0, ALPHA):
+        order = rng.permutation(n)
+        for a in range(0, n, QUERIES):
+            of = order[a : a + QUERIES]
+            found, _ = beam(x, np.concatenate([own, back, chance], axis=1), start, x[of], BUILD_BEAM, True)
+            own[of] = pruned(x, of, np.concatenate([found, own[of], back[of]], axis=1), DEGREE, alpha)
+            back = reversed_edges(x, own)
+    return np.concatenate([own, back, chance], axis=1)
+
+
+def around(u: np.ndarray, edges: np.ndarray, query: int, front: np.ndarray, limit: float) -> np.ndarray:
+    """Rows with that cosine or more that range-expanding search reaches from where the greedy search ended."""
     seen = np.zeros(len(u), bool)
-    front = np.unique([query, start])
     hits = []
     seen[front] = True
     while len(front):
@@ -159,10 +195,10 @@ def _assign(reps: DataFrame, c: dict[int, np.ndarray], overlap: int) -> DataFram
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
-def _graph(limit: float):
+def _graph():
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("vec_id").combine_chunks().to_numpy()
-        edges = build(normed(matrix(rows.column("embedding"))), limit)
+        edges = build(normed(matrix(rows.column("embedding"))))
         keep = edges >= 0
         return pa.table({"vec_id": pa.array(ids), "edges": pa.array([ids[e[k]].tolist() for e, k in zip(edges, keep)], pa.list_(pa.int64()))})
 
@@ -202,11 +238,12 @@ def _search(limit: float):
         for i, s in enumerate(shards):
             wide[i, : len(s)] = s
         both = block.min() != block.max()
-        ends = walk(u, edges)
+        x, start = u.astype(np.float32), medoid(u)
+        ends = np.concatenate([beam(x, edges, start, x[a : a + QUERIES], BEAM)[0] for a in range(0, len(u), QUERIES)])
         links, forest, out = np.zeros(len(ids), np.int64), Forest(len(ids)), []
         met = np.zeros((len(ids), len(ids)), bool)
         for q in range(len(ids)):
-            hit = around(u, edges, q, int(ends[q]), limit)
+            hit = around(u, edges, q, ends[q][ends[q] >= 0], limit)
             if both:
                 hit = hit[block[hit] != block[q]]
             met[q, hit] = met[hit, q] = True  # a pair counts for both ends, whichever search found it
@@ -273,8 +310,8 @@ def linked(vectors: DataFrame, limit: float = LIMIT, enough: float = ENOUGH) ->
 
     Equal vectors of a label are one class (grouped minimum) that carries its size. Each label's classes go to the
     shards of their nearest centres, which are fitted on at most FIT_ROWS rows; each shard builds its graph;
-    adjacency lists of all shards are united; a walk from the shard's medoid and an expanding search around its end find
-    what is near, and every pair found is verified. A bounded set of rows is compared with all rows of its
+    adjacency lists of all shards are united; a greedy search from the shard's medoid and an expanding search around its end
+    find what is near, and every pair found is verified. A bounded set of rows is compared with all rows of its
     label; where too few of a label's links were found, its vectors go to more shards, and at last all pairs of the label
     are compared. Shards that are too large for a task are dealt in pairs of blocks. Output rows of a task grow with its vectors, not with pairs.
 
@@ -291,7 +328,7 @@ def linked(vectors: DataFrame, limit: float = LIMIT, enough: float = ENOUGH) ->
     parts, part, again, exact = [], classes, None, []
     for overlap in OVERLAPS:
         placed = written(_assign(part, c, overlap), "placed")
-        adjacency = sorted_groups(placed.select("label", "shard", "i", "j", "vec_id", "embedding"), ["label", "shard", "i", "j"], _graph(limit), "vec_id long, edges array<bigint>")
+        adjacency = sorted_groups(placed.select("label", "shard", "i", "j", "vec_id", "embedding"), ["label", "shard", "i", "j"], _graph(), "vec_id long, edges array<bigint>")
         adjacency = written(adjacency.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")  # a few lists of bounded length
         searched = placed.select("label", "shard", "i", "j", "block", "vec_id", "shards", "mult", "embedding").join(adjacency, "vec_id")
         found = written(sorted_groups(searched, ["label", "shard", "i", "j"], _search(limit), FOUND), "found")
@@ -344,4 +381,5 @@ def _audit(classes: DataFrame, limit: float) -> dict[int, tuple[int, int]]:
 
 
 def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of one label from a cosine of 0.93 on; the cases of linked()."""
     return linked(table(spark, sf_dir, "embeddings"))

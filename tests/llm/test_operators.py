@@ -1,7 +1,7 @@
 """Each operator on a small awkward table (nulls, empty and long texts, repeats, clashing columns) and on an empty one."""
 
-import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -114,6 +114,19 @@ def test_counts(spark, docs, empty, texts):
         assert kept.count() == kept.select("digest").distinct().count()  # the second call finds all
 
 
+def test_each_digest_is_stored_once(spark):
+    path = shared.fresh_path(spark, "cache")
+    table = spark.createDataFrame([(1, "Same text"), (1, "Same text"), (2, "same   TEXT"), (None, "Same text"), (0, "zero"), (None, "zero")], "doc_id long, text string")
+    got = counts.counted(table, WORD, path).collect()
+    assert len(got) == 6 and {r["n_tokens"] for r in got} == {1, 2}
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_limits_are_checked():
+    with pytest.raises(ValueError, match="1 at least"):
+        packing.Limits(tokens=0)
+
+
 def test_near_duplicates(docs, empty):
     assert setsketch.near_duplicates(empty).count() == 0
     got = {r["doc_id"]: r for r in setsketch.near_duplicates(docs).collect()}
@@ -164,18 +177,55 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def passages(texts):
+    """Words of 50-word windows that occur twice, and of those that are the first of their kind, by comparison of all."""
+    occurs, cover, lead = {}, {}, {}
+    for i in sorted(texts):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", bytes((texts[i] or "").encode()).lower() if (texts[i] or "").isascii() else re.sub(rb"[A-Z]", lambda m: m.group().lower(), (texts[i] or "").encode()))
+        for s in range(len(w) - 49):
+            occurs.setdefault(tuple(w[s : s + 50]), []).append((i, s))
+    for at in occurs.values():
+        if len(at) > 1:
+            for i, s in at:
+                cover.setdefault(i, set()).update(range(s, s + 50))
+            lead.setdefault(at[0][0], set()).update(range(at[0][1], at[0][1] + 50))
+    return cover, lead
+
+
+def spans(rows):
+    cover, lead = {}, {}
+    for r in rows:
+        at = range(r["start_word"], r["start_word"] + r["n_words"])
+        assert not cover.setdefault(r["doc_id"], set()) & set(at)
+        cover[r["doc_id"]].update(at)
+        if r["first"]:
+            lead.setdefault(r["doc_id"], set()).update(at)
+    return cover, lead
+
+
 def test_repeated_passages(docs, empty, texts):
     assert suffixes.repeated(empty).count() == 0
-    got = suffixes.repeated(docs).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-    assert {1, 2, 3, 10, 11} <= set(by) and not {4, 5, 6, 7, 8, 9, 13, None} & set(by)
-    (a,), (b,) = by[10], by[11]
-    cut = lambda r: texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
-    assert cut(a) == cut(b) and a["n_words"] == 60 and a["first"] and not b["first"]
+    assert spans(suffixes.repeated(docs).collect()) == passages(texts)
     out = {r["doc_id"]: r for r in suffixes.stage(docs.sparkSession, docs, "").collect()}
-    assert len(out) == 17 and out[10]["text"] == texts[10] and cut(b) not in out[11]["text"] and out[1]["text"] == texts[1] and out[2]["text"] == ""
+    passage = " ".join(texts[10].split()[40:100])
+    assert len(out) == 17 and out[10]["text"] == texts[10] and out[11]["text"] == texts[11].replace(passage, "") and out[1]["text"] == texts[1] and out[2]["text"] == ""
+
+
+def test_passages_of_few_words(spark):
+    """Small vocabularies: windows that overlap themselves, ends of texts, joins of passages, and partitions that split a hot key."""
+    rng = random.Random(9)
+    parts = [" ".join(rng.choice("abc") for _ in range(rng.randint(20, 70))) for _ in range(12)]
+    texts = {i: rng.choice([" ", "\n ", ""]) + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for i in range(80)}
+    texts |= {100: "a " * 200, 101: "a " * 49, 102: "a " * 50, 103: "A\tb " * 60, 104: parts[0] + " é " + parts[1]}
+    table = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string")
+    for n in ("2", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert spans(suffixes.repeated(table).distinct().collect()) == passages(texts)
+        finally:
+            spark.conf.unset("spark.sql.shuffle.partitions")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_secrets(docs, empty, texts):
@@ -194,6 +244,45 @@ def test_ownership(spark):
     assert got[10]["base"] == [] and got[10]["spans"][0]["kind"] == "opaque"
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, gone string, live string, of_doc long, of_th long, th long, row string, rows long, stays string, raw__ string, `a.b` int"
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark, texts, tmp_path):
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").where("doc_id = 1").write.parquet(f"{tmp_path}/labels.parquet")
+    more = lambda i, t: (i, t, "en", f"s{i}", len(t or ""), "g", "l", 1, 2, 3, "r", 4, "s", "raw", 5)
+    key = "b password=T7uVw2xYz9Qa"
+    rows = [more(i, t) for i, t in texts.items()] + [more(5000, key), more(5000, key), more(1, "quite other words than one has"), more(16, texts[16])]
+    rows.append((None, *more(77, None)[1:]))
+    table = spark.createDataFrame(rows, CLASHES)
+    none = table.limit(0)
+    for stage in (toxicity.stage, setsketch.stage, suffixes.stage, secrets.stage):
+        out = stage(spark, table, str(tmp_path))
+        assert out.schema.simpleString() == table.schema.simpleString()
+        got = [r.asDict() for r in out.collect()]
+        assert all(r["gone"] == "g" and r["row"] == "r" and r["a.b"] == 5 for r in got)
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        if stage is setsketch.stage:
+            ids = sorted((r["doc_id"] or -1, r["text"] or "") for r in got)
+            assert sum(i == 5000 for i, _ in ids) == sum(i == 16 for i, _ in ids) == 1  # equal rows are copies
+            assert sum(i == 1 for i, _ in ids) == 2  # one id, two texts
+            assert not any(i in (2, 3, 9, 15) for i, _ in ids)
+        else:
+            assert len(got) == len(rows)
+        if stage is secrets.stage:
+            assert [r["text"] for r in got if r["doc_id"] == 5000] == ["b [SECRET]"] * 2 and all(r["n_chars"] == 10 for r in got if r["doc_id"] == 5000)
+        if stage is suffixes.stage:
+            assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+    assert packing.stage(spark, table, "").count() >= len(rows) and packing.stage(spark, none, "").count() == 0
+
+
+def test_copies_with_other_ids(spark):
+    """7 has the text of 3 and one of its own; 9 copies the latter."""
+    rng = random.Random(31)
+    a, b = prose(rng, 50), prose(rng, 50)
+    table = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (5, "x y"), (5, "x y")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in setsketch.stage(spark, table, "").collect()) == sorted([(3, a), (7, b), (5, "x y")])
+
+
 def test_secrets_without_an_id(spark):
     rows = [(None, "b password=T7uVw2xYz9Qa", "o", "en"), (None, "plain", "o", "en"), (1, "b password=K3mNb8vCx5Zr", "o", "en")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
@@ -249,6 +338,47 @@ def test_neighbours(spark, vectors):
     assert multi_index.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ties_and_several_shards(spark, monkeypatch):
+    """Blocks and shards of a few rows; equal vectors at rank 20 go by id."""
+    monkeypatch.setattr(multi_index, "SHARD", 64)
+    monkeypatch.setattr(multi_index, "QUERIES", 8)
+    rng = np.random.default_rng(12)
+    x = rng.integers(-2, 3, (30, 6)).astype(float)[rng.integers(0, 30, 400)]
+    x[~x.any(axis=1)] = 1.0
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    hits = total = 0
+    got: dict[int, list] = {}
+    for r in multi_index.search(table, table.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 400, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(400), -s))[:20].tolist()
+        rows = sorted(got[q])
+        assert [r[0] for r in rows] == list(range(1, 21)) and [(-r[2], r[1]) for r in rows] == sorted((-r[2], r[1]) for r in rows)
+        hits, total = hits + len(set(want) & {r[1] for r in rows}), total + 20
+    assert hits >= 0.9 * total
+    few = table.where("vec_id < 5")
+    assert multi_index.search(few, few).count() == 20
+
+
+def test_flat_graph_of_several_shards(spark):
+    """1,800 vectors of a label in groups of near copies: the graph alone, over several shards."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(450, 32)), 4, axis=0) + rng.normal(size=(1800, 32)) * 0.2
+    u = flat_graph.normed(x)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in flat_graph.linked(table, enough=0.9).collect()}
+    links = np.array([got[i]["n_links"] for i in range(1800)])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.97 * near.sum() > 1000
+    forest = shared.Forest(1800)
+    for i, j in zip(*np.nonzero(near)):
+        forest.join(int(i), int(j))
+    assert np.mean([got[i]["component_id"] == forest.find(i) for i in range(1800)]) >= 0.97
+
+
 def test_flat_graph(vectors):
     df, x, labels = vectors
     got = {r["vec_id"]: r for r in flat_graph.linked(df).collect()}
@@ -282,7 +412,7 @@ def test_links_between_dense_groups(sizes):
     near = u @ u.T >= 0.93
     np.fill_diagonal(near, False)
     rows = pa.table({"label": [1] * len(x), "shard": [0] * len(x), "block": [0] * len(x), "vec_id": range(len(x)), "shards": [[0]] * len(x), "mult": [1] * len(x), "embedding": x.tolist()})
-    edges = flat_graph._graph(0.93)(rows).column("edges")
+    edges = flat_graph._graph()(rows).column("edges")
     found = flat_graph._search(0.93)(rows.append_column("edges", edges)).to_pylist()
     links, forest = np.zeros(len(x), int), shared.Forest(len(x))
     for r in found:
@@ -322,4 +452,3 @@ def test_pipeline_stages(spark, tmp_path, docs):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {None, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 16}
-    assert hashlib  # digests are compared in the queries' own contract
