@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .paths import allowed, encode
 
 ANY = "@ANY_REL@"
@@ -117,6 +118,11 @@ def matrix_text(features: DataFrame, inst: DataFrame) -> DataFrame:
     return line.join(inst.select("iid", "label"), "iid").select("iid", "label", "row")
 
 
+def names(features: DataFrame) -> DataFrame:
+    """(id, feature): features by position, from 1 in order of name; 0 stands for none."""
+    return numbered(features.select("feature").distinct(), ["feature"], name="id").select("id", "feature")
+
+
 PAIR = {"PraFeatureExtractor": pra, "PraFeatureExtractorWithFilter": pra, "OneSidedPathAndEndNodeFeatureExtractor": one_sided, "OneSidedFeatureExtractor": one_sided, "OneSidedPathOnlyFeatureExtractor": lambda s, i: one_sided(s, i, False), "CategoricalComparisonFeatureExtractor": categorical, "NumericalComparisonFeatureExtractor": numerical, "PathBigramsFeatureExtractor": bigrams, "VectorSimilarityFeatureExtractor": vector_similar, "AnyRelFeatureExtractor": any_relation, "AnyRelAliasOnlyFeatureExtractor": lambda s, i: any_relation(s, i, "@ALIAS@"), "ConnectedAtOneFeatureExtractor": connected, "ConnectedByMediatorFeatureExtractor": mediated}
 NODE = {"PathAndEndNodeFeatureExtractor": node_paths, "PathOnlyFeatureExtractor": lambda s: node_paths(s, False)}
 

@@ -127,6 +127,27 @@ def linear_svm(features: DataFrame, c: float = 1.0, passes: int = 30) -> DataFra
     return features.groupBy("relation").applyInPandas(fit, WEIGHTS)
 
 
+def log_likelihood(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(relation, value): the mean log likelihood of the rows' labels, scores clamped at 20 as in online training."""
+    labels = features.select("relation", "iid", (F.col("label") > 0).alias("yes")).distinct()
+    z = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score")))
+    p = 1 / (1 + F.exp(-z))
+    return scores(features, weights).join(labels, ["relation", "iid"]).groupBy("relation").agg(F.avg(F.log(F.when(F.col("yes"), p).otherwise(1 - p))).alias("value"))
+
+
+def feature_counts(features: DataFrame) -> DataFrame:
+    """(relation, positive, negative, unseen, unseen_weight): values of rows by label (null: unseen), and the weight of an unseen one
+    that makes up for what negatives lack against positives; null where they lack nothing or none is unseen."""
+    count = lambda c: F.count_if(c).alias
+    x = features.groupBy("relation").agg(count(F.col("label") > 0)("positive"), count(F.col("label") <= 0)("negative"), count(F.col("label").isNull())("unseen"))
+    return x.withColumn("unseen_weight", F.when((F.col("positive") > F.col("negative")) & (F.col("unseen") > 0), (F.col("positive") - F.col("negative")) / F.col("unseen")))
+
+
+def nonzero(paths: DataFrame, weights: DataFrame) -> DataFrame:
+    """Paths (path) that some weight other than 0 uses."""
+    return paths.join(weights.where("weight <> 0").select(F.col("feature").alias("path")).distinct(), "path", "left_semi")
+
+
 def scores(features: DataFrame, weights: DataFrame) -> DataFrame:
     """(relation, iid, score): the linear sum; features without a weight count 0."""
     x = features.join(weights, ["relation", "feature"], "left")

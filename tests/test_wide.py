@@ -297,3 +297,52 @@ def test_all_sign_flips_are_tried(spark):
     p = scorer.scoring.permutation_test(spark.createDataFrame([(f"r{i}", x) for i, x in enumerate(d)], "relation string, d double"))
     flips = [abs(sum(s * x for s, x in zip(signs, d))) for signs in itertools.product((1, -1), repeat=4)]
     assert p == np.mean([x >= abs(sum(d)) - 1e-12 for x in flips])
+
+
+def test_likelihood_counts_and_names(spark):
+    rows = [("r", 1, 1, "a", 1.0), ("r", 1, 1, "b", 2.0), ("r", 2, -1, "a", 1.0), ("r", 3, None, "b", 1.0)]
+    f = spark.createDataFrame(rows, "relation string, iid long, label int, feature string, value double")
+    w = spark.createDataFrame([("r", "a", 0.5), ("r", "b", -1.0)], models.WEIGHTS)
+    p = lambda z: 1 / (1 + math.exp(-z))
+    got = models.log_likelihood(f.where("label is not null"), w).first()["value"]
+    assert math.isclose(got, (math.log(p(0.5 - 2.0)) + math.log(1 - p(0.5))) / 2)
+    assert tuple(models.feature_counts(f).first()) == ("r", 2, 1, 1, 1.0)
+    from graphweft.operators import features as fx
+
+    assert sorted(map(tuple, fx.names(f).collect())) == [(1, "a"), (2, "b")]
+    kept = models.nonzero(spark.createDataFrame([("a",), ("c",)], "path string"), w)
+    assert [r[0] for r in kept.collect()] == ["a"]
+
+
+def test_runner(spark, tmp_path):
+    """A graph, a split with negatives, embeddings, similarities and denser matrices, made once; then an experiment over them."""
+    from graphweft.plans import runner
+
+    base = f"file://{tmp_path}"
+    rows = [(f"s{i}", f"m{i}", "r1") for i in range(16)] + [(f"m{i}", f"t{(i + k) % 4}", "r2") for i in range(16) for k in range(2)] + [(f"s{i}", f"t{i % 4}", "goal") for i in range(8)]
+    (tmp_path / "kb.tsv").write_text("".join("\t".join(r) + "\n" for r in rows))
+    dump = edges(spark, [(f"s{i}", "goal", f"t{i % 4}") for i in range(16)] + [(f"s{i}", ingest.TYPE, "left") for i in range(16)] + [(f"t{i}", ingest.TYPE, "right") for i in range(4)])
+    ingest.write(dump, spark.createDataFrame([("argtypes\tgoal\tleft\tright",)], "value string"), f"{base}/relation_metadata/meta")
+    made = {"name": "g", "relation sets": [{"relation file": f"{base}/kb.tsv", "is kb": True}], "output matrices": True}
+    parts = {"name": "halves", "type": "fixed split from relation metadata", "relation metadata": "meta", "graph": "g", "relations": ["goal"], "percent training": 0.5, "negative instances": {"negative to positive ratio": 2, "ppr computer": {"num steps": 3}}}
+    similar = {"name": "near", "embeddings": {"name": "e", "graph": "g", "dims": 2}, "threshold": -1.0, "num_hashes": 8, "hash_size": 1}
+    assert runner.graph(spark, made, base).count() == 56 and runner.graph(spark, made, base).count() == 56
+    assert runner.embeddings(spark, similar["embeddings"], base).count() >= 2
+    assert {(r["r1"], r["r1"]) for r in runner.similarities(spark, similar, base).collect()} <= {(r["r1"], r["r2"]) for r in runner.similarities(spark, similar, base).collect()}
+    rows = runner.split(spark, parts, base)
+    assert rows.where("label > 0").count() == 16 and rows.where("label < 0").count() > 4 and rows.where("label < 0 and not startswith(source, 's')").count() == 0
+    dense = runner.denser(spark, {"name": "d", "similarity matrix": similar, "split": "halves"}, "g", base)
+    assert dense.where("value is null").count() == 0 and dense.count() > 0
+    spec = {"graph": made, "split": parts, "operation": {"type": "no op"}}
+    assert runner.run(spark, spec, base, "none") is None
+    (tmp_path / "experiment_specs").mkdir()
+    (tmp_path / "param_files").mkdir()
+    spec["operation"] = {"type": "train and test", "features": {"type": "subgraphs", "path finder": {"number of steps": 1}}, "learning": {"l2 weight": 0.1}}
+    (tmp_path / "experiment_specs" / "one.json").write_text(json.dumps(spec))
+    assert runner.main(spark, base, ["one"]) == ["one"] and runner.main(spark, base) == []
+    got = experiment.read_scores(spark, f"{base}/results/one").collect()
+    assert got and all(r["score"] is not None for r in got)
+    with pytest.raises(ValueError, match="other parameters"):
+        runner.graph(spark, {**made, "deduplicate edges": True}, base)
+    add = {"name": "more", "type": "add negatives to split", "relation metadata": "meta", "graph": "g", "from split": "halves", "generate negatives for": "test"}
+    assert runner.split(spark, add, base).where("fold = 'training'").count() == rows.where("fold = 'training'").count()
