@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table, text_bytes
+from .shared import slices, steady, table, text_bytes
 from .tokens import CACHE_PIECES, TEXT_BYTES, encoder, ended, public_path
 
 #: Tokens that a task gathers before it packs; what doesn't fill a sequence waits for the next window.
@@ -149,5 +149,6 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, the pipeline's last stage; the cases of pack(). Workers that other stages use too keep fewer
     encoded pieces."""
+    steady(spark)
     out = pack(docs, public_path("byte_bpe_50k.json"), pieces=CACHE_PIECES // 8)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

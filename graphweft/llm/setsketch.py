@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, Forest, claim, components, mixed, nested, rolled, slices, sorted_groups, table, text_bytes, text_hash, unnested, words, written
+from .shared import SLICE, Forest, claim, components, mixed, nested, rolled, slices, sorted_groups, steady, table, text_bytes, text_hash, unnested, words, written
 
 #: Words in a shingle; op4 links documents from 85 : 100 on, the stage of the pipeline from 80 : 100 on.
 WORDS, PER, OF = 5, 85, 100
@@ -274,6 +274,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its text; of rows that repeat both, that with the smallest hash of all columns. Documents without words and rows with a
     null doc_id are each their own and all stay; different texts with one doc_id are judged each for itself; an empty table gives an
     empty one; columns may have any name."""
+    steady(spark)
     fate = written(_grouped(docs, STAGE_PER, STAGE_OF).where("n > 0 and doc_id is not null").groupBy("doc_id", "th").agg(F.min("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "fate")
     rows = nested(docs, "doc_id", "text").withColumn("th", text_hash(F.col("text"))).drop("text")
     left = rows.join(fate.hint("merge"), ["doc_id", "th"], "left")  # grows with the data: never broadcast

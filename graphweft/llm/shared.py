@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,14 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, as in tests, a folder of this machine is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="graphweft-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+from ..functions.tables import folder as shared_dir
+from ..functions.tables import stored as written  # noqa: F401  cuts lineage, and outlives any executor
 
 
 _HELD: dict[str, Callable[[], None]] = {}
@@ -35,6 +28,7 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
         _HELD.pop(other)()
     if others:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it
             ctypes.CDLL(None).malloc_trim(0)
     if clear:
@@ -45,15 +39,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphweft/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of a batch between the JVM and Python: either side holds a few of them for each task.
+BATCH_BYTES = 8 << 20
+
+
+def steady(spark: SparkSession) -> None:
+    """For this session from now on: short batches, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, _powers, claim, mixed, nested, rolled, slices, table, text_bytes, text_hash, unnested, words, written
+from .shared import SLICE, _powers, claim, mixed, nested, rolled, slices, steady, table, text_bytes, text_hash, unnested, words, written
 
 LEAST = 50
 GRAM, WINDOW = 8, 20
@@ -301,6 +301,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is counted anew where a text changes. A text of which nothing is left stays as an empty one. Null and empty texts, rows with
     a null doc_id and rows without such a passage are unchanged; rows that repeat a doc_id and its text change alike, and are
     no copies of one another here; an empty table gives an empty one; columns may have any name."""
+    steady(spark)
     gone = repeated(docs).where("not first").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_word", "n_words")).alias("gone"))
     gone = written(gone, "gone").hint("merge")  # grows with the data: never broadcast
     rows = nested(docs, "doc_id", "text").withColumn("th", text_hash(F.col("text")))

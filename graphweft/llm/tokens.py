@@ -14,7 +14,7 @@ from .shared import claim
 #: Pieces that a worker keeps; later ones are encoded each time they come, so memory is bounded and results are the same.
 CACHE_PIECES = 1_200_000
 #: Bytes of text that are encoded at once: distinct pieces are looked up once for all of them.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 21
 
 
 class Encoder:
@@ -83,7 +83,7 @@ class Encoder:
         bounds = np.asarray(parts.offsets).astype(np.int64)
         coded = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        codes, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        codes, names = np.array(coded.indices, np.int32), coded.dictionary.to_pylist()
         heads = np.zeros(0, np.int64)
         bad = np.zeros(rows, bool)
         if self.kind == "byte level":  # the first piece of a text has no space before it
