@@ -24,6 +24,8 @@ SHARD, QUERIES = 16384, 256
 HELD = 0.975
 #: Rows of the sample that give a query its floor, and tasks at most (each takes pairs in turn, so memory doesn't grow).
 FLOOR_ROWS, MOST_TASKS = 8192, 100_000
+#: Rows of the sample that the rotation is learned from.
+ROTATED_ROWS = 4096
 
 _VALUES = np.arange(65536, dtype=np.uint16)
 _ORDER = np.argsort(np.bitwise_count(_VALUES), kind="stable").astype(np.uint16)
@@ -49,9 +51,9 @@ class Codes:
         d = a.shape[1]
         basis = np.linalg.svd(a.T @ a)[0]
         wide = basis[:, :BITS] if d >= BITS else basis @ np.linalg.qr(rng.normal(size=(BITS, d)))[0].T
-        z = a @ wide
+        z = a[:ROTATED_ROWS] @ wide
         turn = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
-        for _ in range(15):
+        for _ in range(8):
             u, _, vt = np.linalg.svd(z.T @ np.where(z @ turn >= 0, 1.0, -1.0))
             turn = u @ vt
         self.map = wide @ turn
@@ -147,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors with the largest inner product for each query, its own row
     (same vec_id) left out; nearest first, ties to the smaller vec_id; all, if there are fewer.
 
-    Rows dealt by hash of vec_id become index shards in the shared folder, queries become blocks there. A task takes pairs of a
+    Rows dealt evenly become index shards in the shared folder, queries become blocks there. A task takes pairs of a
     block and a shard, one after the other, so it holds one of each; a query's bests of all shards are then merged. The bounded
     sample gives an inner product that the k-th best reaches at least, so the radius is as narrow in every shard as in one.
     The rotation is fitted on at most FIT_ROWS rows, all are indexed. Null, empty, zero and non-finite vectors, those of
@@ -191,7 +193,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     def files(df: DataFrame, n: int, most: int, of_queries: bool) -> list[str]:
         """One name for most rows or so: what comes to the driver."""
-        return sorted(r[0] for r in df.repartition(max(1, -(-n // most)), "vec_id").sortWithinPartitions("vec_id").mapInArrow(stored(most, of_queries), "name string").collect())
+        return sorted(r[0] for r in df.repartition(max(1, -(-n // most))).sortWithinPartitions("vec_id").mapInArrow(stored(most, of_queries), "name string").collect())
 
     asked = usable_like(queries.selectExpr("cast(vec_id as long) vec_id", "cast(embedding as array<double>) embedding"), codes.map.shape[0] - 1)
     shards, blocks = files(rows, total["n"], SHARD, False), files(asked, asked.count(), QUERIES, True)
