@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
-from .paths import allowed, encode
+from ..functions.tables import stored
+from .paths import allowed, encode, labels, shared_counts
 
 ANY = "@ANY_REL@"
 
@@ -31,6 +32,38 @@ def one_sided(sub: DataFrame, inst: DataFrame, end: bool = True) -> DataFrame:
     return _made(x, F.concat(name, F.lit(":"), "node") if end else name)
 
 
+def _one_sided_name(path: Column, node: Column | None = None) -> Column:
+    name = F.concat(F.when(F.col("start") == F.col("source"), "SOURCE:").otherwise("TARGET:"), encode(labels(path)))
+    return name if node is None else F.concat(name, F.lit(":"), node)
+
+
+def one_sided_paths(parts: tuple[DataFrame, DataFrame], inst: DataFrame) -> DataFrame:
+    """one_sided() without end nodes, of paths.pair_parts()."""
+    shared, single = parts
+    every = shared.select("start", "path").distinct().join(inst.select("iid", F.col("source").alias("start")).distinct(), "start").select("iid", F.col("start").alias("source"), "start", "path")
+    return _made(every.unionAll(single.select("iid", "source", "start", "path")), _one_sided_name(F.col("path")))
+
+
+def one_sided_counts(parts: tuple[DataFrame, DataFrame], end: bool = True, size: int | None = None) -> DataFrame:
+    """(feature, n): how many instances have each feature of one_sided(), or each of hashed() of these to a size, of
+    paths.pair_parts(), without a row for each instance and node."""
+    shared, single = parts
+    shared = shared.withColumn("source", F.col("start"))
+    if size is not None:
+        last = [F.col("node")] if end else []
+        text = lambda path: F.concat(F.lit("SOURCE:"), encode(labels(path)), F.lit(":") if end else F.lit(""))
+        begun = stored(shared.select("path").distinct().withColumn("begun", _code(text(F.col("path")))), "begun")  # paths are hashed once
+        code = _bucket(_code(F.col("node"), F.col("begun")) if end else F.col("begun"), size).alias("code")
+        x = shared.join(begun, "path").select("start", "times", code).distinct()
+        one = single.select("iid", F.col("source").alias("start"), _bucket(_code(_one_sided_name(F.col("path"), *last)), size).alias("code"))
+        return shared_counts(x, one, ["code"]).select(F.concat(F.lit("hash-"), F.col("code").cast("string")).alias("feature"), "n")
+    key = ["side", "path", "node"] if end else ["side", "path"]
+    side = (F.col("start") == F.col("source")).alias("side")
+    x = shared_counts(shared.select("start", "times", side, *key[1:]), single.select("iid", F.col("source").alias("start"), side, *key[1:]), key, many=end)
+    x = x.withColumns({"start": F.when(F.col("side"), F.lit("a")).otherwise("b"), "source": F.lit("a")})
+    return x.select(_one_sided_name(F.col("path"), F.col("node") if end else None).alias("feature"), "n").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
 def _sides(sub: DataFrame, inst: DataFrame) -> DataFrame:
     x = sub.join(inst.select("iid", "source", "target"), "iid")
     a = x.where("start = source").select("iid", "path", F.col("node").alias("a"))
@@ -101,11 +134,18 @@ def node_paths(sub: DataFrame, end: bool = True) -> DataFrame:
     return _made(sub, F.concat(encode(F.col("path")), F.lit(":"), "node") if end else encode(F.col("path")))
 
 
+def _code(text: Column, begun: Column | None = None) -> Column:
+    """The polynomial hash of a text, or of one that goes on after a text with the hash begun, as an unsigned 32-bit number."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long") if begun is None else begun, lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295)))
+
+
+def _bucket(code: Column, size: int) -> Column:
+    return F.pmod(F.when(code >= 2147483648, code - 4294967296).otherwise(code), F.lit(size))
+
+
 def hashed(features: DataFrame, size: int) -> DataFrame:
     """hash-n: the feature's polynomial hash (31, 32-bit, signed) by size; collisions become one feature."""
-    code = F.aggregate(F.split("feature", ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295)))
-    signed = F.when(code >= 2147483648, code - 4294967296).otherwise(code)
-    return features.select("iid", F.concat(F.lit("hash-"), F.pmod(signed, F.lit(size)).cast("string")).alias("feature")).distinct()
+    return features.select("iid", F.concat(F.lit("hash-"), _bucket(_code(F.col("feature")), size).cast("string")).alias("feature")).distinct()
 
 
 def with_bias(features: DataFrame) -> DataFrame:

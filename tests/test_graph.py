@@ -122,3 +122,18 @@ def test_against_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(str(tuple(float(v) if isinstance(v, float) else v for v in r)) for r in d[cols].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+SHARED = ["feat_hashed"]
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_subgraphs_are_not_stored_by_instance(spark, name):
+    """Instances that share a source share what it reaches: no stored table has a row for each of them and each node."""
+    import __spark_entry__
+    from graphweft.functions import tables
+
+    tables.clear(spark)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
+    stored = [spark.read.parquet(x) for x in tables._STORED]
+    assert stored and not any({"iid", "node"} <= set(x.columns) for x in stored)
