@@ -346,3 +346,28 @@ def test_runner(spark, tmp_path):
         runner.graph(spark, {**made, "deduplicate edges": True}, base)
     add = {"name": "more", "type": "add negatives to split", "relation metadata": "meta", "graph": "g", "from split": "halves", "generate negatives for": "test"}
     assert runner.split(spark, add, base).where("fold = 'training'").count() == rows.where("fold = 'training'").count()
+
+
+@pytest.mark.parametrize("policy", ["paired-only", "everything"])
+def test_counts_from_one_of_all_twins(spark, policy):
+    """Twins: c0 to c13, c11 to c13 of another hub; c12 is a source and a target, one pair has the same ends, and one comes twice."""
+    e = [(f"c{i}", "in", "x" if i < 11 else "y") for i in range(14)] + [("x", "of", "r"), ("y", "of", "r"), ("c20", "in", "x"), ("c20", "in", "y")]
+    adj = graph.both_ways(spark.createDataFrame(e, "s string, r string, t string"))
+    inst = [(i, f"c{i}", "r") for i in range(14)] + [(20, "c20", "r"), (21, "c3", "c12"), (22, "c11", "c12"), (23, "c13", "c12"), (24, "c5", "c5"), (25, "c5", "r")]
+    inst = spark.createDataFrame(inst, "iid long, source string, target string")
+    found = [walks.found_paths(inst, side, adj, 100, 3) for side in ("source", "target")]
+    rows = lambda df: {tuple(r["path"]): round(r["n_pairs"], 6) for r in df.collect()}
+    want = rows(walks.direct_and_paired(*found, inst, policy))
+    assert len(want) > 5 and rows(walks.pair_counts(inst, adj, policy, 100, 3)) == want
+    assert walks.alike(inst, adj).count() < inst.count()
+
+
+@pytest.mark.parametrize("name", ["walk_counts_paired", "walk_counts_everything", "walk_subgraphs", "path_find_expected"])
+def test_walks_are_stored_for_one_of_all_twins(spark, name):
+    import __spark_entry__
+
+    tables.clear(spark)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01").count()
+    found = [x for x in (spark.read.parquet(x) for x in tables._STORED) if {"iid", "node"} <= set(x.columns)]
+    customers = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
+    assert found and max(x.select("iid").distinct().count() for x in found) < customers / 2
