@@ -225,3 +225,14 @@ def test_against_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(str(tuple(float(v) if isinstance(v, float) else v for v in r)) for r in d[cols].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_alias_paths_are_joined_without_the_subgraph(spark):
+    """Only paths that join the ends are read, so what either end reaches is not stored for each pair."""
+    import __spark_entry__
+    from graphweft.functions import tables
+
+    tables.clear(spark)
+    assert __spark_entry__.queries()["feat_anyrel_alias"](spark, "/root/testdata/sf0.001").count()
+    stored = [spark.read.parquet(x) for x in tables._STORED]
+    assert stored and not any({"iid", "node"} <= set(x.columns) for x in stored)
