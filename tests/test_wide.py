@@ -371,3 +371,26 @@ def test_walks_are_stored_for_one_of_all_twins(spark, name):
     found = [x for x in (spark.read.parquet(x) for x in tables._STORED) if {"iid", "node"} <= set(x.columns)]
     customers = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
     assert found and max(x.select("iid").distinct().count() for x in found) < customers / 2
+
+
+@pytest.mark.parametrize("allowed", [None, [f"c{i}" for i in range(2, 9)] + ["x", "r"]])
+def test_ranks_of_twins_are_those_of_each_start(spark, allowed):
+    """What each start draws from, with walks from one of all twins, against walks from each; few of the best, so twins fall out."""
+    e = [(f"c{i}", "in", "x" if i < 11 else "y") for i in range(14)] + [("x", "of", "r"), ("y", "of", "r"), ("c20", "in", "x"), ("c20", "in", "y")]
+    adj = graph.both_ways(spark.createDataFrame(e, "s string, r string, t string"))
+    starts = spark.createDataFrame([(f"c{i}",) for i in [*range(14), 20]] + [("r",), ("gone",)], "n string")
+    fits = None if allowed is None else spark.createDataFrame([(x,) for x in allowed], "n string")
+    for most in (3, 100):
+        want = datasets._drawable(walks.rank_shares(starts, adj, 3, 0.15, fits), most)
+        lists, keys = datasets._ranks(starts, adj, 3, 0.15, fits, most)
+        rows = lambda df: {r["n"]: (r["upto"], r["total"]) for r in df.collect()}
+        assert rows(keys.join(lists, "key")) == rows(want.withColumnRenamed("start", "n"))
+
+
+def test_ranks_of_negatives_are_stored_for_one_of_all_twins(spark):
+    import __spark_entry__
+
+    tables.clear(spark)
+    assert __spark_entry__.queries()["negatives_sampled"](spark, "/root/testdata/sf0.001").count()
+    ranks = [spark.read.parquet(x) for x in tables._STORED if "/ranks-" in x]
+    assert ranks and all(x.select("start").distinct().count() <= 25 for x in ranks)
