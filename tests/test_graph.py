@@ -124,7 +124,7 @@ def test_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-SHARED = ["feat_hashed"]
+SHARED = ["feat_hashed", "score_linear", "feat_one_sided"]
 
 
 @pytest.mark.parametrize("name", SHARED)
