@@ -394,3 +394,33 @@ def test_ranks_of_negatives_are_stored_for_one_of_all_twins(spark):
     assert __spark_entry__.queries()["negatives_sampled"](spark, "/root/testdata/sf0.001").count()
     ranks = [spark.read.parquet(x) for x in tables._STORED if "/ranks-" in x]
     assert ranks and all(x.select("start").distinct().count() <= 25 for x in ranks)
+
+
+def test_buckets_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tables, "DEALT", 1)
+    df = spark.range(500).select(F.concat(F.lit("n"), (F.col("id") % 90).cast("string")).alias("n"), "id")
+    out = tables.bucketed(df.unionAll(df.select(F.lit(None).cast("string"), "id").limit(3)), "n", "parts")
+    assert out.exceptAll(df).count() == 3 and df.exceptAll(out).count() == 0
+    names = [f.rsplit("_", 1)[-1] for f in out.inputFiles()]
+    assert len(names) == len(set(names))  # a bucket is written by one part
+    tables.forget(out)
+    assert not spark.catalog.tableExists(out.stored_at[0])
+
+
+@pytest.mark.parametrize("end", [True, False])
+def test_adjacency_goes_once_the_parts_are_stored(spark, end):
+    from graphweft.plans import catalogue
+
+    tables.clear(spark)
+    shared, single = catalogue.parts(spark, "/root/testdata/sf0.001", end)
+    assert shared.count() and single.count() and not tables._TABLES
+
+
+def test_keys_are_counted_in_parts(spark):
+    shared = spark.createDataFrame([("a", "p", x, 2) for x in "uvw"] * 2 + [("b", "p", "u", 3)], "start string, path string, node string, times long")
+    single = spark.createDataFrame([("a", "p", "u", 1), ("a", "p", "x", 1), ("a", "p", "x", 2), ("c", "q", "u", 9)], "start string, path string, node string, iid long")
+    want = [("p", "u", 5), ("p", "v", 2), ("p", "w", 2), ("p", "x", 2), ("q", "u", 1)]
+    before = len(tables._STORED)
+    for many in (False, True):
+        assert sorted(map(tuple, paths.shared_counts(shared, single, ["path", "node"], many).collect())) == want
+    assert len(tables._STORED) == before + paths.PASSES
