@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, steady, table, text_bytes
+from .shared import claim, slices, steady, table, text_bytes, trim
 from .tokens import CACHE_PIECES, TEXT_BYTES, encoder, ended, public_path
 
 #: Tokens that a task gathers before it packs; what doesn't fill a sequence waits for the next window.
@@ -135,6 +135,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
                 if count >= WINDOW_TOKENS:
                     yield close(False)
         yield close(True)
+        if pieces < CACHE_PIECES:  # beside other stages an encoder would wait in memory for a task that may never come
+            claim("packing")
+            trim()
 
     free = F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(None).cast("long")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), free.alias("free")).mapInArrow(run, OUT)

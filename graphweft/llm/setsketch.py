@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, Forest, claim, components, mixed, nested, rolled, slices, sorted_groups, steady, table, text_bytes, text_hash, unnested, words, written
+from .shared import SLICE, Forest, components, mixed, nested, rolled, slices, sorted_groups, steady, table, text_bytes, text_hash, tidy, unnested, words, written
 
 #: Words in a shingle; op4 links documents from 85 : 100 on, the stage of the pipeline from 80 : 100 on.
 WORDS, PER, OF = 5, 85, 100
@@ -94,7 +94,6 @@ def sketch(rows: DataFrame) -> DataFrame:
     """doc_id, th, n (size of the shingle set), fa and fb (fingerprint of the set), regs, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("setsketch")
         for batch in batches:
             _, at = text_bytes(batch.column(2))
             for a, b in slices(at, SLICE):
@@ -114,7 +113,7 @@ def sketch(rows: DataFrame) -> DataFrame:
                         regs[i], keys[i] = row.tobytes(), key
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "fa", "fb", "regs", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, th long, n long, fa long, fb long, regs binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, th long, n long, fa long, fb long, regs binary, bands array<long>")
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -238,7 +237,7 @@ def _grouped(docs: DataFrame, per: int, of: int) -> DataFrame:
                 x, rows = shingles(*text_bytes(part.column(3)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[p:q].tobytes() for p, q in zip(rows, rows[1:])], pa.binary())], names=["node", "group", "blocks", "x"])
 
-    full = texts.select("node", "group", "blocks", "text").mapInArrow(sets, "node long, group long, blocks long, x binary").where(F.octet_length("x") > 0)
+    full = texts.select("node", "group", "blocks", "text").mapInArrow(tidy(sets), "node long, group long, blocks long, x binary").where(F.octet_length("x") > 0)
     found = components(sorted_groups(_pairs(full).select("group", "i", "j", "node", "block", "x"), ["group", "i", "j"], partial(_group, per=per, of=of), "a long, b long"), "links")
     linked = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = linked.groupBy("component").agg(F.min(F.struct("rep", "rep_th")).alias("first"))

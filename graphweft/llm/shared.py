@@ -27,14 +27,33 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     for other in others:
         _HELD.pop(other)()
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
     if clear:
         _HELD[name] = clear
 
 
+def trim() -> None:
+    """Gives free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a task's function over batches, with nothing of other operators kept beside it, and what is free given back at its end: a
+    worker that waits for its next task then holds little."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(run.__name__)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphweft/{name}-{uuid.uuid4().hex}"
 
@@ -106,7 +125,7 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Ta
                 held.append(rows.slice(a, b - a))
         yield from flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(tidy(run), schema)
 
 
 class Forest:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, _powers, claim, mixed, nested, rolled, slices, steady, table, text_bytes, text_hash, unnested, words, written
+from .shared import SLICE, _powers, mixed, nested, rolled, slices, steady, table, text_bytes, text_hash, tidy, unnested, words, written
 
 LEAST = 50
 GRAM, WINDOW = 8, 20
@@ -72,7 +72,6 @@ def suffixes(docs: DataFrame) -> DataFrame:
     of the text), and the first word and the number of the windows that select it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffixes")
         for batch in batches:
             _, at = text_bytes(batch.column(2))
             for a, b in slices(at, SLICE):
@@ -90,7 +89,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 cols += [pa.array(x.astype(np.int32)) for x in (first - rows[row], last - first + 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "k", "doc_id", "th", "start", "n"])
 
-    return docs.mapInArrow(run, SUFFIX)
+    return docs.mapInArrow(tidy(run), SUFFIX)
 
 
 ARRAY = f"{SUFFIX}, low boolean, border boolean, alone boolean, many long"
@@ -163,7 +162,7 @@ def sorted_array(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Ranges split a hot key. What partitions can't see across their borders is put right from the borders' own rows: two of each
     kind for a partition at most, so those are broadcast."""
     order = ["h", "k", "doc_id", "th", "start"]
-    array = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, ARRAY), "suffix-array")
+    array = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_compared), ARRAY), "suffix-array")
     single, kinds = array.where("many is null").drop("many"), array.where("many is not null").drop("alone")
     met = F.broadcast(single.where("border").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     company = single.where("not alone").unionByName(single.where("alone").join(met, "h", "left_semi"))
@@ -210,7 +209,7 @@ def extended(texts: DataFrame, asked: DataFrame) -> DataFrame:
     the first occurrence."""
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("k", "start", "n", "many")).alias("asked"))  # bounded by the text
     once = texts.dropDuplicates(["doc_id", "th"])
-    found = written(once.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(_windows, "w long, k long, j int, doc_id long, th long, s int, many long"), "windows")
+    found = written(once.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(tidy(_windows), "w long, k long, j int, doc_id long, th long, s int, many long"), "windows")
     twice = found.groupBy("w").agg(F.sum("many").alias("all"), F.min(F.struct("doc_id", "th", "s")).alias("lowest")).where("all > 1").select("w", "lowest")
     of = found.join(written(twice, "repeated-windows"), "w", "left")
     bit = lambda x: F.bit_or(F.when(x, F.expr("shiftleft(1, j)")).otherwise(F.lit(0)))
@@ -232,30 +231,40 @@ def _inside(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (i >= 0) & (x < end[np.maximum(i, 0)])
 
 
+#: Stretches whose windows are looked at together.
+MARKED = 1 << 14
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of words in repeated windows, cut where those of first occurrences begin and end."""
     for batch in batches:
-        bounds, (start, rep, lead) = _flat(batch.column(2), ["start", "rep", "lead"])
-        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        reach = np.zeros(batch.num_rows, np.int64)
-        np.maximum.at(reach, row, start.astype(np.int64))
-        base = np.concatenate([[0], np.cumsum(reach + 2 * LEAST)])
-        at = base[row] + start
-
-        def windows(bits: np.ndarray, at: np.ndarray = at) -> np.ndarray:
-            i, j = np.nonzero(bits[:, None] >> np.arange(WINDOW) & 1)
-            return np.sort(at[i] + j)
-
-        begin, end = _union(windows(rep))
-        first = _union(windows(lead))
-        cuts = np.unique(np.concatenate([begin, end, *first]))
-        cuts, after = cuts[:-1], cuts[1:]
-        ok = _inside(cuts, begin, end)
-        cuts, after = cuts[ok], after[ok]
-        of = np.searchsorted(base, cuts, "right") - 1
-        take = pa.array(of)
-        cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array((cuts - base[of]).astype(np.int32)), pa.array((after - cuts).astype(np.int32)), pa.array(_inside(cuts, *first))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "start_word", "n_words", "first"])
+        at, _ = _flat(batch.column(2), ["start"])
+        for a, b in slices(at, MARKED):
+            yield _spans_of(batch.slice(a, b - a))
+
+
+def _spans_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    bounds, (start, rep, lead) = _flat(batch.column(2), ["start", "rep", "lead"])
+    row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+    reach = np.zeros(batch.num_rows, np.int64)
+    np.maximum.at(reach, row, start.astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(reach + 2 * LEAST)])
+    at = base[row] + start
+
+    def windows(bits: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(bits[:, None] >> np.arange(WINDOW) & 1)
+        return np.sort(at[i] + j)
+
+    begin, end = _union(windows(rep))
+    first = _union(windows(lead))
+    cuts = np.unique(np.concatenate([begin, end, *first]))
+    cuts, after = cuts[:-1], cuts[1:]
+    ok = _inside(cuts, begin, end)
+    cuts, after = cuts[ok], after[ok]
+    of = np.searchsorted(base, cuts, "right") - 1
+    take = pa.array(of)
+    cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array((cuts - base[of]).astype(np.int32)), pa.array((after - cuts).astype(np.int32)), pa.array(_inside(cuts, *first))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "start_word", "n_words", "first"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -273,7 +282,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = F.expr("shiftleft(1, n) - 1")
     marked = company.join(bits, "k", "left").select("doc_id", "th", "start", F.coalesce("rep", whole).alias("rep"), F.when(F.col("low"), F.coalesce("lead", whole)).otherwise(F.lit(0)).alias("lead"))
     per = marked.where("rep <> 0").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "rep", "lead")).alias("x"))  # bounded by the text
-    return per.mapInArrow(_spans, "doc_id long, th long, start_word int, n_words int, first boolean")
+    return per.mapInArrow(tidy(_spans), "doc_id long, th long, start_word int, n_words int, first boolean")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

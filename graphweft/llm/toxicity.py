@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import claim, nested, slices, table, text_bytes, unnested, written
+from .shared import claim, nested, slices, table, text_bytes, tidy, unnested, written
 
 #: Labelled rows that the model learns from, at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 16384
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([fold] * len(part), pa.int32()), pa.array([y] * len(part), pa.int32()), pa.array(part), pa.array([c[g] for g in part], pa.int64())], names=["fold", "y", "gram", "n"])
 
     totals = {(r["fold"], r["y"]): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
-    counts = sample.mapInArrow(counted, "fold int, y int, gram string, n long")
+    counts = sample.mapInArrow(tidy(counted), "fold int, y int, gram string, n long")
     counts = counts.groupBy("gram").agg(*[F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{k}{y}") for k in range(FOLDS) for y in (0, 1)])
     counts = counts.where(" + ".join(f"n{k}1" for k in range(FOLDS)) + f" >= {LEAST_DOCUMENTS}")
     n = {y: sum(v for (_, t), v in totals.items() if t == y) for y in (0, 1)}
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             x = _features(batch.column(3), [of[k] for k in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
 
-    got = sorted(sample.mapInArrow(featured, "doc_id long, y int, fold int, x array<double>").collect(), key=lambda r: r["doc_id"])  # TRAIN_ROWS short rows
+    got = sorted(sample.mapInArrow(tidy(featured), "doc_id long, y int, fold int, x array<double>").collect(), key=lambda r: r["doc_id"])  # TRAIN_ROWS short rows
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), np.array([r["fold"] for r in got])
     y = (y > 0).astype(float)
     out = np.zeros(len(y))
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(model.scores(part.column(1), f), 0, 1))], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
