@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,50 +83,87 @@ def _fitted(features: DataFrame, l1: float, l2: float, iterations: int) -> DataF
     return features.groupBy("relation").applyInPandas(fit, WEIGHTS)
 
 
+def _kinds(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relation, iid, y, kind) of all rows, and (relation, kind, feature, value): rows with the same features are of one kind, whose
+    features come once."""
+    rows = features.groupBy("relation", "iid").agg(F.max((F.col("label") > 0).cast("int")).alias("y"), F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("row"))
+    rows = stored(rows.withColumn("kind", F.md5(F.to_json("row").cast("binary"))), "rows")
+    kinds = rows.groupBy("relation", "kind").agg(F.any_value("row").alias("row")).select("relation", "kind", F.inline("row"))
+    return rows.select("relation", "iid", "y", "kind"), kinds
+
+
+def _in_order(rows: pd.DataFrame, kinds: pd.DataFrame) -> tuple[list[str], list[list[int]], list[list[float]], list[int], list[int]]:
+    """Names of features, places and values of the features of each kind, and kind and y of each row in order of iid."""
+    names, j = np.unique(kinds["feature"].astype(str), return_inverse=True)
+    of, k = np.unique(kinds["kind"].astype(str), return_inverse=True)
+    order = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(len(of) + 1))
+    at, values = j[order], kinds["value"].to_numpy(float)[order]
+    parts = [slice(*x) for x in zip(cuts, cuts[1:])]
+    by = np.argsort(rows["iid"].to_numpy(), kind="stable")
+    seq = pd.Index(of).get_indexer(rows["kind"])[by]
+    return names.tolist(), [at[x].tolist() for x in parts], [values[x].tolist() for x in parts], seq.tolist(), rows["y"].to_numpy()[by].tolist()
+
+
+def _trained(features: DataFrame, fit) -> DataFrame:
+    """Weights that fit(names, places, values, kinds of rows, y) gives for each relation, in one task."""
+
+    def run(rows: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
+        relation = rows["relation"].iloc[0]
+        names, *of = _in_order(rows, kinds)
+        return pd.DataFrame({"relation": relation, "feature": names, "weight": fit(len(names), *of)})
+
+    rows, kinds = _kinds(features)
+    return rows.groupBy("relation").cogroup(kinds.groupBy("relation")).applyInPandas(run, WEIGHTS)
+
+
 def online(features: DataFrame, rate: float = 1.0, decay: float = 1.0, momentum: float = 0.5, l2: float = 0.0, passes: int = 5) -> DataFrame:
     """One update a row in order of iid, with rate / (decay + k) in pass k, momentum, and shrinking of the weights a row touches."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, v, y, d = _design(rows)
-        names = np.unique(rows["feature"].astype(str))
-        order = np.argsort(i, kind="stable")
-        cuts = np.searchsorted(i[order], np.arange(len(y) + 1))
-        w, last = np.zeros(d), np.zeros(d)
+    def fit(d: int, places: list, values: list, seq: list, y: list) -> list[float]:
+        w, last = [0.0] * d, [0.0] * d
+        of = [list(zip(f, x)) for f, x in zip(places, values)]
         for k in range(passes):
             a = rate / (decay + k)
-            for r in range(len(y)):
-                at = order[cuts[r] : cuts[r + 1]]
-                f, x = j[at], v[at]
-                p = 1 / (1 + np.exp(-np.clip((w[f] * x).sum(), -20, 20)))
-                move = a * ((y[r] - p) * x - 2 * l2 * w[f]) + momentum * last[f]
-                w[f] += move
-                last[f] = move
-        return pd.DataFrame({"relation": rows["relation"].iloc[0], "feature": names, "weight": w})
+            for kind, yes in zip(seq, y):
+                z = 0.0
+                for f, x in of[kind]:
+                    z += w[f] * x
+                e = yes - 1 / (1 + math.exp(-min(20.0, max(-20.0, z))))
+                for f, x in of[kind]:
+                    last[f] = a * (e * x - 2 * l2 * w[f]) + momentum * last[f]
+                    w[f] += last[f]
+        return w
 
-    return features.groupBy("relation").applyInPandas(fit, WEIGHTS)
+    return _trained(features, fit)
 
 
 def linear_svm(features: DataFrame, c: float = 1.0, passes: int = 30) -> DataFrame:
-    """Weights of a linear support vector machine, by dual coordinate descent in fixed order."""
+    """Weights of a linear support vector machine, by dual coordinate descent in fixed order; a pass that changes nothing is the
+    last."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, v, y, d = _design(rows)
-        names = np.unique(rows["feature"].astype(str))
-        order = np.argsort(i, kind="stable")
-        cuts = np.searchsorted(i[order], np.arange(len(y) + 1))
-        sign, alpha, w = 2 * y - 1, np.zeros(len(y)), np.zeros(d)
+    def fit(d: int, places: list, values: list, seq: list, y: list) -> list[float]:
+        w, alpha = [0.0] * d, [0.0] * len(seq)
+        of = [(list(zip(f, x)), sum(v * v for v in x)) for f, x in zip(places, values)]
         for _ in range(passes):
-            for r in range(len(y)):
-                at = order[cuts[r] : cuts[r + 1]]
-                f, x = j[at], v[at]
-                q = (x * x).sum()
+            moved = False
+            for r, (kind, yes) in enumerate(zip(seq, y)):
+                row, q = of[kind]
                 if q:
-                    new = np.clip(alpha[r] - (sign[r] * (w[f] * x).sum() - 1) / q, 0, c)
-                    w[f] += (new - alpha[r]) * sign[r] * x
-                    alpha[r] = new
-        return pd.DataFrame({"relation": rows["relation"].iloc[0], "feature": names, "weight": w})
-
-    return features.groupBy("relation").applyInPandas(fit, WEIGHTS)
+                    sign, z = 2 * yes - 1, 0.0
+                    for f, x in row:
+                        z += w[f] * x
+                    new = min(c, max(0.0, alpha[r] - (sign * z - 1) / q))
+                    if new != alpha[r]:
+                        by = (new - alpha[r]) * sign
+                        for f, x in row:
+                            w[f] += by * x
+                        alpha[r], moved = new, True
+            if not moved:
+                break
+        return w
+
+    return _trained(features, fit)
 
 
 def log_likelihood(features: DataFrame, weights: DataFrame) -> DataFrame:
