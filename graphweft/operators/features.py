@@ -166,6 +166,9 @@ def names(features: DataFrame) -> DataFrame:
 PAIR = {"PraFeatureExtractor": pra, "PraFeatureExtractorWithFilter": pra, "OneSidedPathAndEndNodeFeatureExtractor": one_sided, "OneSidedFeatureExtractor": one_sided, "OneSidedPathOnlyFeatureExtractor": lambda s, i: one_sided(s, i, False), "CategoricalComparisonFeatureExtractor": categorical, "NumericalComparisonFeatureExtractor": numerical, "PathBigramsFeatureExtractor": bigrams, "VectorSimilarityFeatureExtractor": vector_similar, "AnyRelFeatureExtractor": any_relation, "AnyRelAliasOnlyFeatureExtractor": lambda s, i: any_relation(s, i, "@ALIAS@"), "ConnectedAtOneFeatureExtractor": connected, "ConnectedByMediatorFeatureExtractor": mediated}
 NODE = {"PathAndEndNodeFeatureExtractor": node_paths, "PathOnlyFeatureExtractor": lambda s: node_paths(s, False)}
 
+#: Extractors that read only the paths that join a pair.
+JOINING = [k for k, f in PAIR.items() if f in (pra, bigrams, vector_similar, any_relation, connected, mediated)] + ["AnyRelAliasOnlyFeatureExtractor"]
+
 
 def extractor(name: str, nodes: bool = False):
     try:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import stored
+from ..functions.tables import bucketed, forget, stored
 from ..operators import features as fx
 from ..operators import graph as g
 from ..operators import models, paths, walks
@@ -96,13 +96,24 @@ def subgraph_features(inst: DataFrame, adj: DataFrame, spec: dict, held_out: lis
     """(iid, feature, value): what all extractors give, once each; a bias for instances that have a feature, if asked for."""
     finder = spec.get("path finder", {})
     steps = finder.get("number of steps", 2)
-    adj = stored(g.capped(adj, finder.get("max fan out", 100)), "adjacency")
-    sub = stored(paths.node_subgraph(inst, adj, steps) if nodes else paths.pair_subgraph(inst, adj, steps, held_out), "subgraph")
+    adj = bucketed(g.capped(adj, finder.get("max fan out", 100)), "n", "adjacency")
+    wanted = spec.get("feature extractors", ["PathAndEndNodeFeatureExtractor" if nodes else "PraFeatureExtractor"])
+    wanted = [(x, x if isinstance(x, str) else x["name"]) for x in wanted]
+    makes = [fx.extractor(name, nodes) for _, name in wanted]
+    alone = "OneSidedPathOnlyFeatureExtractor"
+    if nodes or not all(name in [alone, *fx.JOINING] for _, name in wanted):
+        parts, sub = None, stored(paths.node_subgraph(inst, adj, steps) if nodes else paths.pair_subgraph(inst, adj, steps, held_out), "subgraph")
+    else:  # no row for each pair and node
+        shared, single, met = paths.pair_parts_met(inst, adj, steps, held_out, False)
+        met = stored(met, "joining")
+        parts, sub = (shared, single.unionAll(met)), met.select("iid", "start", "node", paths.labels(F.col("path")).alias("path"))
+    forget(adj)
     out = None
-    for x in spec.get("feature extractors", ["PathAndEndNodeFeatureExtractor" if nodes else "PraFeatureExtractor"]):
-        name = x if isinstance(x, str) else x["name"]
-        make = fx.extractor(name, nodes)
-        f = make(sub) if nodes else make(sub, inst, **_pattern_options(name, {} if isinstance(x, str) else x))
+    for (x, name), make in zip(wanted, makes):
+        if parts and name == alone:
+            f = fx.one_sided_paths(parts, inst)
+        else:
+            f = make(sub) if nodes else make(sub, inst, **_pattern_options(name, {} if isinstance(x, str) else x))
         out = f if out is None else out.unionAll(f)
     out = out.distinct()
     if spec.get("feature size", -1) > 0:
@@ -136,7 +147,8 @@ def _features(relation: str, split: DataFrame, edges: DataFrame, spec: dict, hel
     inst = stored(own.select(F.xxhash64("fold", "source", "target", "label").alias("iid"), "*"), "instances")
     folds = [inst.where(F.col("fold") == f).drop("fold") for f in ("training", "testing")]
     if checked(spec) == "subgraphs":
-        out = [subgraph_features(x, adj, spec, held_out, nodes).join(x, "iid") for x in folds]
+        both = stored(subgraph_features(inst.drop("fold"), adj, spec, held_out, nodes).join(inst, "iid"), "features")  # of both folds at once
+        out = [both.where(F.col("fold") == f) for f in ("training", "testing")]
     elif nodes:
         raise ValueError("walk features are for pairs of nodes")
     else:

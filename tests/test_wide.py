@@ -424,3 +424,36 @@ def test_keys_are_counted_in_parts(spark):
     for many in (False, True):
         assert sorted(map(tuple, paths.shared_counts(shared, single, ["path", "node"], many).collect())) == want
     assert len(tables._STORED) == before + paths.PASSES
+
+
+def test_trainers_get_the_features_of_like_rows_once(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 4)) < 0.5).astype(float)
+    x[:, 3] = 1
+    y = np.where(rng.random(60) < 0.3 + 0.4 * x[:, 0], 1, -1)
+    f = spark.createDataFrame([("r", i, int(y[i]), f"f{j}", 1.0) for i in range(60) for j in range(4) if x[i, j]], "relation string, iid long, label int, feature string, value double")
+    rows, kinds = models._kinds(f)
+    assert rows.count() == 60 and kinds.count() == int(np.unique(x, axis=0).sum())
+    w, last = np.zeros(4), np.zeros(4)
+    for k in range(5):
+        for a, b in zip(x, y):
+            on = a > 0
+            move = 1 / (1 + k) * ((b > 0) - 1 / (1 + np.exp(-np.clip(w @ a, -20, 20)))) * a + 0.5 * last
+            w[on] += move[on]
+            last[on] = move[on]
+    got = {r["feature"]: r["weight"] for r in models.online(f).collect()}
+    assert np.allclose([got[f"f{j}"] for j in range(4)], w)
+
+
+def test_experiments_store_no_row_for_each_pair_and_node(spark, monkeypatch):
+    split = spark.createDataFrame([("likes", fold, f"a{i}", f"b{i % 3}", 1 if i % 2 else -1) for i in range(8) for fold in ("training", "testing")], "relation string, fold string, source string, target string, label int")
+    e = edges(spark, [(f"a{i}", "in", f"x{i % 4}") for i in range(8)] + [(f"x{i}", "of", f"b{i % 3}") for i in range(4)] + [("a1", "likes", "b1"), ("a1", "likes", "b2"), ("b0", "in", "a0")])
+    extractors = ["PraFeatureExtractor", "OneSidedPathOnlyFeatureExtractor"]
+    inst = split.where("fold = 'testing'").select(F.xxhash64("source", "target", "label").alias("iid"), "source", "target", "label")
+    sub = paths.pair_subgraph(inst, graph.both_ways(e), 2, ["likes"])
+    from graphweft.operators import features
+
+    want = features.pra(sub, inst).unionAll(features.one_sided(sub, inst, False)).distinct()
+    monkeypatch.setattr(paths, "pair_subgraph", None)
+    got = experiment.subgraph_features(inst, graph.both_ways(e), {"feature extractors": extractors}, ["likes"]).select("iid", "feature")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
