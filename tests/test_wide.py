@@ -457,3 +457,22 @@ def test_experiments_store_no_row_for_each_pair_and_node(spark, monkeypatch):
     monkeypatch.setattr(paths, "pair_subgraph", None)
     got = experiment.subgraph_features(inst, graph.both_ways(e), {"feature extractors": extractors}, ["likes"]).select("iid", "feature")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("nodes", [True, False])
+def test_tables_of_the_adjacency_go_one_by_one(spark, monkeypatch, nodes):
+    """Parts of the subgraphs over an adjacency in several tables, each gone before the last hop goes over the next."""
+    e = [(f"a{i}", "in", f"x{i % 5}") for i in range(30)] + [(f"x{i}", "of", f"b{i % 3}") for i in range(5)] + [(f"a{i}", "likes", f"b{i % 3}") for i in range(30)]
+    inst = spark.createDataFrame([(i, f"a{i}", f"b{(i + k) % 3}") for k in (0, 1) for i in range(30)], "iid long, source string, target string").withColumn("iid", F.monotonically_increasing_id())
+    inst = spark.createDataFrame(inst.collect(), inst.schema)
+    adj = graph.both_ways(edges(spark, e))
+    rows = lambda x: sorted({tuple(map(str, r)) for y in x for r in y.collect()})
+    want = rows(paths.pair_parts(inst, adj, 2, ["likes"], nodes))
+    monkeypatch.setattr(tables, "DEALT", 1)
+    got = tables.dealt(graph.capped(adj, 8), "n", "adjacency")
+    assert len(got) == 4 and sum(x.count() for x in got) == graph.capped(adj, 8).count()
+    left, keep = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df, name: (name == "from-sources" and left.append(len(tables._TABLES)), keep(df, name))[1])
+    tables.clear(spark)
+    assert rows(paths.pair_parts(inst, tables.dealt(adj, "n", "adjacency"), 2, ["likes"], nodes)) == want
+    assert left == [4, 4, 3, 2, 1] and not tables._TABLES
