@@ -89,7 +89,7 @@ def fill(tokens: np.ndarray, loss_from: np.ndarray, limits: Limits, last: bool)
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: str | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), prompt_tokens: str | None = None, pieces: int = CACHE_PIECES, text_size: int = TEXT_BYTES) -> DataFrame:
     """Pieces of documents in sequences: one row a piece, with its ids (unsigned 32-bit, little-endian).
 
     docs has doc_id and text, and may have a column that counts the leading tokens without loss (instruction
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
     Equal rows are packed each for itself; an empty table gives an empty result; other columns are not read.
     Each task packs its own rows in windows of bounded size, without a shuffle; sequence_id holds the task's
     number in its upper half, so sequences of different tasks never mix. The last sequence of a task is short.
-    pieces: encoded pieces that a worker keeps, for speed alone."""
+    pieces: encoded pieces that a worker keeps, and text_size: bytes of text encoded at once, for speed alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
 
         for batch in batches:
             _, at = text_bytes(batch.column(1))
-            for a, b in slices(at, TEXT_BYTES):
+            for a, b in slices(at, text_size):
                 part = batch.slice(a, b - a)
                 ids, bounds = ended(*enc.column(part.column(1)), end_id)
                 for doc, i, j, free in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), part.column(2).to_pylist()):
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents; the cases of pack()."""
-    out = pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+    out = pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), text_size=2 * TEXT_BYTES)  # no other stage needs the memory
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 

@@ -92,18 +92,21 @@ class Encoder:
             inner[heads] = False
             used = np.zeros(len(names), bool)
             used[codes[inner]] = True
-            cannot = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in names), bool, len(names))
+            begin, end = _blank_ends(coded.dictionary, names)
+            cannot = begin | end
             bad = np.add.reduceat((cannot[codes] & inner).astype(np.int64), heads) > 0 if rows else bad
-            head_cannot = np.fromiter((not p or p[-1].isspace() for p in names), bool, len(names))
-            bad |= head_cannot[codes[heads]] & (np.diff(bounds) > 1)
+            bad |= end[codes[heads]] & (np.diff(bounds) > 1)
             wanted = used & ~cannot
         else:
             wanted = np.ones(len(names), bool)
-        found = [self.cache.get(p) if w else b"" for p, w in zip(names, wanted.tolist())]
-        missing = {names[i] for i in range(len(names)) if found[i] is None}
+        found = list(map(self.cache.get, names))
+        for i in np.flatnonzero(~wanted).tolist():
+            found[i] = b""
+        missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            new = self._new(missing, " " if self.kind == "byte level" else "")
-            found = [new[p] if x is None else x for p, x in zip(names, found)]
+            new = self._new({names[i] for i in missing}, " " if self.kind == "byte level" else "")
+            for i in missing:
+                found[i] = new[names[i]]
         if self.kind == "byte level":
             whole = np.flatnonzero(bad).tolist()
             text = {i: texts[i].as_py() for i in whole}
@@ -146,6 +149,25 @@ class Encoder:
         return got
 
 
+#: White space of one byte, as str.isspace() has it.
+_BLANK = np.array([chr(i).isspace() for i in range(128)] + [False] * 128)
+
+
+def _blank_ends(texts: pa.StringArray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts begin and which end with white space; empty ones do both. names: the same texts."""
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data, some = np.frombuffer(data or b"", np.uint8), np.flatnonzero(np.diff(at))
+    out = []
+    for place, char in ((at[:-1], 0), (at[1:] - 1, -1)):
+        blank, edge = np.ones(len(texts), bool), data[place[some]]
+        blank[some] = _BLANK[edge]
+        for i in some[edge > 127].tolist():
+            blank[i] = names[i][char].isspace()
+        out.append(blank)
+    return out[0], out[1]
+
+
 def kind(spec: dict) -> str:
     """Which cuts are safe for a tokenizer file: only the two kinds whose rules are known, else none."""
     model, norm, pre = spec.get("model") or {}, spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}

@@ -452,3 +452,13 @@ def test_pipeline_stages(spark, tmp_path, docs):
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {None, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 16}
+
+
+def test_blank_ends_of_pieces():
+    from graphweft.llm import tokens
+
+    texts = ["", " ", "a", " a", "a　", " é", "é", "\x1cb", "b\x85", "\tz\n", "漢", "a b"]
+    a = pa.array(["skipped", *texts], pa.string()).slice(1)
+    begin, end = tokens._blank_ends(a, texts)
+    assert begin.tolist() == [not t or t[0].isspace() for t in texts] and end.tolist() == [not t or t[-1].isspace() for t in texts]
+    assert [x.tolist() for x in tokens._blank_ends(pa.array([], pa.string()), [])] == [[], []]
