@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import bucketed, dealt, forget, stored
+from ..functions.tables import bucketed, forget, stored
 from ..operators import features as fx
 from ..operators import graph as g
 from ..operators import models, paths, walks
@@ -96,17 +96,17 @@ def subgraph_features(inst: DataFrame, adj: DataFrame, spec: dict, held_out: lis
     """(iid, feature, value): what all extractors give, once each; a bias for instances that have a feature, if asked for."""
     finder = spec.get("path finder", {})
     steps = finder.get("number of steps", 2)
-    adj = g.capped(adj, finder.get("max fan out", 100))
+    cap = finder.get("max fan out", 100)
     wanted = spec.get("feature extractors", ["PathAndEndNodeFeatureExtractor" if nodes else "PraFeatureExtractor"])
     wanted = [(x, x if isinstance(x, str) else x["name"]) for x in wanted]
     makes = [fx.extractor(name, nodes) for _, name in wanted]
     alone = "OneSidedPathOnlyFeatureExtractor"
     if nodes or not all(name in [alone, *fx.JOINING] for _, name in wanted):
-        adj = bucketed(adj, "n", "adjacency")
+        adj = bucketed(g.capped(adj, cap), "n", "adjacency")
         parts, sub = None, stored(paths.node_subgraph(inst, adj, steps) if nodes else paths.pair_subgraph(inst, adj, steps, held_out), "subgraph")
         forget(adj)
     else:  # no row for each pair and node
-        shared, single, met = paths.pair_parts_met(inst, dealt(adj, "n", "adjacency"), steps, held_out, False)
+        shared, single, met = paths.pair_parts_met(inst, g.searched(adj, cap), steps, held_out, False)
         met = stored(met, "joining")
         parts, sub = (shared, single.unionAll(met)), met.select("iid", "start", "node", paths.labels(F.col("path")).alias("path"))
     out = None

@@ -476,3 +476,41 @@ def test_tables_of_the_adjacency_go_one_by_one(spark, monkeypatch, nodes):
     tables.clear(spark)
     assert rows(paths.pair_parts(inst, tables.dealt(adj, "n", "adjacency"), 2, ["likes"], nodes)) == want
     assert left == [4, 4, 3, 2, 1] and not tables._TABLES
+
+
+@pytest.mark.parametrize("nodes", [True, False])
+@pytest.mark.parametrize("steps", [1, 2])
+def test_large_adjacency_is_never_stored(spark, monkeypatch, nodes, steps):
+    """Parts of the subgraphs of a large graph without a table of its edges, in several groups of nodes, with hubs and held-out edges."""
+    e = [(f"a{i}", "in", f"x{i % 5}") for i in range(30)] + [(f"x{i}", "of", f"b{i % 3}") for i in range(5)] + [(f"a{i}", "likes", f"b{i % 3}") for i in range(30)]
+    e += [("a1", "in", "x3"), ("a1", "in", "x3"), ("hub", "of", "b1"), *[("hub", "in", f"a{i}") for i in range(30)]]
+    inst = spark.createDataFrame([(i + 100 * k, f"a{i}", f"b{(i + k) % 3}") for k in (0, 1) for i in range(30)], "iid long, source string, target string")
+    adj = graph.both_ways(edges(spark, e))
+
+    def found(a):
+        shared, single = paths.pair_parts(inst, a, steps, ["likes"], nodes)
+        node = F.col("node") if nodes else F.lit(None)  # of shared rows, which lose theirs but where paths meet
+        return sorted({tuple(map(str, r)) for x in (shared.withColumn("node", node), single) for r in x.collect()})
+
+    want = found(graph.capped(adj, 8))
+    kept, keep = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df, name: (kept.append(name), keep(df, name))[1])
+    monkeypatch.setattr(graph, "ROWS", 5)
+    monkeypatch.setattr(tables, "DEALT", 1)
+    tables.clear(spark)
+    assert found(graph.searched(adj, 8)) == want
+    assert not tables._TABLES and kept.count("from-sources") == (1 if steps == 1 else steps - 1 + graph.PARTS)
+    assert not [x for x in tables._STORED if "/hop-" in x or "/first-" in x]
+
+
+def test_filter_of_keys(spark):
+    """Every key passes, few others do, and none is lost where the filter is full."""
+    keys, rows = (spark.range(a, b).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k")) for a, b in ((0, 20_000), (10_000, 60_000)))
+    for monkey in ((16, 26), (16, 16)):
+        tables.BITS, before = monkey, tables.BITS
+        try:
+            got = {r[0] for r in tables.may_hold(rows, "k", tables.key_filter(keys, "k")).collect()}
+        finally:
+            tables.BITS = before
+        assert {f"k{i}" for i in range(10_000, 20_000)} <= got
+        assert len(got) < 10_000 + (40_000 * 0.15 if monkey == (16, 26) else 40_001)
