@@ -514,3 +514,17 @@ def test_filter_of_keys(spark):
             tables.BITS = before
         assert {f"k{i}" for i in range(10_000, 20_000)} <= got
         assert len(got) < 10_000 + (40_000 * 0.15 if monkey == (16, 26) else 40_001)
+
+
+def test_negatives_are_drawn_in_parts(spark, monkeypatch):
+    """Parts of the pairs give what all of them at once do, and none of the draws is shuffled to find equal ones."""
+    adj = graph.both_ways(edges(spark, [(f"s{i}", "in", f"t{i % 3}") for i in range(40)] + [(f"t{i}", "of", "u") for i in range(3)]))
+    pos = spark.createDataFrame([(f"s{i}", f"t{i % 3}") for i in range(25)], "source string, target string")
+    targets = spark.createDataFrame([(f"t{i}",) for i in range(3)], "n string")
+    draw = lambda: sorted(map(tuple, datasets.ranked_negatives(pos, adj, targets=targets, ratio=2, steps=2).collect()))
+    want, kept, keep = draw(), [], datasets.stored
+    monkeypatch.setattr(datasets, "stored", lambda df, name: (kept.append((name, df)), keep(df, name))[1])
+    monkeypatch.setattr(datasets, "DRAWS", 100, raising=False)
+    assert draw() == want and len(want) > 25
+    drawn = [df for name, df in kept if name == "drawn"]
+    assert len(drawn) == 5 and not any("min(attempt" in x._jdf.queryExecution().toString() for x in drawn)
