@@ -528,3 +528,16 @@ def test_negatives_are_drawn_in_parts(spark, monkeypatch):
     assert draw() == want and len(want) > 25
     drawn = [df for name, df in kept if name == "drawn"]
     assert len(drawn) == 5 and not any("min(attempt" in x._jdf.queryExecution().toString() for x in drawn)
+
+
+def test_negatives_look_through_the_graph_once(spark, monkeypatch):
+    """Which instances and members are in the graph is stored before walks begin, not found again for each of their tables."""
+    e = edges(spark, [(f"s{i}", "in", f"t{i % 3}") for i in range(12)])
+    split = spark.createDataFrame([("in", "training" if i < 8 else "testing", f"s{i}", f"t{i % 3}", 1) for i in range(12)], "relation string, fold string, source string, target string, label int")
+    of = spark.createDataFrame([("in", "t")], "a string, b string")
+    cats = spark.createDataFrame([("t", f"t{i}") for i in range(3)], "a string, b string")
+    seen = []
+    monkeypatch.setattr(datasets, "ranked_negatives", lambda own, adj, others, sources=None, targets=None, **o: (seen.append((own, targets)), own.select("source", "target", F.lit(-1).alias("label")))[1])
+    assert datasets.with_negatives(split, e, graph.both_ways(e), "test", ranges=of, categories=cats).count() == 16
+    for x in seen[0]:
+        assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
