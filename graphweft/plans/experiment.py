@@ -128,17 +128,27 @@ def walk_features(training: DataFrame, tests: DataFrame, adj: DataFrame, spec: d
     """(source, target, feature, value) of both sets: paths that walks on training pairs find most, followed from either set's sources.
     Rows come from the walks."""
     finder, selector, follower = spec.get("path finder", {}), spec.get("path selector", {}), spec.get("path follower", {})
-    found = [walks.found_paths(training, side, adj, finder.get("walks per source", 100), finder.get("path finding iterations", 3), finder.get("reset probability", 0.0), held_out) for side in ("source", "target")]
-    counts = walks.direct_and_paired(*found, training, finder.get("path accept policy", "paired-only")).withColumnRenamed("n_pairs", "visits")
+    step = bucketed(adj, "n", "steps", walks.counted)
+    accept, options = finder.get("path accept policy", "paired-only"), (finder.get("walks per source", 100), finder.get("path finding iterations", 3), finder.get("reset probability", 0.0), held_out)
+    if accept == "paired-only":  # no row for each pair and node
+        found = walks.meeting_paths(training, step, *options)
+    else:
+        found = [walks.found_paths(training, side, adj, *options) for side in ("source", "target")]
+    counts = walks.direct_and_paired(*found, training, accept).withColumnRenamed("n_pairs", "visits")
     keep = selector.get("number of paths to keep", 1000)
     chosen = counts.orderBy(F.desc("visits"), paths.encode(F.col("path")))
     chosen = stored((chosen if keep < 0 else chosen.limit(keep)).select("path"), "paths")
+    both = training.select("source", "target").unionAll(tests.select("source", "target"))
+    every = walks.follow_paths(both.select(F.col("source").alias("n")), step, chosen, follower.get("normalize walk probabilities", True), follower.get("walks per path", 100), closed)
+    policies = [follower.get(f"matrix accept policy: {fold}", follower.get("matrix accept policy", "all-targets")) for fold in ("training", "test")]
+    if policies[0] == policies[1]:
+        every = walks.rows_kept(every, both, policies[0])
+    every = stored(every.select("start", "target", paths.encode(F.col("path")).alias("feature"), "p"), "followed")  # of both folds at once
+    forget(step)
     out = []
-    for inst, fold in ((training, "training"), (tests, "test")):
-        got = walks.follow_paths(inst.select(F.col("source").alias("n")), adj, chosen, follower.get("normalize walk probabilities", True), follower.get("walks per path", 100), closed)
-        policy = follower.get(f"matrix accept policy: {fold}", follower.get("matrix accept policy", "all-targets"))
-        got = walks.rows_kept(got, inst, policy)
-        out.append(got.select(F.col("start").alias("source"), "target", paths.encode(F.col("path")).alias("feature"), F.col("p").alias("value")))
+    for inst, policy in zip((training, tests), policies):
+        got = every.join(inst.select(F.col("source").alias("start")).distinct(), "start", "left_semi")
+        out.append(walks.rows_kept(got, inst, policy).select(F.col("start").alias("source"), "target", "feature", F.col("p").alias("value")))
     return out[0], out[1]
 
 

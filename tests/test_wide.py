@@ -541,3 +541,29 @@ def test_negatives_look_through_the_graph_once(spark, monkeypatch):
     assert datasets.with_negatives(split, e, graph.both_ways(e), "test", ranges=of, categories=cats).count() == 16
     for x in seen[0]:
         assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("steps, restart, swap", [(1, 0.0, False), (2, 0.0, False), (2, 0.3, True), (3, 0.2, False)])
+def test_meeting_walks_are_those_of_each_pair(spark, steps, restart, swap):
+    """Counts of paths from walks that begin once at each end, against walks of each pair; pairs that held-out edges join, parallel edges
+    and loops, a pair of one node, one that comes twice, and one that is not in the graph."""
+    rng = np.random.default_rng(4)
+    e = [(f"a{i}", "in", f"x{i % 3}") for i in range(12)] + [(f"x{i}", "of", f"b{i % 2}") for i in range(3)] + [(f"a{i}", "likes", f"b{i % 2}") for i in range(9)]
+    e += [("b0", "likes", "a2"), ("a1", "in", "x1"), ("a1", "likes", "b1"), ("a3", "in", "a3"), ("a4", "in", "b0")] + [(f"a{rng.integers(12)}", "knows", f"a{rng.integers(12)}") for _ in range(15)]
+    pairs = [(f"a{i}", f"b{(i + k) % 2}") for i in range(12) for k in (0, 1)] + [("a5", "a5"), ("a1", "b1"), ("a1", "a2"), ("gone", "b0")]
+    inst = spark.createDataFrame([(i, *(p[::-1] if swap else p)) for i, p in enumerate(pairs)], "iid long, source string, target string")
+    adj = graph.both_ways(edges(spark, e))
+    rows = lambda df: {tuple(r["path"]): r["n_pairs"] for r in df.collect()}
+    want = rows(walks.direct_and_paired(*[walks.found_paths(inst, side, adj, 100, steps, restart, ["likes"]) for side in ("source", "target")], inst))
+    got = rows(walks.direct_and_paired(*walks.meeting_paths(inst, walks.counted(adj), 100, steps, restart, ["likes"]), inst))
+    assert len(want) > 2 and set(got) == set(want) and all(abs(got[k] - want[k]) <= 1e-9 * want[k] for k in want)
+
+
+def test_walks_of_experiments_store_no_row_for_each_pair_and_node(spark):
+    import __spark_entry__
+
+    tables.clear(spark)
+    assert __spark_entry__.queries()["experiment_walks"](spark, "/root/testdata/sf0.001").count()
+    found = [x for x in (spark.read.parquet(x) for x in tables._STORED) if {"iid", "node"} <= set(x.columns)]
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert found and max(x.count() for x in found) < 40 * customers
