@@ -88,7 +88,9 @@ def _kinds(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     features come once."""
     rows = features.groupBy("relation", "iid").agg(F.max((F.col("label") > 0).cast("int")).alias("y"), F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("row"))
     rows = stored(rows.withColumn("kind", F.md5(F.to_json("row").cast("binary"))), "rows")
-    kinds = rows.groupBy("relation", "kind").agg(F.any_value("row").alias("row")).select("relation", "kind", F.inline("row"))
+    # read apart: sides of a cogroup that share columns may lose them when Spark plans anew after a stage
+    again = rows.sparkSession.read.schema(rows.schema).parquet(rows.stored_at[1])
+    kinds = again.groupBy("relation", "kind").agg(F.any_value("row").alias("row")).select("relation", "kind", F.inline("row"))
     return rows.select("relation", "iid", "y", "kind"), kinds
 
 
@@ -217,48 +219,69 @@ def similar_pairs(vectors: DataFrame, lower: float, upper: float = 2.0) -> DataF
 SUPPORT = "relation string, of long, alpha double, norm double, features map<string,double>"
 
 
-def kernel_svm(features: DataFrame, kernel: str = "rbf", gamma: float = 1.0, c: float = 1.0, passes: int = 30, most_rows: int = 4096) -> DataFrame:
-    """Support rows of a support vector machine for each relation, by dual coordinate descent in fixed order. Kernels: linear,
-    quadratic (the dot product squared), rbf. A relation trains on at most most_rows rows, those whose iid hashes
-    least: the kernel matrix of these must fit a task."""
+#: Kernel values that a task keeps; those of further rows are worked out anew each time.
+KEPT_VALUES = 16_000_000
+
+
+def kernel_svm(features: DataFrame, kernel: str = "rbf", gamma: float = 1.0, c: float = 1.0, passes: int = 30) -> DataFrame:
+    """Support rows of a support vector machine for each relation, by dual coordinate descent over all rows in order of iid; a pass that
+    changes nothing is the last. Kernels: linear, quadratic (the dot product squared), rbf. Rows with the same features
+    share their kernel values and are one support row, with the sum of their alphas and the least of their iids."""
     if kernel not in ("linear", "quadratic", "rbf"):
         raise ValueError(f"unknown kernel: {kernel}")
-    from pyspark.sql import Window
-
-    ids = features.select("relation", "iid").distinct()
-    order = Window.partitionBy("relation").orderBy(F.xxhash64("iid"), "iid")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_rows).select("relation", "iid")
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, v, y, d = _design(rows)
-        names, n = np.unique(rows["feature"].astype(str)), len(y)
-        order = np.argsort(i, kind="stable")
-        cuts = np.searchsorted(i[order], np.arange(n + 1))
-        by = np.argsort(j, kind="stable")
-        k = np.zeros((n, n))
-        for a in range(0, d, 512):  # columns in blocks, so memory follows the rows
-            z = by[slice(*np.searchsorted(j[by], [a, a + 512]))]
-            x = np.zeros((n, min(512, d - a)))
-            x[i[z], j[z] - a] = v[z]
-            k += x @ x.T
-        norm = k.diagonal().copy()
-        if kernel == "quadratic":
-            k *= k
-        elif kernel == "rbf":
-            k = np.exp(-gamma * np.maximum(0, norm[:, None] + norm[None] - 2 * k))
-        sign, alpha, f = 2 * y - 1, np.zeros(n), np.zeros(n)
+    def fit(rows: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
+        relation, iids = rows["relation"].iloc[0], np.sort(rows["iid"].to_numpy(), kind="stable")
+        names, places, values, seq, y = _in_order(rows, kinds)
+        own = [{} for _ in places]
+        for x, f, v in zip(own, places, values):
+            for j, z in zip(f, v):
+                x[j] = x.get(j, 0.0) + z
+        norm = np.array([sum(v * v for v in x.values()) for x in own])
+        holders = [[] for _ in names]
+        for k, x in enumerate(own):
+            for j, v in x.items():
+                holders[j].append((k, v))
+        holders = [(np.array([k for k, _ in h], dtype=np.int64), np.array([v for _, v in h])) for h in holders]
+        kept, most = {}, max(1, KEPT_VALUES // len(own))
+
+        def against(k: int) -> np.ndarray:
+            """Kernel values of a kind with all kinds."""
+            if k in kept:
+                return kept[k]
+            dot = np.zeros(len(own))
+            for j, v in own[k].items():
+                of, z = holders[j]
+                dot[of] += v * z
+            if kernel == "quadratic":
+                dot *= dot
+            elif kernel == "rbf":
+                dot = np.exp(-gamma * np.maximum(0, norm[k] + norm - 2 * dot))
+            if len(kept) < most:
+                kept[k] = dot
+            return dot
+
+        with_self = [{"linear": q, "quadratic": q * q, "rbf": 1.0}[kernel] for q in norm.tolist()]
+        sign, alpha, f = [2 * v - 1 for v in y], [0.0] * len(seq), np.zeros(len(own))
         for _ in range(passes):
-            for r in range(n):
-                if k[r, r]:
-                    new = np.clip(alpha[r] - (sign[r] * f[r] - 1) / k[r, r], 0, c)
+            moved = False
+            for r, (k, s) in enumerate(zip(seq, sign)):
+                if with_self[k]:
+                    new = min(c, max(0.0, alpha[r] - (s * float(f[k]) - 1) / with_self[k]))
                     if new != alpha[r]:
-                        f += (new - alpha[r]) * sign[r] * k[r]
-                        alpha[r] = new
-        keep = np.flatnonzero(alpha)
-        own = [{names[j[z]]: float(v[z]) for z in order[cuts[r] : cuts[r + 1]]} for r in keep]
-        return pd.DataFrame({"relation": [rows["relation"].iloc[0]] * len(keep), "of": np.unique(rows["iid"])[keep], "alpha": (alpha * sign)[keep], "norm": norm[keep], "features": own})
+                        f += (new - alpha[r]) * s * against(k)
+                        alpha[r], moved = new, True
+            if not moved:
+                break
+        alpha, seq = np.array(alpha), np.array(seq)
+        on = np.flatnonzero(alpha)
+        total = np.bincount(seq[on], (alpha * np.array(sign))[on], len(own))
+        keep, first = np.unique(seq[on], return_index=True)
+        lists = [{names[j]: v for j, v in own[k].items()} for k in keep]
+        return pd.DataFrame({"relation": [relation] * len(keep), "of": iids[on][first], "alpha": total[keep], "norm": norm[keep], "features": lists})
 
-    return features.join(chosen, ["relation", "iid"], "left_semi").groupBy("relation").applyInPandas(fit, SUPPORT)
+    rows, kinds = _kinds(features)
+    return rows.groupBy("relation").cogroup(kinds.groupBy("relation")).applyInPandas(fit, SUPPORT)
 
 
 def kernel_scores(features: DataFrame, support: DataFrame, kernel: str = "rbf", gamma: float = 1.0) -> DataFrame:

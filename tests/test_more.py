@@ -236,3 +236,38 @@ def test_alias_paths_are_joined_without_the_subgraph(spark):
     assert __spark_entry__.queries()["feat_anyrel_alias"](spark, "/root/testdata/sf0.001").count()
     stored = [spark.read.parquet(x) for x in tables._STORED]
     assert stored and not any({"iid", "node"} <= set(x.columns) for x in stored)
+
+
+@pytest.mark.parametrize("kernel", ["quadratic"])
+def test_kernel_machines_train_on_all_rows(spark, kernel, monkeypatch):
+    """More rows than 4,096, against coordinate descent that keeps a value for each row; kernel values kept and worked out anew."""
+    rng = np.random.default_rng(2)
+    x = np.hstack([(rng.random((4500, 4)) < 0.5) * np.array([1.0, 2.0, 1.0, 0.5]), np.ones((4500, 1))])
+    y = np.where(rng.random(4500) < 0.2 + 0.6 * (x[:, 0] != x[:, 2]), 1, -1)
+    own = [[[f"f{j}", float(v)] for j, v in enumerate(r) if v] for r in x]
+    f = spark.createDataFrame([("r", i, int(y[i]), o) for i, o in enumerate(own)], "relation string, iid long, label int, o array<struct<feature:string,value:double>>").selectExpr("relation", "iid", "label", "inline(o)")
+    k = x @ x.T
+    n = k.diagonal()
+    k = k * k if kernel == "quadratic" else np.exp(-0.5 * (n[:, None] + n[None] - 2 * k))
+    alpha, z = np.zeros(4500), np.zeros(4500)
+    for _ in range(3):
+        for r in range(4500):
+            new = min(1.0, max(0.0, alpha[r] - (y[r] * z[r] - 1) / k[r, r]))
+            z += (new - alpha[r]) * y[r] * k[r]
+            alpha[r] = new
+    for most in (models.KEPT_VALUES, 1):
+        monkeypatch.setattr(models, "KEPT_VALUES", most)
+        got = models.kernel_svm(f, kernel, 0.5, 1.0, 3).collect()
+        kinds = {tuple(map(tuple, o)) for o in own}
+        want = {t: sum(alpha[i] * y[i] for i, o in enumerate(own) if tuple(map(tuple, o)) == t) for t in kinds}
+        mine = {tuple(sorted(r["features"].items())): r["alpha"] for r in got}
+        assert len(got) == len(mine) and all(abs(mine.get(t, 0.0) - v) < 1e-6 * max(1.0, abs(v)) for t, v in want.items())
+        assert len([i for i in range(4500) if alpha[i]]) > 100 and min(r["of"] for r in got) == np.flatnonzero(alpha)[0]
+
+
+def test_sides_of_a_training_task_share_no_columns(spark):
+    """Spark has dropped a column that both sides of a cogroup had from one plan."""
+    f = spark.createDataFrame([("r", i, 1, "a", 1.0) for i in range(3)], "relation string, iid long, label int, feature string, value double")
+    out = lambda df: {x.strip() for x in df._jdf.queryExecution().analyzed().output().mkString(",").split(",")}
+    one, two = map(out, models._kinds(f))
+    assert len(one) == 4 and len(two) == 4 and not one & two
