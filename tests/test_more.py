@@ -238,7 +238,7 @@ def test_alias_paths_are_joined_without_the_subgraph(spark):
     assert stored and not any({"iid", "node"} <= set(x.columns) for x in stored)
 
 
-@pytest.mark.parametrize("kernel", ["quadratic"])
+@pytest.mark.parametrize("kernel", ["quadratic", "rbf"])
 def test_kernel_machines_train_on_all_rows(spark, kernel, monkeypatch):
     """More rows than 4,096, against coordinate descent that keeps a value for each row; kernel values kept and worked out anew."""
     rng = np.random.default_rng(2)
